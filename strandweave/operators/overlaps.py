@@ -93,13 +93,14 @@ def _to_overlap(a_len: Column, p: Column, n: Column, b_len: Column) -> list[Colu
     """Overlap columns of oriented read a, matched from ``p`` for ``n`` bases by the start of b."""
     a_beg = F.when(F.col("a_flip"), a_len - p - n).otherwise(p)
     b_beg = F.when(F.col("b_flip"), b_len - n).otherwise(F.lit(0))
-    a = F.struct(F.col("a").alias("id"), a_beg.cast("int").alias("beg"))
-    b = F.struct(F.col("b").alias("id"), b_beg.cast("int").alias("beg"))
+    a = F.struct(F.col("a").alias("id"), a_beg.cast("int").alias("beg"), a_len.alias("len"))
+    b = F.struct(F.col("b").alias("id"), b_beg.cast("int").alias("beg"), b_len.alias("len"))
     # Lower read id first; a self-overlap starts lower on its first side.
     lower, upper = F.least(a, b), F.greatest(a, b)
     return [
         lower["id"].alias("f"), lower["beg"].alias("f_beg"),
         upper["id"].alias("g"), upper["beg"].alias("g_beg"),
+        lower["len"].alias("f_len"), upper["len"].alias("g_len"),
         n.cast("int").alias("n"), (F.col("a_flip") != F.col("b_flip")).alias("rc"),
     ]
 
@@ -208,7 +209,7 @@ def overlap_candidates(reads: DataFrame, min_len: int, hot_threshold: int | None
 
 def overlap_dedup(candidates: DataFrame) -> DataFrame:
     """Longest window per (f, g, f_beg > 0, rc); ties go to the lowest (f_beg, g_beg)."""
-    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("f_beg"), F.col("g_beg")))
+    best = F.min(F.struct((-F.col("n")).alias("neg"), "f_beg", "g_beg", "f_len", "g_len"))
     return (
         candidates.groupBy("f", "g", (F.col("f_beg") > 0).alias("later"), "rc")
         .agg(best.alias("w"))
@@ -220,13 +221,19 @@ def overlap_dedup(candidates: DataFrame) -> DataFrame:
             F.col("w.g_beg").alias("g_beg"),
             (F.col("w.g_beg") - F.col("w.neg") - 1).alias("g_end"),
             "rc",
+            "w.f_len",
+            "w.g_len",
         )
     )
 
 
 def compute_overlaps(reads: DataFrame, min_len: int = 25, max_edits: int = 0,
                      hot_threshold: int | None = None) -> DataFrame:
-    """Overlap relation ``(f, f_beg, f_end, g, g_beg, g_end, rc)`` of ``(read_id, seq)``."""
+    """Overlap relation of ``(read_id, seq)``.
+
+    ``(f, f_beg, f_end, g, g_beg, g_end, rc)`` with 0-based inclusive ends on the
+    original strands, and the read lengths ``f_len, g_len`` that later stages test.
+    """
     if max_edits:
         raise NotImplementedError("inexact overlaps are not supported")
     if min_len < 1:
