@@ -17,6 +17,7 @@ from strandweave.functions.sequence import (
     kmers,
     normalise,
     reverse_complement,
+    seed_length,
     set_base,
     slice_seq,
 )
@@ -36,6 +37,7 @@ __all__ = [
     "parse_bounded_int",
     "percent_of",
     "reverse_complement",
+    "seed_length",
     "set_base",
     "slice_seq",
 ]

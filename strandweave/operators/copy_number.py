@@ -13,6 +13,8 @@ from strandweave.operators.string_graph import StringGraph, edge_len
 # Fixed values of the statistic.
 SINGLE_COPY_THRESHOLD = 17.0
 BOOTSTRAP_ROUNDS = 3
+# Mapped counts are sums of fractions; one this close below a whole number is that number.
+COUNT_TOLERANCE = 1e-6
 LN2 = math.log(2.0)
 
 
@@ -50,10 +52,14 @@ def arrival_rates(graph: StringGraph, num_reads: int | None = None) -> DataFrame
     return rates
 
 
+def _whole_reads() -> Column:
+    return F.floor(F.col("mapped_read_count") + COUNT_TOLERANCE)
+
+
 def _measured(graph: StringGraph) -> DataFrame:
     return graph.edges.select(
         "edge_id", edge_len(graph.edges).alias("len"),
-        F.floor("mapped_read_count").alias("reads"),
+        _whole_reads().alias("reads"),
     )
 
 
@@ -63,7 +69,7 @@ def a_statistics(graph: StringGraph, num_reads: int | None = None) -> StringGrap
     rates = arrival_rates(graph, num_reads)
     edges = (
         graph.edges.withColumn("len", edge_len(graph.edges))
-        .withColumn("reads", F.floor("mapped_read_count"))
+        .withColumn("reads", _whole_reads())
         .join(F.broadcast(rates))
         .withColumn("a_statistic", _statistic(F.col(f"rate{BOOTSTRAP_ROUNDS - 1}")))
         .select(*columns)

@@ -81,3 +81,18 @@ def group_ranks(df: DataFrame, keys: list[str], order: str, out: str, buckets: i
 def _running_offset(count: str, window) -> Column:
     before = window.rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(count).over(before), F.lit(0))
+
+
+def running_total(df: DataFrame, key: str, value: str, out: str, chunk: int = CHUNK) -> DataFrame:
+    """Add ``out``: sum of ``value`` over all rows with a smaller unique integer ``key``."""
+    parts = df.withColumn("_chunk", F.floor(F.col(key) / F.lit(chunk)))
+    offsets = parts.groupBy("_chunk").agg(F.sum(value).alias("_n")).select(
+        "_chunk", _running_offset("_n", Window.orderBy("_chunk")).alias("_offset")
+    )
+    local = _running_offset(value, Window.partitionBy("_chunk").orderBy(key))
+    return (
+        parts.withColumn("_local", local)
+        .join(offsets, "_chunk")
+        .withColumn(out, F.col("_local") + F.col("_offset"))
+        .drop("_chunk", "_local", "_offset")
+    )
