@@ -71,18 +71,22 @@ def uncontained_overlaps(overlaps: DataFrame, index_map: DataFrame) -> DataFrame
 
 def containment_summary(index_map: DataFrame, overlaps: DataFrame, kept_overlaps: DataFrame) -> DataFrame:
     """One row of counts and percentages about reads and overlaps removed."""
-    reads = index_map.agg(
-        F.count("*").alias("reads"),
-        F.count_if(F.col("new_id").isNull()).alias("contained_reads"),
+    def tagged(df: DataFrame, **flags: Column) -> DataFrame:
+        names = ("read", "contained", "overlap", "kept")
+        return df.select(*[flags.get(n, F.lit(0)).alias(n) for n in names])
+
+    rows = (
+        tagged(index_map, read=F.lit(1), contained=F.col("new_id").isNull().cast("int"))
+        .unionByName(tagged(overlaps, overlap=F.lit(1)))
+        .unionByName(tagged(kept_overlaps, kept=F.lit(1)))
     )
-    before = overlaps.agg(F.count("*").alias("overlaps"))
-    after = kept_overlaps.agg(F.count("*").alias("kept_overlaps"))
-    # Three one-row sides.
-    return reads.join(F.broadcast(before)).join(F.broadcast(after)).select(
-        "reads",
-        "contained_reads",
+    deleted = F.col("overlaps") - F.col("kept")
+    return rows.agg(
+        F.sum("read").alias("reads"), F.sum("contained").alias("contained_reads"),
+        F.sum("overlap").alias("overlaps"), F.sum("kept").alias("kept"),
+    ).select(
+        "reads", "contained_reads",
         percent_of(F.col("contained_reads"), F.col("reads")).alias("contained_pct"),
-        "overlaps",
-        (F.col("overlaps") - F.col("kept_overlaps")).alias("deleted_overlaps"),
-        percent_of(F.col("overlaps") - F.col("kept_overlaps"), F.col("overlaps")).alias("deleted_pct"),
+        "overlaps", deleted.alias("deleted_overlaps"),
+        percent_of(deleted, F.col("overlaps")).alias("deleted_pct"),
     )

@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.numeric import div_or_zero
 from strandweave.operators.string_graph import StringGraph, edge_len
 
 # Fixed values of the statistic.
@@ -29,49 +28,48 @@ def _statistic(rate: Column) -> Column:
     return rate * F.col("len") - F.col("reads") * F.lit(LN2)
 
 
-def arrival_rates(graph: StringGraph, num_reads: int | None = None) -> DataFrame:
-    """One row ``(rate0 .. rate3)``: the first rate, then one per bootstrap round.
+def _whole_reads() -> Column:
+    return F.floor(F.col("mapped_read_count") + COUNT_TOLERANCE)
+
+
+def _measured(graph: StringGraph) -> DataFrame:
+    return graph.edges.select(
+        "edge_id", edge_len(graph.edges).alias("len"), _whole_reads().alias("reads")
+    )
+
+
+def _rates(graph: StringGraph, num_reads: int | None) -> list[float]:
+    """The first arrival rate, then one per bootstrap round.
 
     A round keeps the edges that look single-copy under its rate and estimates the next
-    rate from them. Rounds depend on each other only through one number.
+    rate from them. One number passes from round to round.
     """
     n = graph.orig_num_reads if num_reads is None else num_reads
+    genome_len = bootstrap_genome_len(graph).first()[0]
+    rates = [n / genome_len if genome_len else 0.0]
     edges = _measured(graph)
-    rates = bootstrap_genome_len(graph).select(
-        div_or_zero(F.lit(float(n)), F.col("genome_len")).alias("rate0")
-    )
-    for i in range(BOOTSTRAP_ROUNDS):
-        # One-row side.
-        single = F.when(_statistic(F.col(f"rate{i}")) >= SINGLE_COPY_THRESHOLD, True)
-        known = [f"rate{j}" for j in range(i + 1)]
-        rates = edges.join(F.broadcast(rates)).agg(
-            *[F.first(c).alias(c) for c in known],
-            F.sum(F.when(single, F.col("reads"))).alias("r"),
-            F.sum(F.when(single, F.col("len"))).alias("l"),
-        ).select(*known, F.coalesce(F.col("r") / F.col("l"), F.lit(0.0)).alias(f"rate{i + 1}"))
+    for _ in range(BOOTSTRAP_ROUNDS):
+        single = edges.where(_statistic(F.lit(rates[-1])) >= SINGLE_COPY_THRESHOLD)
+        reads, size = single.agg(F.sum("reads"), F.sum("len")).first()
+        rates.append(reads / size if size else 0.0)
     return rates
 
 
-def _whole_reads() -> Column:
-    return F.floor(F.col("mapped_read_count") + COUNT_TOLERANCE)
-
-
-def _measured(graph: StringGraph) -> DataFrame:
-    return graph.edges.select(
-        "edge_id", edge_len(graph.edges).alias("len"),
-        _whole_reads().alias("reads"),
-    )
+def arrival_rates(graph: StringGraph, num_reads: int | None = None) -> DataFrame:
+    """One row ``(rate0 .. rate3)``: reads per base before and after each bootstrap round."""
+    rates = _rates(graph, num_reads)
+    names = ", ".join(f"rate{i} double" for i in range(len(rates)))
+    return graph.edges.sparkSession.createDataFrame([tuple(rates)], names)
 
 
 def a_statistics(graph: StringGraph, num_reads: int | None = None) -> StringGraph:
     """Graph with the A-statistic of the last bootstrap round on every edge."""
+    rate = F.lit(_rates(graph, num_reads)[BOOTSTRAP_ROUNDS - 1])
     columns = graph.edges.columns
-    rates = arrival_rates(graph, num_reads)
     edges = (
         graph.edges.withColumn("len", edge_len(graph.edges))
         .withColumn("reads", _whole_reads())
-        .join(F.broadcast(rates))
-        .withColumn("a_statistic", _statistic(F.col(f"rate{BOOTSTRAP_ROUNDS - 1}")))
+        .withColumn("a_statistic", _statistic(rate))
         .select(*columns)
     )
     return graph.with_edges(edges)
@@ -80,23 +78,21 @@ def a_statistics(graph: StringGraph, num_reads: int | None = None) -> StringGrap
 def a_stat_classes(graph: StringGraph, num_reads: int | None = None) -> DataFrame:
     """Per round: edges that count as unique, optional or required, and the genome estimate."""
     n = graph.orig_num_reads if num_reads is None else num_reads
-    rates = arrival_rates(graph, num_reads)
+    rates = _rates(graph, num_reads)
     rounds = F.array(*[
-        F.struct(F.lit(i + 1).alias("round"), F.col(f"rate{i}").alias("rate"),
-                 F.col(f"rate{i + 1}").alias("next_rate"))
+        F.struct(F.lit(i + 1).alias("round"), F.lit(rates[i]).alias("rate"),
+                 F.lit(int(n / rates[i + 1]) if rates[i + 1] else 0).cast("long").alias("genome_len"))
         for i in range(BOOTSTRAP_ROUNDS)
     ])
-    per_round = rates.select(F.explode(rounds).alias("x")).select("x.*")
     unique = _statistic(F.col("rate")) >= SINGLE_COPY_THRESHOLD
-    # Three-row side.
     return (
-        _measured(graph).join(F.broadcast(per_round))
-        .groupBy("round", "next_rate")
+        _measured(graph).select("len", "reads", F.explode(rounds).alias("x"))
+        .select("len", "reads", "x.*")
+        .groupBy("round", "genome_len")
         .agg(
             F.count_if(unique).alias("unique_edges"),
             F.count_if(~unique & (F.col("reads") == 0)).alias("optional_edges"),
             F.count_if(~unique & (F.col("reads") != 0)).alias("required_edges"),
         )
-        .select("round", "unique_edges", "optional_edges", "required_edges",
-                F.floor(div_or_zero(F.lit(float(n)), F.col("next_rate"))).cast("long").alias("genome_len"))
+        .select("round", "unique_edges", "optional_edges", "required_edges", "genome_len")
     )

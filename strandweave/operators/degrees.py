@@ -41,6 +41,15 @@ def degree_histogram(graph: StringGraph) -> DataFrame:
     return vertex_degrees(graph).groupBy("in_degree", "out_degree").agg(F.count("*").alias("vertices"))
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Columns of several one-row tables side by side."""
+    names = [c for part in parts for c in part.columns]
+    rows = None
+    for part in parts:
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in names])
+
+
 def _degree_row(graph: StringGraph) -> DataFrame:
     i, o = F.col("in_degree"), F.col("out_degree")
     return vertex_degrees(graph).agg(
@@ -62,7 +71,7 @@ def digraph_stats(graph: StringGraph) -> DataFrame:
         F.count_if(F.col("mapped_read_count") > 1).alias("edges_with_mapped_reads"),
         F.coalesce(F.avg("mapped_read_count"), F.lit(0.0)).alias("mean_mapped_reads"),
     )
-    return _degree_row(graph).join(F.broadcast(edges))
+    return _one_row(_degree_row(graph), edges)
 
 
 def bidigraph_stats(graph: StringGraph) -> DataFrame:
@@ -74,16 +83,15 @@ def bidigraph_stats(graph: StringGraph) -> DataFrame:
         F.count_if(~out1 & in2).alias("edges_outward"),
         F.count_if(out1 & ~in2).alias("edges_inward"),
     )
-    return _degree_row(graph).join(F.broadcast(edges))
+    return _one_row(_degree_row(graph), edges)
 
 
 def mean_degree(graph: StringGraph) -> DataFrame:
     """One row: edges per vertex."""
     v = graph.vertices.agg(F.count("*").alias("vertices"))
     e = graph.edges.agg(F.count("*").alias("edges"))
-    return v.join(F.broadcast(e)).select(
-        "vertices", "edges",
-        F.when(F.col("vertices") == 0, 0.0).otherwise(F.col("edges") / F.col("vertices")).alias("mean_degree"),
+    return _one_row(v, e).withColumn(
+        "mean_degree", F.when(F.col("vertices") == 0, 0.0).otherwise(F.col("edges") / F.col("vertices"))
     )
 
 

@@ -13,8 +13,8 @@ windows have equal anchors, so nothing is missed, and candidates are confirmed o
 text carried along with the join.
 
 Anchors shared by very many read starts (adapters, low complexity) would make the
-number of candidates quadratic although few of them match. They take another route: the whole
-window, not its anchor, becomes the join key, so that every joined row is a result.
+number of candidates quadratic although few of them match. They take another route:
+the whole window, not its anchor, becomes the join key, so every joined row is a result.
 """
 
 from __future__ import annotations
@@ -29,12 +29,14 @@ from strandweave.functions.sequence import (
     kmers,
     reverse_complement,
 )
+from strandweave.session import cut_lineage
 
 OVERLAP_COLUMNS = ("f", "f_beg", "f_end", "g", "g_beg", "g_end", "rc")
 
 MAX_ANCHOR_WINDOW = 32
-MAX_HOT_ANCHORS = 50_000
-MIN_HOT_STARTS = 2_000
+# A window meets at most this many read starts through its anchor.
+HOT_STARTS = 512
+MAX_BROADCAST_ANCHORS = 100_000
 
 
 def kmer_occurrences(reads: DataFrame, k: int) -> DataFrame:
@@ -144,7 +146,7 @@ def _whole_window(reads: DataFrame, starts: DataFrame, hot: DataFrame, min_len:
     Rows grow with read length, never with the number of reads that share an anchor,
     and each joined row is an overlap.
     """
-    hot_starts = starts.join(F.broadcast(hot.select("anchor")), "anchor").select(
+    hot_starts = starts.join(hot, "anchor").select(
         "anchor", "b", "b_flip", "b_seq", F.length("b_seq").alias("b_len")
     )
     hot_lens = hot_starts.select("anchor", "b_len").distinct()
@@ -155,7 +157,7 @@ def _whole_window(reads: DataFrame, starts: DataFrame, hot: DataFrame, min_len:
                 .alias("p", "m"))
         .select(F.col("read_id").alias("a"), F.col("flip").alias("a_flip"),
                 F.col("seq").alias("a_seq"), "p", F.col("m.hash").alias("anchor"))
-        .join(F.broadcast(hot.select("anchor")), "anchor")
+        .join(hot, "anchor")
     )
     a_len = F.length("a_seq")
     rest = a_len - F.col("p")
@@ -186,24 +188,21 @@ def _whole_window(reads: DataFrame, starts: DataFrame, hot: DataFrame, min_len:
 
 
 def hot_anchors(starts: DataFrame, threshold: int) -> DataFrame:
-    """Anchors at which more than ``threshold`` oriented reads begin."""
-    return starts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > threshold)
+    """``(anchor)`` at which more than ``threshold`` oriented reads begin."""
+    counts = starts.groupBy("anchor").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") > threshold).select("anchor")
 
 
-def overlap_candidates(reads: DataFrame, min_len: int, hot_threshold: int | None = None) -> DataFrame:
-    """All matching windows ``(f, f_beg, g, g_beg, n, rc)`` before one is kept per type."""
+def overlap_candidates(reads: DataFrame, min_len: int, hot_threshold: int = HOT_STARTS) -> DataFrame:
+    """All matching windows ``(f, f_beg, f_len, g, g_beg, g_len, n, rc)`` before one is kept per type."""
     starts = _starts(reads, min_len)
-    anchors = starts.select("anchor")
-    if hot_threshold is None:
-        # At most MAX_HOT_ANCHORS anchors can exceed this, which bounds the broadcast.
-        hot_threshold = max(MIN_HOT_STARTS, 2 * reads.count() // MAX_HOT_ANCHORS + 1)
-    hot = hot_anchors(anchors, hot_threshold)
-    if hot.isEmpty():
+    hot = cut_lineage(hot_anchors(starts.select("anchor"), hot_threshold))
+    num_hot = hot.count()
+    if num_hot == 0:
         return _anchored(reads, starts, min_len)
-    if hot.count() > MAX_HOT_ANCHORS:
-        raise ValueError("hot_threshold is too low for this read set")
-    hot_ids = F.broadcast(hot.select("anchor"))
-    cold = _anchored(reads, starts.join(hot_ids, "anchor", "left_anti"), min_len)
+    if num_hot <= MAX_BROADCAST_ANCHORS:
+        hot = F.broadcast(hot)
+    cold = _anchored(reads, starts.join(hot, "anchor", "left_anti"), min_len)
     return cold.unionByName(_whole_window(reads, starts, hot, min_len))
 
 
@@ -228,7 +227,7 @@ def overlap_dedup(candidates: DataFrame) -> DataFrame:
 
 
 def compute_overlaps(reads: DataFrame, min_len: int = 25, max_edits: int = 0,
-                     hot_threshold: int | None = None) -> DataFrame:
+                     hot_threshold: int = HOT_STARTS) -> DataFrame:
     """Overlap relation of ``(read_id, seq)``.
 
     ``(f, f_beg, f_end, g, g_beg, g_end, rc)`` with 0-based inclusive ends on the

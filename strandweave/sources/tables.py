@@ -60,23 +60,14 @@ def _digest(tag: str, key: Column) -> Column:
 
 def read_layout(events: DataFrame, part: DataFrame) -> DataFrame:
     """``(read_id, start, read_len, flipped)``: where each read comes from."""
-    genome_len = part.agg((F.count("*") * BLOCK_LEN).alias("genome_len"))
+    genome_len = F.lit(part.count() * BLOCK_LEN)
     key = F.col("event_id")
-    # One-row side: the total base count.
-    return (
-        events.select(
-            key.alias("read_id"),
-            (READ_LEN_MIN + _digest("l", key) % READ_LEN_SPREAD).cast("int").alias("read_len"),
-            (_digest("s", key) % 2 == 1).alias("flipped"),
-            _digest("p", key).alias("place"),
-        )
-        .join(F.broadcast(genome_len))
-        .select(
-            "read_id",
-            (F.col("place") % (F.col("genome_len") - F.col("read_len") + 1)).alias("start"),
-            "read_len",
-            "flipped",
-        )
+    read_len = (READ_LEN_MIN + _digest("l", key) % READ_LEN_SPREAD).cast("int")
+    return events.select(
+        key.alias("read_id"),
+        (_digest("p", key) % (genome_len - read_len + 1)).alias("start"),
+        read_len.alias("read_len"),
+        (_digest("s", key) % 2 == 1).alias("flipped"),
     )
 
 
