@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandweave.operators.degrees import inner_vertices
 from strandweave.operators.string_graph import StringGraph, edge_len, to_bidigraph, to_digraph
-from strandweave.session import cut_lineage
+from strandweave.session import cut_lineage, stacked
 
 LABEL_CHUNK = 4096
 
@@ -47,7 +47,7 @@ def path_positions(graph: StringGraph) -> DataFrame:
             "edge_id", F.col("ptr2").alias("ptr"),
             (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"),
         )
-        state = cut_lineage(state.where(F.col("done")).unionByName(moved))
+        state = cut_lineage(stacked(state.where(F.col("done")), moved))
         now = state.where(~F.col("done")).count()
         # While a path is unfinished each round finishes some of its edges, so what
         # no longer shrinks can only be rings.

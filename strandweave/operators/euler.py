@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from strandweave.operators.degrees import components
 from strandweave.operators.ranking import group_ranks
 from strandweave.operators.string_graph import StringGraph
-from strandweave.session import cut_lineage
+from strandweave.session import cut_lineage, stacked
 
 # A dart id packs edge id, use number and end. Twin flows add up, so uses stay below 2^21.
 USE_BITS = 21
@@ -87,9 +87,9 @@ def _circuits(pairs: DataFrame) -> DataFrame:
 def _merge_round(pairs: DataFrame, salt: int) -> DataFrame | None:
     """Merge circuits that share vertices; None if every circuit already stands alone.
 
-    Circuits get random priorities. Each hooks to a vertex where it meets one of lesser
-    priority, so the hooks form a forest and rotating the partners of all circuits hooked at a
-    vertex, together with its least circuit, joins each tree into one circuit.
+    Circuits get random priorities. Each hooks to the busiest vertex where it meets one of
+    lesser priority. The hooks form a forest, so rotating the partners of all circuits
+    hooked at a vertex, together with its least circuit, joins each tree into one circuit.
     """
     # One pair per (vertex, circuit): partial aggregation keeps a crowded vertex cheap.
     rep = cut_lineage(
@@ -98,13 +98,14 @@ def _merge_round(pairs: DataFrame, salt: int) -> DataFrame | None:
     )
     least = rep.groupBy("v").agg(
         F.min(F.struct("prio", "circuit")).alias("low"), F.count("*").alias("meeting")
-    ).where(F.col("meeting") > 1).select("v", "low")
+    ).where(F.col("meeting") > 1)
     if least.isEmpty():
         return None
     hooks = cut_lineage(
         rep.join(least, "v").where(F.struct("prio", "circuit") > F.col("low"))
         .groupBy("circuit")
-        .agg(F.min(F.struct(F.col("low.prio"), F.col("low.circuit").alias("to"), "v")).alias("h"))
+        .agg(F.min(F.struct((-F.col("meeting")).alias("fewer"), F.col("low.prio"),
+                            F.col("low.circuit").alias("to"), "v")).alias("h"))
         .select("circuit", F.col("h.to").alias("to"), F.col("h.v").alias("v"))
     )
     members = hooks.select("v", "circuit").union(hooks.select("v", "to")).distinct()
@@ -176,7 +177,7 @@ def eulerian_cycle(graph: StringGraph) -> DataFrame:
             "circuit", "dart", F.col("ptr2").alias("ptr"),
             (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"),
         )
-        state = cut_lineage(state.where(F.col("done")).unionByName(moved))
+        state = cut_lineage(stacked(state.where(F.col("done")), moved))
     return state.join(heads.select(F.col("head").alias("ptr")), "ptr", "left_semi").select(
         F.shiftright("circuit", USE_BITS).alias("circuit"),
         F.col("dist").alias("step"),

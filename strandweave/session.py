@@ -82,3 +82,9 @@ def spread(table: DataFrame) -> DataFrame:
     if table.rdd.getNumPartitions() >= cores:
         return table
     return table.repartition(cores)
+
+
+def stacked(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Union whose partition count does not grow when a loop applies it again and again."""
+    width = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return first.unionByName(second).coalesce(width)
