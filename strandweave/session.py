@@ -48,22 +48,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once and continue from the copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
-    """Fresh path for one written stage table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/stages/{name}-{uuid.uuid4().hex[:12]}"
+    """Fresh path for one written table of this application below the shared folder."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/{app}-stages/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
-    Preferred over a checkpoint where later stages prune columns or profit from the
-    size statistics of a file source.
+    The copy outlives any executor. Unlike a checkpoint it also has a true size: a loop's
+    size estimates would otherwise multiply from round to round, and joins with
+    tables that turn out small could not be planned as such.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
@@ -71,6 +67,11 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Continue from a written copy of ``df``; for the rounds of a loop."""
+    return write_stage(df, "round")
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Give a stored table at least one partition per core.
 
