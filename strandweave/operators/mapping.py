@@ -12,29 +12,40 @@ from strandweave.session import cut_lineage
 # Fixed value: a read end that could lie in this many places is not mapped at all.
 MAX_HITS = 100
 
+PLACEMENT = ("read_id", "container", "read", "before", "after", "rc", "f", "g", "type")
 
-def contained_overhangs(overlaps: DataFrame, index_map: DataFrame) -> DataFrame:
-    """Nearest uncontained container on each side of every contained read.
 
-    ``(read_id, overhang, over_read, over_rc, underhang, under_read, under_rc)`` with new
-    container numbers. Ties go to the first overlap in (f, g, type) order.
+def containers(overlaps: DataFrame, index_map: DataFrame) -> DataFrame:
+    """Placements of contained reads in uncontained ones.
+
+    ``(read_id, container, read, before, after, rc, f, g, type)``: ``read`` is the new number
+    of ``container``, and ``before`` and ``after`` are its bases on either side.
     """
-    new = index_map.where(F.col("new_id").isNotNull())
+    new = index_map.where(F.col("new_id").isNotNull()).select(
+        F.col("old_id").alias("container"), F.col("new_id").alias("read"))
     inner_is_f = f_inside()
     rows = overlaps.where(f_inside() | g_inside()).select(
         F.when(inner_is_f, F.col("f")).otherwise(F.col("g")).alias("read_id"),
-        F.when(inner_is_f, F.col("g")).otherwise(F.col("f")).alias("old_id"),
+        F.when(inner_is_f, F.col("g")).otherwise(F.col("f")).alias("container"),
         F.when(inner_is_f, F.col("g_beg")).otherwise(F.col("f_beg")).alias("before"),
         F.when(inner_is_f, F.col("g_len") - F.col("g_end") - 1)
         .otherwise(F.col("f_len") - F.col("f_end") - 1).alias("after"),
-        "f", "g", ((F.col("f_beg") > 0).cast("int") * 2 + F.col("rc").cast("int")).alias("type"), "rc",
+        "rc", "f", "g", ((F.col("f_beg") > 0).cast("int") * 2 + F.col("rc").cast("int")).alias("type"),
     )
-    tie = ["f", "g", "type", F.col("new_id").alias("read"), "rc"]
+    return rows.join(new, "container").select(*PLACEMENT)
+
+
+def nearest_containers(placements: DataFrame) -> DataFrame:
+    """Nearest uncontained container on each side of every contained read.
+
+    ``(read_id, overhang, over_read, over_rc, underhang, under_read, under_rc)`` with new
+    container numbers. Ties go to the first overlap in (f, g, type) order.
+    """
+    tie = ["f", "g", "type", "read", "rc"]
     over = F.when(F.col("rc"), F.col("before")).otherwise(F.col("after"))
     under = F.when(F.col("rc"), F.col("after")).otherwise(F.col("before"))
     return (
-        rows.join(new, "old_id")
-        .groupBy("read_id")
+        placements.groupBy("read_id")
         .agg(
             F.min(F.struct(over.alias("gap"), *tie)).alias("o"),
             F.min(F.struct(under.alias("gap"), *tie)).alias("u"),
@@ -49,6 +60,11 @@ def contained_overhangs(overlaps: DataFrame, index_map: DataFrame) -> DataFrame:
     )
 
 
+def contained_overhangs(overlaps: DataFrame, index_map: DataFrame) -> DataFrame:
+    """``nearest_containers`` straight from an overlap relation."""
+    return nearest_containers(containers(overlaps, index_map))
+
+
 def walk_starts(overhangs: DataFrame) -> DataFrame:
     """``(v, residual, reads)``: distinct walk starts and how many read ends share them.
 
@@ -121,9 +137,14 @@ def map_contained(graph: StringGraph, overlaps: DataFrame, index_map: DataFrame)
 
     Runs before the collapse: vertices must still be numbered by uncontained read.
     """
+    return map_placements(graph, containers(overlaps, index_map))
+
+
+def map_placements(graph: StringGraph, placements: DataFrame) -> StringGraph:
+    """``map_contained`` for placements from any source."""
     if graph.kind != "digraph":
         raise ValueError("contained reads map onto a directed graph")
-    starts = cut_lineage(walk_starts(contained_overhangs(overlaps, index_map)))
+    starts = cut_lineage(walk_starts(nearest_containers(placements)))
     added = mapped_read_counts(starts, walk_back(starts, graph.edges))
     columns = graph.edges.columns
     edges = (

@@ -18,6 +18,7 @@ from strandweave.operators import (
     circulation,
     collapse,
     containment,
+    copies,
     copy_number,
     euler,
     mapping,
@@ -55,14 +56,41 @@ class Assembly:
     def reads(self) -> DataFrame:
         return spread(self._stage("reads", self._source))
 
+    @cached_property
+    def _folded(self) -> tuple[DataFrame, DataFrame]:
+        source = self.reads
+        began = time.monotonic()
+        distinct, repeated = copies.fold_copies(source)
+        repeated = self._stage("copies", repeated, began)
+        return spread(self._stage("distinct_reads", distinct)), repeated
+
+    @property
+    def distinct_reads(self) -> DataFrame:
+        return self._folded[0]
+
+    @property
+    def copies(self) -> DataFrame:
+        return self._folded[1]
+
     @cached_property
     def overlaps(self) -> DataFrame:
+        """Overlaps between distinct reads; all that the assembly needs."""
+        source = self.distinct_reads
         began = time.monotonic()
-        return self._stage("overlaps", overlaps.compute_overlaps(self.reads, self.min_len), began)
+        return self._stage("overlaps", overlaps.compute_overlaps(source, self.min_len), began)
+
+    @cached_property
+    def all_overlaps(self) -> DataFrame:
+        """The complete overlap relation, pairs of copies included."""
+        if self.copies.isEmpty():
+            return self.overlaps
+        source = self.reads
+        began = time.monotonic()
+        return self._stage("all_overlaps", overlaps.compute_overlaps(source, self.min_len), began)
 
     @cached_property
     def index_map(self) -> DataFrame:
-        contained = containment.contained_reads(self.overlaps)
+        contained = containment.contained_reads(self.overlaps).union(self.copies.select("read_id"))
         return self._stage("index_map", containment.old_to_new_indices(self.reads, contained))
 
     @cached_property
@@ -103,11 +131,18 @@ class Assembly:
         kept = skeleton.join(gone, "edge_id", "left_anti")
         return self._graph_stage("reduced", self._labelled(kept), began)
 
+    @cached_property
+    def placements(self) -> DataFrame:
+        """Where contained reads lie in uncontained ones, copies included."""
+        single = mapping.containers(self.overlaps, self.index_map)
+        repeated = copies.copy_placements(self.copies, single, self.index_map)
+        return self._stage("placements", single.unionByName(repeated))
+
     @cached_property
     def mapped(self) -> StringGraph:
-        source = self.reduced
+        source, _ = self.reduced, self.placements
         began = time.monotonic()
-        graph = mapping.map_contained(source, self.overlaps, self.index_map)
+        graph = mapping.map_placements(source, self.placements)
         return self._graph_stage("mapped", graph, began)
 
     @cached_property
@@ -142,7 +177,7 @@ class Assembly:
 
     def containment_summary(self) -> DataFrame:
         return containment.containment_summary(
-            self.index_map, self.overlaps.select(F.lit(1)), self.kept_overlaps.select(F.lit(1)))
+            self.index_map, self.all_overlaps.select(F.lit(1)), self.kept_overlaps.select(F.lit(1)))
 
 
 def assemble(reads: DataFrame, min_len: int = 25) -> Assembly:

@@ -109,7 +109,7 @@ def _bidi_reduced(a: Assembly) -> DataFrame:
 
 
 def _starts(a: Assembly) -> DataFrame:
-    return mapping.walk_starts(mapping.contained_overhangs(a.overlaps, a.index_map))
+    return mapping.walk_starts(mapping.contained_overhangs(a.all_overlaps, a.index_map))
 
 
 def _added(a: Assembly) -> DataFrame:
@@ -153,11 +153,11 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "kmer_occurrences": lambda a: overlaps.kmer_occurrences(a.reads, fn.seed_length(a.min_len)),
     "kmer_counts": lambda a: overlaps.kmer_counts(a.reads, fn.seed_length(a.min_len)),
     "seed_pairs": lambda a: overlaps.seed_pairs(a.reads, fn.seed_length(a.min_len)),
-    "compute_overlaps": lambda a: _bare(a.overlaps),
+    "compute_overlaps": lambda a: _bare(a.all_overlaps),
     "overlap_dedup": _dedup,
-    "overlap_violations": lambda a: overlaps.overlap_violations(a.reads, a.overlaps, a.min_len),
-    "print_overlaps": lambda a: render.print_overlaps(a.overlaps),
-    "contained_reads": lambda a: containment.contained_reads(a.overlaps),
+    "overlap_violations": lambda a: overlaps.overlap_violations(a.reads, a.all_overlaps, a.min_len),
+    "print_overlaps": lambda a: render.print_overlaps(a.all_overlaps),
+    "contained_reads": lambda a: containment.contained_reads(a.all_overlaps),
     "old_to_new_indices": lambda a: a.index_map,
     "uncontained_reads": lambda a: a.kept_reads,
     "uncontained_overlaps": lambda a: _bare(a.kept_overlaps),
@@ -176,7 +176,7 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "mean_degree": lambda a: degrees.mean_degree(a.reduced),
     "extract_edge_seqs": lambda a: string_graph.extract_edge_seqs(a.reduced),
     "extract_bidigraph_seqs": lambda a: string_graph.extract_edge_seqs(_built_bidigraph(a)),
-    "contained_overhangs": lambda a: mapping.contained_overhangs(a.overlaps, a.index_map),
+    "contained_overhangs": lambda a: mapping.contained_overhangs(a.all_overlaps, a.index_map),
     "walk_starts": _starts,
     "walk_back": lambda a: mapping.walk_back(cut_lineage(_starts(a)), a.reduced.edges),
     "mapped_read_counts": _added,

@@ -22,7 +22,7 @@ def ten(spark):
 
 
 def test_overlap_listing(ten):
-    lines = [r.line for r in render.print_overlaps(ten.overlaps).orderBy("f", "g", "type").collect()]
+    lines = [r.line for r in render.print_overlaps(ten.all_overlaps).orderBy("f", "g", "type").collect()]
     assert lines == TEN_READ_OVERLAPS
 
 
@@ -57,7 +57,7 @@ def test_whole_assembly_ends_in_a_valid_cycle(ten):
 
 def test_three_reads(spark):
     run = Assembly(reads_df(spark, THREE_READS), 8)
-    rows = [tuple(r)[:7] for r in run.overlaps.orderBy("f", "g").collect()]
+    rows = [tuple(r)[:7] for r in run.all_overlaps.orderBy("f", "g").collect()]
     assert rows == [
         (0, 0, 19, 1, 12, 31, False), (0, 0, 7, 2, 0, 7, True), (1, 0, 19, 2, 0, 19, True),
     ]
@@ -68,7 +68,7 @@ def test_three_reads(spark):
 
 def test_eleven_reads(spark):
     run = Assembly(reads_df(spark, ELEVEN_READS), 25)
-    assert run.overlaps.count() == 31
+    assert run.all_overlaps.count() == 31
     assert run.index_map.where("new_id IS NULL").count() == 0
     assert run.skeleton.count() == 62
     assert run.reduced.edges.count() == 20
