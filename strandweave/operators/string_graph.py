@@ -222,6 +222,11 @@ def extract_edge_seqs(graph: StringGraph) -> DataFrame:
     return graph.edges.select("edge_id", F.posexplode(F.array("seq12", "seq21")).alias("part", "seq"))
 
 
+def number_seqs(labels: DataFrame) -> DataFrame:
+    """``(read_id, seq)``: labels numbered in edge order, as a read set."""
+    return dense_order(labels, ["edge_id", "part"], "read_id").select("read_id", "seq")
+
+
 def renumber(graph: StringGraph) -> StringGraph:
     """Directed graph with dense vertex and edge numbers in the old order."""
     v = dense_ids(graph.vertices, "v", "new_v")
