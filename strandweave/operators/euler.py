@@ -109,9 +109,9 @@ def _merge_round(pairs: DataFrame, salt: int) -> DataFrame | None:
         .select("circuit", F.col("h.to").alias("to"), F.col("h.v").alias("v"))
     )
     members = hooks.select("v", "circuit").union(hooks.select("v", "to")).distinct()
-    seats = cut_lineage(group_ranks(members.join(rep, ["v", "circuit"]).select(
+    seats = group_ranks(members.join(rep, ["v", "circuit"]).select(
         "v", F.col("rep.din").alias("din"), F.col("rep.dout").alias("dout")
-    ), ["v"], "din", "seat"))
+    ), ["v"], "din", "seat")
     size = seats.groupBy("v").agg(F.count("*").alias("size"))
     next_out = seats.select("v", F.col("seat").alias("next_seat"), F.col("dout").alias("new_out"))
     turned = (
@@ -120,15 +120,26 @@ def _merge_round(pairs: DataFrame, salt: int) -> DataFrame | None:
         .join(next_out, ["v", "next_seat"])
         .select("din", "new_out")
     )
-    circuits = rep.select(F.col("circuit").alias("v")).distinct()
-    label = components(circuits, hooks.select(F.col("circuit").alias("v1"), F.col("to").alias("v2")))
+    roots = _roots(hooks.select("circuit", "to"))
     return cut_lineage(
-        pairs.join(turned, "din", "left")
-        .join(label.select(F.col("v").alias("circuit"), "component"), "circuit")
-        .select("v", "din", F.coalesce("new_out", "dout").alias("dout"), F.col("component").alias("circuit"))
+        pairs.join(turned, "din", "left").join(roots, "circuit", "left")
+        .select("v", "din", F.coalesce("new_out", "dout").alias("dout"),
+                F.coalesce("to", "circuit").alias("circuit"))
     )
 
 
+def _roots(hooks: DataFrame) -> DataFrame:
+    """``(circuit, to)`` with every hook followed to the root of its tree, by pointer jumping."""
+    while True:
+        above = hooks.select(F.col("circuit").alias("to"), F.col("to").alias("above"))
+        jumped = hooks.join(above, "to", "left").select(
+            "circuit", F.coalesce("above", "to").alias("to"), F.col("above").isNotNull().alias("moved"))
+        jumped = cut_lineage(jumped)
+        if jumped.where("moved").isEmpty():
+            return jumped.drop("moved")
+        hooks = jumped.drop("moved")
+
+
 def closed_walks(graph: StringGraph) -> DataFrame:
     """``(v, din, dout, circuit)``: final partners, one circuit per component of used edges."""
     if not balance_violations(graph).isEmpty():
