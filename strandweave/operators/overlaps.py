@@ -120,8 +120,8 @@ def _each_once(p: Column, a_rest: Column, b_len: Column) -> Column:
     return ~(a_flip & b_flip) & ~((a == b) & (a_flip != b_flip)) & (dovetail | inside)
 
 
-def _anchored(reads: DataFrame, starts: DataFrame, min_len: int) -> DataFrame:
-    """Overlaps found by joining window anchors with start anchors."""
+def _anchored(reads: DataFrame, starts: DataFrame, min_len: int, hot: DataFrame | None = None) -> DataFrame:
+    """Overlaps found by joining window anchors with start anchors, hot ones left out."""
     windows = (
         _oriented(reads, min_len)
         .select("read_id", "flip", "seq",
@@ -130,6 +130,9 @@ def _anchored(reads: DataFrame, starts: DataFrame, min_len: int) -> DataFrame:
                 F.col("seq").alias("a_seq"), F.col("m.hash").alias("anchor"),
                 F.col("m.pos").alias("a_pos"))
     )
+    if hot is not None:
+        windows = windows.join(hot, "anchor", "left_anti")
+        starts = starts.join(hot, "anchor", "left_anti")
     p = F.col("a_pos") - F.col("b_pos")
     a_len, b_len = F.length("a_seq"), F.length("b_seq")
     n = F.least(a_len - p, b_len)
@@ -202,7 +205,7 @@ def overlap_candidates(reads: DataFrame, min_len: int, hot_threshold: int = HOT_
         return _anchored(reads, starts, min_len)
     if num_hot <= MAX_BROADCAST_ANCHORS:
         hot = F.broadcast(hot)
-    cold = _anchored(reads, starts.join(hot, "anchor", "left_anti"), min_len)
+    cold = _anchored(reads, starts, min_len, hot)
     return cold.unionByName(_whole_window(reads, starts, hot, min_len))
 
 

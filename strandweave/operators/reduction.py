@@ -8,34 +8,72 @@ from pyspark.sql import functions as F
 from strandweave.operators.string_graph import StringGraph, edge_len, to_bidigraph, to_digraph
 
 
+def _owned(e: DataFrame) -> DataFrame:
+    """``(p, leaves, other, len, edge_id)``: each edge listed at its endpoint of lesser degree.
+
+    Whatever the degrees, no vertex owns more than the order of sqrt(edges) of them. A loop is
+    listed both as leaving and as entering its vertex.
+    """
+    degree = e.select(F.explode(F.array("v1", "v2")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
+    ranked = (
+        e.join(degree.select(F.col("v").alias("v1"), F.col("d").alias("d1")), "v1")
+        .join(degree.select(F.col("v").alias("v2"), F.col("d").alias("d2")), "v2")
+    )
+    at_tail = F.struct(F.col("v1").alias("p"), F.lit(True).alias("leaves"), F.col("v2").alias("other"))
+    at_head = F.struct(F.col("v2").alias("p"), F.lit(False).alias("leaves"), F.col("v1").alias("other"))
+    owner = (
+        F.when(F.col("v1") == F.col("v2"), F.array(at_tail, at_head))
+        .when(F.struct("d1", "v1") < F.struct("d2", "v2"), F.array(at_tail))
+        .otherwise(F.array(at_head))
+    )
+    return ranked.select("edge_id", "len", F.explode(owner).alias("o")).select("edge_id", "len", "o.*")
+
+
+def _triangles(e: DataFrame) -> DataFrame:
+    """``(e1, e2, e3)``: edges v -> w, w -> x and v -> x whose lengths add up.
+
+    Two edges meet at the corner that owns both; the third is looked up by its ends and
+    length. Joining at the corner of least degree keeps a vertex with a million edges on either
+    side from producing all pairs of them.
+    """
+    one, two = _owned(e).alias("a"), _owned(e).alias("b")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    through = ~a("leaves") & b("leaves")
+    fork = a("leaves") & b("leaves") & (a("len") <= b("len")) & (a("edge_id") != b("edge_id"))
+    meet = ~a("leaves") & ~b("leaves") & (a("len") <= b("len")) & (a("edge_id") != b("edge_id"))
+    pairs = one.join(two, a("p") == b("p")).where(through | fork | meet).select(
+        F.when(meet, b("other")).otherwise(a("other")).alias("v1"),
+        F.when(meet, a("other")).otherwise(b("other")).alias("v2"),
+        F.when(through, a("len") + b("len")).otherwise(b("len") - a("len")).alias("len"),
+        a("edge_id").alias("a"), b("edge_id").alias("b"),
+        F.when(through, 0).when(fork, 1).otherwise(2).alias("corner"),
+    )
+    third = e.select("v1", "v2", "len", F.col("edge_id").alias("c"))
+    corner = F.col("corner")
+    return pairs.join(third, ["v1", "v2", "len"]).select(
+        F.when(corner == 2, F.col("c")).otherwise(F.col("a")).alias("e1"),
+        F.when(corner == 0, F.col("b")).when(corner == 1, F.col("c")).otherwise(F.col("a")).alias("e2"),
+        F.when(corner == 0, F.col("c")).otherwise(F.col("b")).alias("e3"),
+    )
+
+
 def transitive_edges(edges: DataFrame, labels_follow_lengths: bool = False) -> DataFrame:
     """``(edge_id)`` of edges explained by a two-edge path.
 
-    The path and the edge are matched on (v1, v2, total length) before any text is
-    compared.
+    Paths are matched on ends and lengths; text is compared only for what remains.
 
     ``labels_follow_lengths`` skips the text and works on an edge skeleton. It holds for
     graphs built from exact overlaps: if the lengths add up, both routes place x at the
     same offset from v, and as v overlaps both w and x, the overlap of w and x covers
     all of w beyond v. The bases then agree because the overlap is exact.
     """
-    text = [] if labels_follow_lengths else ["seq"]
-    e = edges.select("edge_id", "v1", "v2", edge_len(edges).alias("len"), *text)
-    first = e.select("v1", F.col("v2").alias("w"), F.col("len").alias("len1"),
-                     *[F.col(c).alias("seq1") for c in text])
-    second = e.select(F.col("v1").alias("w"), "v2", F.col("len").alias("len2"),
-                      *[F.col(c).alias("seq2") for c in text])
-    # No path can beat the longest edge leaving v, nor the longest edge entering x.
-    longest_out = e.groupBy("v1").agg(F.max("len").alias("max_out"))
-    longest_in = e.groupBy("v2").agg(F.max("len").alias("max_in"))
-    paths = (
-        first.join(longest_out, "v1")
-        .join(second.join(longest_in, "v2"), "w")
-        .where(F.col("len1") + F.col("len2") <= F.least("max_out", "max_in"))
-        .select("v1", "v2", (F.col("len1") + F.col("len2")).alias("len"),
-                *[F.concat("seq1", "seq2").alias("seq") for _ in text])
-    )
-    return e.join(paths, ["v1", "v2", "len", *text], "left_semi").select("edge_id")
+    found = _triangles(edges.select("edge_id", "v1", "v2", edge_len(edges).alias("len")))
+    if not labels_follow_lengths:
+        for name in ("e1", "e2", "e3"):
+            text = edges.select(F.col("edge_id").alias(name), F.col("seq").alias(f"{name}_seq"))
+            found = found.join(text, name)
+        found = found.where(F.concat("e1_seq", "e2_seq") == F.col("e3_seq"))
+    return found.select(F.col("e3").alias("edge_id")).distinct()
 
 
 def transitive_reduction(graph: StringGraph, labels_follow_lengths: bool = False) -> StringGraph:

@@ -7,7 +7,7 @@ import pytest
 from fixtures import rc, reads_df
 from test_overlaps import dna, sample
 
-from strandweave.operators import circulation, collapse, copy_number, degrees, euler, mapping, string_graph
+from strandweave.operators import circulation, collapse, copy_number, degrees, euler, mapping, reduction, string_graph
 from strandweave.operators.string_graph import StringGraph, default_attributes, to_bidigraph
 from strandweave.plans.assembly import Assembly
 from strandweave.session import cut_lineage
@@ -211,3 +211,27 @@ def test_dense_coverage_of_a_repeat_free_genome_gives_one_path_per_strand(spark)
     edges = run.collapsed.edges.collect()
     assert len(edges) == 2
     assert all(600 - 60 <= len(e.seq) + 0 <= 600 for e in edges)
+
+
+def test_reduction_matches_brute_force_with_a_crowded_vertex(spark):
+    rng = random.Random(9)
+    pairs = set()
+    while len(pairs) < 70:
+        a, b = rng.randrange(24), rng.randrange(24)
+        if rng.random() < 0.4:
+            a, b = (1, b) if rng.random() < 0.5 else (a, 1)
+        pairs.add((a, b, rng.choice(["A", "AA", "AC", "AAA", "ACA", "AAAA"])))
+    graph = digraph(spark, [(a, b, s, rc(s)) for a, b, s in sorted(pairs)], 12)
+    edges = graph.edges.collect()
+    want, by_length = set(), set()
+    for e1 in edges:
+        for e2 in edges:
+            if e1.v2 == e2.v1:
+                for e3 in edges:
+                    if (e3.v1, e3.v2) == (e1.v1, e2.v2) and len(e3.seq) == len(e1.seq) + len(e2.seq):
+                        by_length.add(e3.edge_id)
+                        if e1.seq + e2.seq == e3.seq:
+                            want.add(e3.edge_id)
+    assert 0 < len(want) < len(by_length)
+    assert {r[0] for r in reduction.transitive_edges(graph.edges).collect()} == want
+    assert {r[0] for r in reduction.transitive_edges(graph.edges, True).collect()} == by_length
