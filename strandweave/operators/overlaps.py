@@ -81,11 +81,12 @@ def _oriented(reads: DataFrame, min_len: int) -> DataFrame:
 
 def _starts(reads: DataFrame, min_len: int) -> DataFrame:
     """One row per oriented read: the anchor of its first L bases."""
-    first = window_anchors(*anchor_geometry(min_len))(F.substring("seq", 1, min_len))[0]
+    # L bases have exactly one window, hence one row; as a generator the kernel runs once.
+    first = window_anchors(*anchor_geometry(min_len))(F.substring("seq", 1, min_len))
     return (
         _oriented(reads, min_len)
         .select(F.col("read_id").alias("b"), F.col("flip").alias("b_flip"),
-                F.col("seq").alias("b_seq"), first.alias("first"))
+                F.col("seq").alias("b_seq"), F.explode(first).alias("first"))
         .select("b", "b_flip", "b_seq", F.col("first.hash").alias("anchor"),
                 F.col("first.pos").alias("b_pos"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.operators.string_graph import StringGraph, edge_len, to_bidigraph, to_digraph
+from strandweave.session import cut_lineage
 
 
 def _owned(e: DataFrame) -> DataFrame:
@@ -36,7 +37,9 @@ def _triangles(e: DataFrame) -> DataFrame:
     length. Joining at the corner of least degree keeps a vertex with a million edges on either
     side from producing all pairs of them.
     """
-    one, two = _owned(e).alias("a"), _owned(e).alias("b")
+    # Written once: both sides of the self-join then read the same narrow rows.
+    owned = cut_lineage(_owned(e))
+    one, two = owned.alias("a"), owned.alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     through = ~a("leaves") & b("leaves")
     fork = a("leaves") & b("leaves") & (a("len") <= b("len")) & (a("edge_id") != b("edge_id"))
