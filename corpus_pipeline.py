@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm import decontaminate, language_id
+from strandweave.llm import decontaminate, language_id, mixing, ngram_join, training_order
 from strandweave.llm.common import load
+from strandweave.llm.queries import MIX_TARGETS, tokenizer_path
 from strandweave.session import write_stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,14 +19,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group linked by shingle similarity."""
+    return ngram_join.keep_one(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
     return decontaminate.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents by rates that meet the target shares of the labelled domains."""
+    return mixing.mixed(docs, mixing.label_domains(load(spark, sf_dir, "labels")), MIX_TARGETS)
+
+
+def training_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token shards in training order; returns their index."""
+    index, _, _ = training_order.materialise(docs, tokenizer_path())
+    return index
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", identify_language),
+    ("ngram_jaccard_join", near_duplicates),
     ("benchmark_decontamination", decontaminated),
+    ("source_mixing", mix_sources),
+    ("training_order", training_shards),
 ]
 
 #: Trained models and a keyed permutation are not expressible in SQL; see tests/llm.

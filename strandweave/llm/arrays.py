@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 1 << 15
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CLASS = np.uint64(0xC2B2AE3D27D4EB4F)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -91,7 +92,7 @@ class Texts:
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """Cut a string column into chunks of whole rows."""
+    """Cut a string column into chunks of whole rows, at most ``CHUNK_ROWS`` of them."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -103,7 +104,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = CHUNK_BYTES) ->
     first = 0
     while first < len(column):
         last = int(np.searchsorted(offsets, offsets[first] + max_bytes, side="right")) - 1
-        last = min(max(last, first + 1), len(column))
+        last = min(max(last, first + 1), first + CHUNK_ROWS, len(column))
         yield Texts(data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first], first)
         first = last
 

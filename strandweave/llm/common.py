@@ -28,7 +28,8 @@ def bounded_sample(df: DataFrame, by: str, rows: int) -> DataFrame:
     All rows are kept where a value has fewer. Only for fitting classifiers; the counts
     are one grouped sum whose result has a row per class.
     """
-    counts = df.groupBy(by).count().where(F.col(by).isNotNull())
-    shares = counts.select(F.col(by).alias("_class"), F.least(F.lit(1.0), F.lit(float(rows)) / F.col("count")).alias("_share"))
-    return (thinned(df.join(F.broadcast(shares), F.col(by) == F.col("_class")), F.col("_share"))
-            .drop("_class", "_share"))
+    shares = [(r[0], min(1.0, rows / r[1])) for r in df.where(F.col(by).isNotNull()).groupBy(by).count().collect()]
+    if not shares:
+        return df.where("false")
+    share = F.coalesce(*[F.when(F.col(by) == value, F.lit(part)) for value, part in shares])
+    return thinned(df, share)

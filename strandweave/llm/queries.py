@@ -7,12 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import decontaminate, language_id
+from strandweave.llm import (
+    decontaminate,
+    language_id,
+    mixing,
+    ngram_join,
+    token_counts,
+    toxicity,
+    training_order,
+)
 from strandweave.llm.common import fold_of, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+#: Token shares of the domains of the labelled table in the mixture.
+MIX_TARGETS = {"good": 0.85, "low": 0.1, "toxic": 0.05}
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = mixing.label_domains(load(spark, sf_dir, "labels"))
+    rated, model = mixing.with_rates(docs, labels, MIX_TARGETS)
+    return rated.select(
+        "doc_id", F.col("_tokens").cast("long").alias("n_tokens"),
+        *[F.col("_posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)],
+        F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(load(spark, sf_dir, "documents"))
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, _, _ = training_order.materialise(load(spark, sf_dir, "documents"), tokenizer_path())
+    return index
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(fold_of("doc_id", 5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -24,10 +68,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def llm_queries() -> dict[str, Query]:
     return {
+        "op2_source_mixing": op2_source_mixing,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op4_training_order": op4_training_order,
+        "op7_toxicity": op7_toxicity,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_language_id": op9_language_id,
+        "op10_token_counts": op10_token_counts,
     }
 
 
