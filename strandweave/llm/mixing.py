@@ -2,7 +2,7 @@
 
 A naive Bayes classifier over hashed words, counted on a bounded sample of the labelled
 table, gives each document a posterior over domains. Nonnegative rates per document are
-then fitted by projected gradient least squares (with momentum) so that the expected
+then fitted by projected gradient least squares so that the expected
 tokens of each domain, rate times tokens times posterior summed over all documents, match the
 targets; the token total is kept. Documents with equal (rounded) posteriors have equal
 gradients, hence equal rates, so the gradient sums run over distinct posteriors; every
@@ -26,7 +26,7 @@ from strandweave.llm.common import bounded_sample
 
 BUCKETS = 1 << 14
 DIGITS = 3
-STEPS = 80
+STEPS = 60
 
 
 @dataclass
@@ -95,23 +95,21 @@ def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
 
 
 def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
-    """Rate after the given gradient steps, each the scaled residuals followed by the momentum."""
-    k = len(steps[0]) - 1 if steps else 0
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    """Rate after the given gradient steps, each the K residuals as scaled for the step."""
+    rate = F.lit(1.0)
     if not steps:
-        return start
+        return rate
     history = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+    return F.aggregate(history, rate, lambda r, h: F.greatest(
+        F.lit(0.0), r - sum((posterior[i] * h[i] for i in range(len(steps[0]))), F.lit(0.0))))
 
-    def step(acc: Column, h: Column) -> Column:
-        move = sum((posterior[i] * h[i] for i in range(k)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), acc["y"] - move)
-        return F.struct(r.alias("r"), (r + h[k] * (r - acc["r"])).alias("y"))
 
-    return F.aggregate(history, start, step)
+def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float], tolerance: float = 1e-5) -> list[list[float]]:
+    """Gradient steps that define every document's rate through ``rate_of``.
 
-
-def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float], tolerance: float = 1e-6) -> list[list[float]]:
-    """Gradient steps that define every document's rate through ``rate_of``."""
+    Residuals are weighted by the inverse of the domains' Gram matrix over all tokens, which
+    gives the least squares unit curvature: the step length is 1 and few steps suffice.
+    """
     k = len(model.domains)
     if k == 0:
         return []
@@ -120,25 +118,19 @@ def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float],
     gram = cells.agg(F.sum(t).alias("total"), *[
         F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     total = gram["total"]
-    if not total:
-        cells.unpersist()
-        return []
-    matrix = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
-    rate = 1.0 / max(float(np.linalg.eigvalsh(matrix)[-1]), 1e-12)
-    goal = np.array([targets.get(d, 0.0) for d in model.domains], dtype=float)
-    goal = goal / max(goal.sum(), 1e-12)
     steps: list[list[float]] = []
-    momentum = 1.0
-    for _ in range(STEPS):
-        state = rate_of(p, steps)
-        row = cells.select(t, p, state["y"].alias("_y"), state["r"].alias("_r")).agg(
-            *[F.sum(t * p[i] * F.col("_y")).alias(f"y{i}") for i in range(k)],
-            *[F.sum(t * p[i] * F.col("_r")).alias(f"r{i}") for i in range(k)]).first()
-        if max(abs(row[f"r{i}"] / total - goal[i]) for i in range(k)) < tolerance:
-            break
-        after = (1 + (1 + 4 * momentum ** 2) ** 0.5) / 2
-        steps.append([*(rate * (row[f"y{i}"] / total - goal[i]) for i in range(k)), (momentum - 1) / after])
-        momentum = after
+    if total:
+        matrix = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
+        weight = np.linalg.pinv(matrix, rcond=1e-6, hermitian=True)
+        goal = np.array([targets.get(d, 0.0) for d in model.domains], dtype=float)
+        goal = goal / max(goal.sum(), 1e-12)
+        for _ in range(STEPS):
+            row = cells.select(t, p, rate_of(p, steps).alias("_r")).agg(
+                *[F.sum(t * p[i] * F.col("_r")).alias(f"r{i}") for i in range(k)]).first()
+            residual = np.array([row[f"r{i}"] for i in range(k)]) / total - goal
+            if np.abs(residual).max() < tolerance:
+                break
+            steps.append([float(x) for x in weight @ residual])
     cells.unpersist()
     return steps
 
@@ -152,7 +144,7 @@ def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], se
     scored = with_posteriors(docs, model)
     steps = fit_rates(scored, model, targets)
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rated = scored.withColumn("_rate", rate_of(F.col("_posterior"), steps)["r"])
+    rated = scored.withColumn("_rate", rate_of(F.col("_posterior"), steps))
     whole = F.floor("_rate")
     return rated.withColumn("_copies", (whole + (draw < F.col("_rate") - whole).cast("long")).cast("long")), model
 

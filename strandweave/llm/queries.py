@@ -28,7 +28,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 #: Token shares of the domains of the labelled table in the mixture.
-MIX_TARGETS = {"good": 0.85, "low": 0.1, "toxic": 0.05}
+MIX_TARGETS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
