@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import (
     decontaminate,
+    fingerprints,
     language_id,
     mixing,
     ngram_join,
@@ -50,6 +51,11 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return fingerprints.compared(docs, fingerprints.rarity_ranks(docs))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -77,6 +83,7 @@ def llm_queries() -> dict[str, Query]:
         "op2_source_mixing": op2_source_mixing,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_training_order": op4_training_order,
+        "op6_document_fingerprints": op6_document_fingerprints,
         "op7_toxicity": op7_toxicity,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_language_id": op9_language_id,
