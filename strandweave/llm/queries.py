@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandweave.llm import (
     decontaminate,
     fingerprints,
+    kneser_ney,
     language_id,
     mixing,
     ngram_join,
@@ -51,6 +52,14 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.where(fold_of("doc_id", 10) != 0))
+    return kneser_ney.score(docs, model).select(
+        "doc_id", (fold_of("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.words.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return fingerprints.compared(docs, fingerprints.rarity_ranks(docs))
@@ -83,6 +92,7 @@ def llm_queries() -> dict[str, Query]:
         "op2_source_mixing": op2_source_mixing,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_training_order": op4_training_order,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_document_fingerprints": op6_document_fingerprints,
         "op7_toxicity": op7_toxicity,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
