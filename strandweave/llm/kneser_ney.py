@@ -168,7 +168,7 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
     """A stored array, memory-mapped; from a store without local paths, through a deleted local copy."""
     store, path = _store(folder)
     path = f"{path}/{name}"
-    if store.get_file_info(path).size == 0:
+    if not store.get_file_info(path).size:  # absent: no key fell into this bucket
         return np.zeros(0, dtype=kind)
     if isinstance(store, pafs.LocalFileSystem):
         return np.memmap(path, dtype=kind, mode="r")
@@ -353,27 +353,21 @@ def _gather(model: Model, name: str, kind: str, width: int, numbers: np.ndarray)
     lows = np.concatenate([[0], model.edges]).astype(np.int64)
     cuts = np.concatenate([np.searchsorted(numbers, lows), [len(numbers)]])
     for b in np.flatnonzero(np.diff(cuts)):
-        if not _exists(model.words.folder, f"{name}-{b}"):
-            continue
         table = mapped(model.words.folder, f"{name}-{b}", kind).reshape(-1, width)
+        if len(table) == 0:
+            continue
         out[cuts[b]:cuts[b + 1]] = table[numbers[cuts[b]:cuts[b + 1]] - lows[b]]
     return out
 
 
-@lru_cache(maxsize=100_000)
-def _exists(folder: str, name: str) -> bool:
-    store, path = _store(folder)
-    return store.get_file_info(f"{path}/{name}").type == pafs.FileType.File
-
-
 def bigram_counts(model: Model, keys: np.ndarray) -> np.ndarray:
     """Counts of sorted bigram keys, 0 if absent."""
     out = np.zeros(len(keys), dtype=np.int64)
     cuts = np.concatenate([[0], np.searchsorted(keys, model.edges << np.uint64(32)), [len(keys)]])
     for b in np.flatnonzero(np.diff(cuts)):
-        if not _exists(model.words.folder, f"bigrams-{b}"):
-            continue
         known = mapped(model.words.folder, f"bigrams-{b}", "<u8")
+        if len(known) == 0:
+            continue
         part = keys[cuts[b]:cuts[b + 1]]
         at = np.minimum(np.searchsorted(known, part), len(known) - 1)
         hit = np.flatnonzero(known[at] == part)

@@ -12,6 +12,7 @@ from strandweave.llm import (
     fingerprints,
     kneser_ney,
     language_id,
+    line_dedup,
     mixing,
     ngram_join,
     token_counts,
@@ -29,6 +30,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 #: Token shares of the domains of the labelled table in the mixture.
 MIX_TARGETS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
 
@@ -89,6 +95,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_source_mixing": op2_source_mixing,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_training_order": op4_training_order,
