@@ -8,8 +8,8 @@ so far, and the pair is dropped once it falls below ``TOLERANCE``. What survives
 exactly on the shingle sets.
 
 No bucket or group is ever expanded into rows of pairs. A bucket first links its
-members to its least one; members that stay in other components are compared across
-components. So each surviving candidate lies inside one cluster, whose texts then meet
+members to its least one; members that stay in different components are compared across
+components inside tasks that return a spanning forest. So each surviving candidate lies inside one cluster, whose texts then meet
 in blocks of at most ``BLOCK`` classes (a large cluster is dealt over pairs of blocks), and a
 block returns a row per class: its number of links and its root.
 
@@ -164,21 +164,53 @@ def candidate_clusters(classes: DataFrame, threshold: float = THRESHOLD) -> Data
     stars = rows.where("cid > lead").select(F.col("lead").alias("u"), F.col("cid").alias("v")).distinct()
     links = write_stage(_pruned(stars, classes, threshold), "links")
     found = write_stage(connected_components(links), "labels")
-    # Members of a bucket that are still apart: those outside its main component against all others.
+    # Members of a bucket that are still in different components are compared across them.
     labelled = rows.join(found.withColumnRenamed("node", "cid"), "cid", "left").select(
         "key", "cid", F.coalesce("label", "cid").alias("label"))
-    parts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    apart = write_stage(labelled.join(mixed.select("key", F.col("main.label").alias("main")), "key"), "apart")
-    outer = apart.where("label != main").select("key", F.col("cid").alias("u"), F.col("label").alias("lu"))
-    inner = apart.select("key", F.col("cid").alias("v"), F.col("label").alias("lv"), "main")
-    pairs = outer.join(inner, "key").where("lu != lv and (lv = main or u < v)").select("u", "v").distinct()
-    more = write_stage(_pruned(pairs, classes, threshold), "links")
+    mixed = labelled.groupBy("key").agg(
+        F.min("label").alias("least"), F.max("label").alias("most"),
+        F.ceil(F.count("*") / F.lit(2 * BLOCK)).cast("int").alias("n_blocks")).where("least < most")
+    apart = labelled.join(mixed.select("key", "n_blocks"), "key").join(classes.select("cid", "sign"), "cid")
+    more = write_stage(_cross_links(apart, threshold), "links")
     if more.isEmpty():
         return found
     return write_stage(connected_components(links.unionByName(more)), "labels")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows ``(key, cid, n_blocks, ...)`` copied to every pair of blocks they take part in, in sorted groups."""
+    blocked = rows.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    paired = blocked.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "n_blocks")
+    return paired.repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
+
+
+def _cross_links(apart: DataFrame, threshold: float) -> DataFrame:
+    """Links ``(u, v)`` between components that share a bucket; of a block's links a spanning forest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ["key", "low", "high"]):
+            cid, label, block = (group.column(c).to_numpy() for c in ("cid", "label", "block"))
+            first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+            if group.column("low")[0].as_py() != group.column("high")[0].as_py() and block.min() == block.max():
+                continue
+            i, j = np.nonzero(label[first][:, None] != label[second][None, :])
+            left, right = first[i], second[j]
+            sign = _signatures(group.column("sign").combine_chunks())
+            kept = surviving(sign, sign, left, right, threshold)
+            distinct, part = np.unique(label, return_inverse=True)
+            parent, out = np.arange(len(distinct)), []
+            for a, b in zip(left[kept].tolist(), right[kept].tolist(), strict=True):
+                x, y = _root(parent, int(part[a])), _root(parent, int(part[b]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((cid[a], cid[b]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["u", "v"])
+
+    rows = _dealt(apart.select("key", "cid", "label", "sign", "n_blocks"), "key")
+    return rows.select("key", "low", "high", "cid", "label", "block", "sign").mapInArrow(run, "u long, v long")
+
+
 def _root(parent: np.ndarray, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -272,16 +304,12 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
 def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """``(cid, n, root)`` rows of exactly verified links, from each block of each cluster."""
     sizes = clusters.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n_blocks"))
-    member = clusters.withColumnRenamed("node", "cid").join(sizes, "label").withColumn(
-        "block", F.pmod(F.xxhash64("cid"), F.col("n_blocks")).cast("int"))
+    member = clusters.withColumnRenamed("node", "cid").join(sizes, "label")
     chosen = member.join(classes, "cid").select(
-        "label", "cid", "block", "n_blocks", "n_rows", "sign", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
+        "label", "cid", "n_blocks", "n_rows", "sign", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     on = chosen["doc_id"].eqNullSafe(texts["doc_id"]) & (chosen["text_hash"] == texts["text_hash"])
-    found = chosen.join(texts, on).select(chosen["label"], "cid", "block", "n_blocks", "n_rows", "sign", "text")
-    dealt = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "cid", "block", "n_rows", "sign", "text")
+    found = chosen.join(texts, on).select(chosen["label"], "cid", "n_blocks", "n_rows", "sign", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, ["label", "low", "high"]):
@@ -296,8 +324,8 @@ def _verified(docs: DataFrame, classes: DataFrame, clusters: DataFrame, threshol
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["cid", "n", "root"])
 
-    keys = ["label", "low", "high"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "cid long, n long, root long")
+    rows = _dealt(found, "label").select("label", "low", "high", "cid", "block", "n_rows", "sign", "text")
+    return rows.mapInArrow(run, "cid long, n long, root long")
 
 
 def shingle_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
