@@ -142,7 +142,7 @@ CTES["walk"] = """
 CTES["every_hit"] = "SELECT v, residual, edge_id, count(*) AS hits FROM walk WHERE remain < 0 GROUP BY ALL"
 CTES["hit"] = """
     SELECT * FROM every_hit WHERE (v, residual) IN
-        (SELECT (v, residual) FROM every_hit GROUP BY v, residual HAVING sum(hits) < 100)"""
+        (SELECT (v, residual) FROM every_hit GROUP BY v, residual)"""
 CTES["added"] = """
     SELECT edge_id, sum(reads * hits / n) AS added
     FROM hit JOIN (SELECT v, residual, sum(hits) AS n FROM hit GROUP BY v, residual) USING (v, residual)
@@ -197,7 +197,7 @@ CTES["ring_walk"] = """
     UNION
     SELECT w.edge_id, m.edge_id, m.v2 FROM ring_walk w JOIN mapped m ON m.v1 = w.v2"""
 
-RECURSIVE = ("walk", "path", "reach", "ring_walk")
+RECURSIVE = ("walk", "path", "reach", "ring_walk", "read_reach")
 
 CTES["reach"] = """
     SELECT v, v AS w FROM collapsed_v
@@ -217,6 +217,42 @@ CTES["pairs"] = """
     FROM measured a JOIN measured b ON b.edge_id = a.twin_id
     WHERE CASE WHEN a.v1 // 2 <> a.v2 // 2 THEN a.v1 < a.v2 WHEN a.v1 = a.v2 THEN a.v1 % 2 = 1
                ELSE a.edge_id <= a.twin_id END"""
+CTES["collapsed_pairs"] = CTES["pairs"].replace("measured", "collapsed")
+CTES["read_reach"] = """
+    SELECT v1 AS r, v1 AS w FROM pairs UNION SELECT v2, v2 FROM pairs
+    UNION
+    SELECT r.r, CASE WHEN p.v1 = r.w THEN p.v2 ELSE p.v1 END FROM read_reach r JOIN pairs p ON p.v1 = r.w OR p.v2 = r.w"""
+CTES["listed"] = """
+    SELECT edge_id, row_number() OVER (ORDER BY edge_id) - 1 AS step,
+           CASE WHEN edge_id % 3 = 0 THEN v1 ELSE v2 END AS leaves,
+           CASE WHEN edge_id % 3 = 0 THEN NOT v1_outward ELSE v2_inward END AS leaves_inward,
+           CASE WHEN edge_id % 3 = 0 THEN v2 ELSE v1 END AS enters,
+           CASE WHEN edge_id % 3 = 0 THEN v2_inward ELSE NOT v1_outward END AS enters_inward FROM pairs"""
+CTES["bad_edge"] = """
+    SELECT edge_id, twin_id, CASE WHEN edge_id % 13 = 4 THEN v1 + 1000000000 ELSE v1 END AS v1,
+           CASE WHEN edge_id % 7 = 3 THEN xor(v2, 2) ELSE v2 END AS v2 FROM edge WHERE edge_id % 11 <> 5"""
+CTES["bad_overlap"] = """
+    SELECT CASE WHEN k = 4 THEN f + 1000000000 ELSE f END AS f,
+           CASE WHEN k = 6 AND f_beg > 0 THEN f_beg - 1 ELSE f_beg END AS f_beg,
+           CASE WHEN k = 1 THEN f_end + 1 WHEN k = 5 THEN f_beg + 9
+                WHEN k = 6 AND f_beg > 0 THEN f_end - 1 ELSE f_end END AS f_end,
+           g, CASE WHEN k = 2 THEN g_beg - 1 ELSE g_beg END AS g_beg,
+           CASE WHEN k = 5 THEN g_beg + 9 ELSE g_end END AS g_end, CASE WHEN k = 3 THEN NOT rc ELSE rc END AS rc
+    FROM (SELECT *, (f + 3 * g) % 11 AS k FROM overlap)"""
+CTES["judged"] = f"""
+    SELECT f, f_beg, f_end, g, g_beg, g_end, rc, CASE
+        WHEN fs IS NULL OR gs IS NULL OR f > g THEN 'reads'
+        WHEN f_beg < 0 OR g_beg < 0 OR f_end > fl OR g_end > gl OR f_beg > f_end OR g_beg > g_end THEN 'range'
+        WHEN f_end - f_beg <> g_end - g_beg THEN 'lengths'
+        WHEN f_end - f_beg + 1 < {L} THEN 'too short'
+        WHEN f = g AND f_beg = g_beg AND f_end = g_end THEN 'same region'
+        WHEN substr(fs, f_beg + 1, f_end - f_beg + 1) <> CASE WHEN rc THEN {rc('substr(gs, g_beg + 1, g_end - g_beg + 1)')}
+             ELSE substr(gs, g_beg + 1, g_end - g_beg + 1) END THEN 'mismatch'
+        WHEN ((f_beg = 0 AND CASE WHEN rc THEN gl - g_end ELSE g_beg END = 0)
+              OR (f_end = fl AND CASE WHEN rc THEN gl - g_beg ELSE g_end END = gl))
+             AND f_end - f_beg <> fl AND f_end - f_beg <> gl THEN 'layout' END AS rule
+    FROM (SELECT o.*, a.seq AS fs, b.seq AS gs, length(a.seq) - 1 AS fl, length(b.seq) - 1 AS gl
+          FROM bad_overlap o LEFT JOIN reads a ON a.read_id = f LEFT JOIN reads b ON b.read_id = g)"""
 CTES["back"] = f"""
     SELECT 2 * edge_id AS edge_id, 2 * edge_id + 1 AS twin_id, 2 * v1 + v1_outward::INTEGER AS v1,
            2 * v2 + v2_inward::INTEGER AS v2, seq12 AS seq, {FRESH} FROM pairs
@@ -274,12 +310,14 @@ FINAL: dict[str, str] = {
         repeat('@', length(seq)) AS record FROM reads""",
     "convert_reads": """SELECT read_id, seq FROM reads
         UNION ALL SELECT read_id + (SELECT count(*) FROM reads), seq FROM reads""",
-    "sequence_functions": f"""SELECT read_id, length(seq)::INTEGER AS len, {rc('seq')} AS rc, substr(seq, 11, 20) AS part,
-        {rc('substr(seq, 11, 20)')} AS rc_part, substr(seq, 1, 4) || 'A' || substr(seq, 6) AS edited,
-        instr('ACGT', substr(seq, 1, 1))::INTEGER - 1 AS first_code,
-        substr('ACGT', 4 - (instr('ACGT', substr(seq, 1, 1)) - 1), 1) AS first_complement,
-        least(substr(seq, 1, 25), {rc('substr(seq, 1, 25)')}) AS canonical,
-        seq NOT SIMILAR TO '.*[^ACGT].*' AS valid FROM reads""",
+    "sequence_functions": f"""SELECT read_id, length(seq)::INTEGER AS len, {rc('seq')} AS rc,
+        substr(seq, b + 1, e - b) AS part, {rc('substr(seq, b + 1, e - b)')} AS rc_part,
+        substr(seq, 1, e - 1) || 'A' || substr(seq, e + 1) AS edited,
+        list_sum([instr('ACGT', c) - 1 FOR c IN string_split(seq, '')])::INTEGER AS code_sum,
+        translate(seq, 'ACGT', 'TGCA') AS complement, array_to_string([least(w, {rc('w')}) FOR w IN ks], ',') AS canonical,
+        len([w FOR w IN ks IF NOT (w < {rc('w')})])::INTEGER AS reversed_kmers,
+        seq NOT SIMILAR TO '.*[^ACGT].*' AS valid FROM (SELECT *, length(seq) // 4 AS b, 3 * length(seq) // 4 AS e,
+            [substr(seq, p, 25) FOR p IN range(1, length(seq) - 23)] AS ks FROM reads)""",
     "numeric_functions": """SELECT l_orderkey, l_linenumber,
         CASE WHEN l_tax = 0 THEN 0.0 ELSE l_discount / l_tax END AS ratio,
         CASE WHEN l_tax = 0 THEN 0.0 ELSE l_discount * 100.0 / l_tax END AS percent,
@@ -288,16 +326,11 @@ FINAL: dict[str, str] = {
         FROM lineitem""",
     "kmer_occurrences": "SELECT kmer, read_id, pos, rc FROM occurrence",
     "kmer_counts": "SELECT kmer, count(*) AS occurrences, count(DISTINCT read_id) AS reads FROM occurrence GROUP BY kmer",
-    "seed_pairs": "SELECT kmer, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM occurrence GROUP BY kmer",
+    "seed_pair_counts": "SELECT kmer, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM occurrence GROUP BY kmer",
     "compute_overlaps": "SELECT f, f_beg, f_end, g, g_beg, g_end, rc FROM overlap",
     "overlap_dedup": """SELECT f, g, f_beg > 0 AS later, rc, max(n)::INTEGER AS longest FROM sided
         GROUP BY f, g, f_beg > 0, rc""",
-    "overlap_violations": f"""SELECT f, f_beg, f_end, g, g_beg, g_end, o.rc, 'mismatch' AS rule FROM overlap o
-        JOIN reads a ON a.read_id = f JOIN reads b ON b.read_id = g
-        WHERE f_end - f_beg <> g_end - g_beg OR f_end - f_beg + 1 < {L} OR (f = g AND f_beg = g_beg)
-           OR substr(a.seq, f_beg + 1, f_end - f_beg + 1) <> CASE WHEN o.rc
-              THEN {rc('substr(b.seq, g_beg + 1, g_end - g_beg + 1)')}
-              ELSE substr(b.seq, g_beg + 1, g_end - g_beg + 1) END""",
+    "overlap_violations": """SELECT f, f_beg, f_end, g, g_beg, g_end, rc, rule FROM judged WHERE rule IS NOT NULL""",
     "print_overlaps": """SELECT f, g, (f_beg > 0)::INTEGER * 2 + rc::INTEGER AS type,
         'Overlap { Read ' || (f + 1) || ': [' || f_beg || ', ' || f_end || '], Read ' || (g + 1) || ': [' || g_beg ||
         ', ' || g_end || '], rc = ' || rc::INTEGER || ' }' AS line FROM overlap""",
@@ -311,12 +344,16 @@ FINAL: dict[str, str] = {
         (SELECT count(*) AS n FROM overlap), (SELECT count(*) AS k FROM kept_overlap)""",
     "build_digraph": f"SELECT *, {FRESH} FROM edge",
     "build_bidigraph": "SELECT * FROM bidi",
-    "digraph_violations": """SELECT e.edge_id, 'twin ends' AS rule FROM edge e LEFT JOIN edge t ON t.edge_id = e.twin_id
-        WHERE t.twin_id IS DISTINCT FROM e.edge_id OR t.v1 <> xor(e.v2, 1) OR t.v2 <> xor(e.v1, 1)""",
-    "bidigraph_violations": "SELECT edge_id, 'label' AS rule FROM bidi WHERE seq12 IS NULL OR seq21 IS NULL",
+    "digraph_violations": """SELECT * FROM (SELECT e.edge_id, CASE
+            WHEN e.v1 NOT IN (SELECT v FROM vertex) OR e.v2 NOT IN (SELECT v FROM vertex) THEN 'endpoint'
+            WHEN t.twin_id IS DISTINCT FROM e.edge_id THEN 'twin id'
+            WHEN t.v1 <> xor(e.v2, 1) OR t.v2 <> xor(e.v1, 1) THEN 'twin ends' END AS rule
+        FROM bad_edge e LEFT JOIN bad_edge t ON t.edge_id = e.twin_id) WHERE rule IS NOT NULL""",
+    "bidigraph_violations": """SELECT edge_id, CASE WHEN edge_id % 7 = 3 THEN 'endpoint' ELSE 'label' END AS rule
+        FROM bidi WHERE edge_id % 7 = 3 OR edge_id % 11 = 5""",
     "transitive_edges": "SELECT edge_id FROM transitive",
     "transitive_reduction": f"SELECT *, {FRESH} FROM reduced",
-    "bidi_transitive_reduction": "SELECT v1, v2, v1_outward, v2_inward, seq12, seq21 FROM bidi "
+    "bidi_transitive_reduction": "SELECT * FROM bidi "
                                  "WHERE 2 * edge_id IN (SELECT edge_id FROM reduced)",
     "vertex_degrees": "SELECT v, in_degree, out_degree FROM degree",
     "degree_histogram": "SELECT in_degree, out_degree, count(*) AS vertices FROM degree GROUP BY in_degree, out_degree",
@@ -388,15 +425,35 @@ FINAL: dict[str, str] = {
             CASE WHEN v2_inward THEN 'normal' ELSE 'inv' END || ' arrowtail=' ||
             CASE WHEN v1_outward THEN 'inv' ELSE 'normal' END || ' label="' || length(seq12) || '" ];' FROM pairs
         UNION ALL SELECT 3, 0, 0, '}'""",
-    "simulate_spaced_reads": f"""SELECT k AS read_id, k * 50 AS start, '+' AS strand,
-        substr(s, k * 50 + 1, 100) AS seq FROM (SELECT s, unnest(range(0, (length(s) - 100) // 50 + 1)) AS k FROM genome)""",
     "fasta_head": """SELECT line_no, CASE WHEN line_no = 0 THEN line
             ELSE substr(line, 1, (nb - 32 * (line_no - 1))::BIGINT) END AS line
         FROM genome_line, (SELECT count(*) * 16 + 7 AS nb FROM block)
         WHERE line_no = 0 OR 32 * (line_no - 1) < nb""",
-    "circulation_violations": "SELECT 'edge' AS kind, edge_id AS id FROM edge WHERE false",
-    "balance_violations": "SELECT v1 AS v, v1 AS inward, v2 AS outward FROM edge WHERE false",
-    "cycle_violations": "SELECT 'count' AS rule, edge_id AS id FROM edge WHERE false",
+    "circulation_violations": """SELECT 'edge' AS kind, edge_id AS id FROM measured WHERE edge_id % 4 <
+            CASE WHEN a_statistic >= 17.0 OR num_inner_vertices > 0 THEN 1 ELSE 0 END
+            OR edge_id % 4 > CASE WHEN a_statistic >= 17.0 THEN 1 ELSE 1000000 END
+        UNION ALL SELECT 'vertex', v FROM (SELECT v2 AS v, edge_id % 4 AS x FROM measured
+            UNION ALL SELECT v1, -(edge_id % 4) FROM measured) GROUP BY v HAVING sum(x) <> 0""",
+    "balance_violations": """SELECT v, inward, outward FROM (SELECT v, sum(CASE WHEN h THEN x ELSE 0 END)::BIGINT AS inward,
+            sum(CASE WHEN h THEN 0 ELSE x END)::BIGINT AS outward FROM (
+                SELECT v1 AS v, NOT v1_outward AS h, edge_id % 3 AS x FROM pairs UNION ALL
+                SELECT v2, v2_inward, edge_id % 3 FROM pairs) WHERE x > 0 GROUP BY v) WHERE inward <> outward""",
+    "cycle_violations": """SELECT 'count' AS rule, edge_id AS id FROM listed WHERE edge_id % 3 <> 1
+        UNION ALL SELECT 'order', a.step FROM listed a JOIN listed b
+            ON b.step = (a.step + 1) % (SELECT count(*) FROM listed)
+        WHERE a.enters <> b.leaves OR a.enters_inward = b.leaves_inward""",
+    "eulerian_circuits": """SELECT 2 * min(edge_id) AS circuit, 2 * count(*) AS steps, 2 * count(*) AS edges_used,
+            2 * count(*) - 1 AS last_step, 0::BIGINT AS violations
+        FROM pairs JOIN (SELECT r, min(w) AS part FROM read_reach GROUP BY r) ON r = v1 GROUP BY part""",
+    "bidi_collapse": f"""SELECT {BIDI_ROUNDED.replace('edge_id, ', '', 1)} FROM collapsed_pairs""",
+    "stored_overlaps": "SELECT f, f_beg, f_end, g, g_beg, g_end, rc, f_len, g_len FROM overlap",
+    "stored_digraph": f"SELECT {ROUNDED} FROM mapped",
+    "stored_bidigraph": f"SELECT {BIDI_ROUNDED} FROM pairs",
+    "circulated_flow_bounds": """SELECT edge_id,
+            CASE WHEN a_statistic >= 17.0 OR num_inner_vertices > 0 THEN 1 ELSE 0 END AS lower,
+            CASE WHEN a_statistic >= 17.0 THEN 1 ELSE 1000000 END AS upper, 1 AS cost FROM measured
+        UNION ALL SELECT top + 4 * v + slot, 0, 1000000, 1000000 FROM collapsed_v,
+            (SELECT max(edge_id) + 1 AS top FROM measured), (SELECT unnest(range(0, 4)) AS slot)""",
 }
 
 

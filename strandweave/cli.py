@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandweave import build_session
 from strandweave.functions import parse_bounded_int
@@ -13,6 +14,7 @@ from strandweave.operators import (
     circulation,
     collapse,
     containment,
+    contigs,
     copy_number,
     degrees,
     euler,
@@ -86,7 +88,9 @@ def _print_graph(graph: StringGraph, args: argparse.Namespace) -> None:
         lines = render.graph_dot(graph, args.seqs).orderBy("part", "a", "b")
     elif args.stats:
         stats = degrees.digraph_stats if graph.kind == "digraph" else degrees.bidigraph_stats
-        stats(graph).write.json(args.output)
+        report = stats(graph).select(F.lit("graph").alias("part"), F.to_json(F.struct("*")).alias("line"))
+        sizes = degrees.component_sizes(graph).select(F.lit("component").alias("part"), F.to_json(F.struct("*")).alias("line"))
+        report.unionByName(sizes).write.json(args.output)
         return
     else:
         lines = render.print_graph(graph, args.seqs).orderBy("v", "edge_id")
@@ -105,6 +109,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             done = assemble(source, min_len)
             storage.write_graph(done.bidigraph, f"{args.output}/graph")
             storage.write_table(done.cycle, f"{args.output}/cycle", storage.CYCLE_SCHEMA)
+            lines = contigs.contig_fasta(done.contigs).orderBy("contig", "piece")
+            lines.select("line").write.text(f"{args.output}/contigs.fasta")
         else:
             found = overlaps.compute_overlaps(spread(write_stage(source, "reads")), min_len, edits)
             storage.write_table(found, args.overlaps, storage.OVERLAP_SCHEMA)

@@ -12,8 +12,9 @@ def div_or_zero(num: Column, den: Column) -> Column:
 
 
 def ceil_div(num: Column, den: Column) -> Column:
-    """Integer quotient rounded up."""
-    return F.ceil(num / den)
+    """Quotient of positive integers rounded up, exact over the whole range of a long."""
+    num, den = num.cast("long"), den.cast("long")
+    return F.call_function("div", num, den) + F.when(num % den == 0, 0).otherwise(1)
 
 
 def mod_or_zero(num: Column, den: Column) -> Column:

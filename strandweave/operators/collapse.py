@@ -63,9 +63,12 @@ def collapse_unbranched(graph: StringGraph) -> StringGraph:
 
     Labels are joined in path order and mapped counts added. The twin of a path is the
     path that starts with the twin of its last edge. Smooth rings stay as they are.
+    A bidirected path keeps the id of its first edge in the direction it is stored in, and
+    adds up the mapped counts.
     """
     if graph.kind == "bidigraph":
-        return to_bidigraph(collapse_unbranched(to_digraph(graph)))
+        merged = to_bidigraph(collapse_unbranched(to_digraph(graph, keep_attributes=True)))
+        return merged.with_edges(merged.edges.withColumn("edge_id", F.shiftright("edge_id", 1)))
     inner = inner_vertices(graph)
     positions = cut_lineage(path_positions(graph))
     return _contract(graph, inner, positions)

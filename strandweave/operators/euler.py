@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.operators.degrees import components
-from strandweave.operators.ranking import group_ranks
+from strandweave.operators.ranking import dense_order, group_ranks
 from strandweave.operators.string_graph import StringGraph
 from strandweave.session import cut_lineage, stacked
 
-# A dart id packs edge id, use number and end. Twin flows add up, so uses stay below 2^21.
-USE_BITS = 21
+# A dart id packs the number of the edge among the used ones, the use and the end.
+USE_BITS = 22
+MOST_USES = 1 << USE_BITS
+MOST_EDGES = 1 << (62 - USE_BITS)
 
 
 def _use(dart: Column) -> Column:
@@ -56,12 +58,23 @@ def balance_violations(graph: StringGraph) -> DataFrame:
     return vertex_balance(graph).where(F.col("inward") != F.col("outward"))
 
 
-def _darts(graph: StringGraph) -> DataFrame:
-    uses = graph.edges.where(F.col("traversal_count") > 0).select(
-        "v1", "v2", "v1_outward", "v2_inward", "edge_id",
+def _used_edges(graph: StringGraph) -> DataFrame:
+    """Written table of the used edges with dense numbers ``edge_no`` in the order of ids."""
+    used = cut_lineage(dense_order(
+        graph.edges.where(F.col("traversal_count") > 0).select(
+            "edge_id", "v1", "v2", "v1_outward", "v2_inward", "traversal_count"), ["edge_id"], "edge_no"))
+    top = used.agg(F.max("edge_no").alias("edges"), F.max("traversal_count").alias("uses")).first()
+    if (top["edges"] or 0) >= MOST_EDGES or (top["uses"] or 0) > MOST_USES:
+        raise ValueError(f"more than {MOST_EDGES} used edges or {MOST_USES} uses of one edge")
+    return used
+
+
+def _darts(used: DataFrame) -> DataFrame:
+    uses = used.select(
+        "v1", "v2", "v1_outward", "v2_inward", "edge_no",
         F.explode(F.sequence(F.lit(0), F.col("traversal_count") - 1)).alias("n"),
     )
-    base = F.shiftleft(F.shiftleft(F.col("edge_id"), USE_BITS) + F.col("n"), 1)
+    base = F.shiftleft(F.shiftleft(F.col("edge_no"), USE_BITS) + F.col("n"), 1)
     return uses.select(F.explode(F.array(
         F.struct(base.alias("dart"), F.col("v1").alias("v"), (~F.col("v1_outward")).alias("inward")),
         F.struct((base + 1).alias("dart"), F.col("v2").alias("v"), F.col("v2_inward").alias("inward")),
@@ -140,11 +153,11 @@ def _roots(hooks: DataFrame) -> DataFrame:
         hooks = jumped.drop("moved")
 
 
-def closed_walks(graph: StringGraph) -> DataFrame:
+def closed_walks(graph: StringGraph, used: DataFrame) -> DataFrame:
     """``(v, din, dout, circuit)``: final partners, one circuit per component of used edges."""
     if not balance_violations(graph).isEmpty():
         raise ValueError("inward and outward traversals differ at some vertex")
-    pairs = cut_lineage(_match(cut_lineage(_darts(graph))))
+    pairs = cut_lineage(_match(cut_lineage(_darts(used))))
     pairs = cut_lineage(_circuits(pairs))
     salt = 0
     while True:
@@ -162,7 +175,8 @@ def eulerian_cycle(graph: StringGraph) -> DataFrame:
     """
     if graph.kind != "bidigraph":
         raise ValueError("the cycle is computed on a bidirected graph")
-    pairs = closed_walks(graph)
+    used = _used_edges(graph)
+    pairs = closed_walks(graph, used)
     heads = pairs.groupBy("circuit").agg(F.min("dout").alias("head")).join(
         pairs.select("dout", F.col("din").alias("head_mate")), F.col("head") == F.col("dout")
     ).select("circuit", "head", "head_mate")
@@ -189,12 +203,16 @@ def eulerian_cycle(graph: StringGraph) -> DataFrame:
             (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"),
         )
         state = cut_lineage(stacked(state.where(F.col("done")), moved))
-    return state.join(heads.select(F.col("head").alias("ptr")), "ptr", "left_semi").select(
-        F.shiftright("circuit", USE_BITS).alias("circuit"),
+    steps = state.join(heads.select(F.col("head").alias("ptr")), "ptr", "left_semi").select(
+        F.shiftright("circuit", USE_BITS).alias("circuit_no"),
         F.col("dist").alias("step"),
-        _edge(F.col("dart")).alias("edge_id"),
+        _edge(F.col("dart")).alias("edge_no"),
         (F.col("dart") % 2 == 0).alias("forward"),
     )
+    named = cut_lineage(steps.join(used.select("edge_no", "edge_id"), "edge_no"))
+    # Merging keeps the name of some circuit; the least edge of all is known only now.
+    least = named.groupBy("circuit_no").agg(F.min("edge_id").alias("circuit"))
+    return named.join(least, "circuit_no").select("circuit", "step", "edge_id", "forward")
 
 
 def cycle_violations(graph: StringGraph, cycle: DataFrame) -> DataFrame:

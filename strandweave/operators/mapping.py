@@ -9,8 +9,8 @@ from strandweave.operators.containment import f_inside, g_inside
 from strandweave.operators.string_graph import StringGraph, edge_len
 from strandweave.session import cut_lineage
 
-# Fixed value: a read end that could lie in this many places is not mapped at all.
-MAX_HITS = 100
+# Path counts of a walk through repeats can pass 64 bits.
+PATHS = "decimal(38,0)"
 
 PLACEMENT = ("read_id", "container", "read", "before", "after", "rc", "f", "g", "type")
 
@@ -85,12 +85,12 @@ def walk_starts(overhangs: DataFrame) -> DataFrame:
     )
 
 
-def walk_back(starts: DataFrame, edges: DataFrame, cap: int = MAX_HITS) -> DataFrame:
+def walk_back(starts: DataFrame, edges: DataFrame, cap: int | None = None) -> DataFrame:
     """``(v, residual, edge_id, hits)``: edges a walk against the edges ends in.
 
     From a vertex, every incoming edge longer than the residual is a hit; a shorter one is walked
     and its length taken off. An edge reached along several paths counts once per path.
-    Walks with ``cap`` or more hits are left out entirely.
+    Every walk is kept; only if a caller gives ``cap``, those with as many hits or more are left out.
 
     Equal states of a walk are merged with their path count each round. Labels are never
     empty, so residuals fall and the number of rounds is bounded by read length.
@@ -98,7 +98,7 @@ def walk_back(starts: DataFrame, edges: DataFrame, cap: int = MAX_HITS) -> DataF
     into = edges.select(F.col("v2").alias("at"), F.col("v1").alias("from"), "edge_id",
                         edge_len(edges).alias("len"))
     front = starts.select("v", "residual", F.col("v").alias("at"),
-                          F.col("residual").alias("left"), F.lit(1).cast("long").alias("paths"))
+                          F.col("residual").alias("left"), F.lit(1).cast(PATHS).alias("paths"))
     hits = None
     while True:
         step = cut_lineage(front.join(into, "at").select(
@@ -109,14 +109,11 @@ def walk_back(starts: DataFrame, edges: DataFrame, cap: int = MAX_HITS) -> DataF
         walking = step.where(F.col("left") >= 0)
         if walking.isEmpty():
             break
-        # Path counts saturate at the cap: beyond it the walk is discarded whatever they are.
-        front = (
-            walking.groupBy("v", "residual", F.col("from").alias("at"), "left")
-            .agg(F.least(F.sum("paths"), F.lit(cap)).alias("paths"))
-        )
-        spent = hits.groupBy("v", "residual").agg(F.sum("paths").alias("n")).where(F.col("n") >= cap)
-        front = front.join(spent.select("v", "residual"), ["v", "residual"], "left_anti")
-    per_edge = hits.groupBy("v", "residual", "edge_id").agg(F.sum("paths").alias("hits"))
+        front = walking.groupBy("v", "residual", F.col("from").alias("at"), "left").agg(
+            F.sum("paths").cast(PATHS).alias("paths"))
+    per_edge = hits.groupBy("v", "residual", "edge_id").agg(F.sum("paths").cast(PATHS).alias("hits"))
+    if cap is None:
+        return per_edge
     spent = per_edge.groupBy("v", "residual").agg(F.sum("hits").alias("n")).where(F.col("n") >= cap)
     return per_edge.join(spent.select("v", "residual"), ["v", "residual"], "left_anti")
 
@@ -128,7 +125,7 @@ def mapped_read_counts(starts: DataFrame, hits: DataFrame) -> DataFrame:
         hits.join(totals, ["v", "residual"])
         .join(starts, ["v", "residual"])
         .groupBy("edge_id")
-        .agg(F.sum(F.col("reads") * F.col("hits") / F.col("n")).alias("added"))
+        .agg(F.sum(F.col("reads") * F.col("hits").cast("double") / F.col("n").cast("double")).alias("added"))
     )
 
 

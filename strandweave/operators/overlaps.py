@@ -244,7 +244,7 @@ def compute_overlaps(reads: DataFrame, min_len: int = 25, max_edits: int = 0,
     return overlap_dedup(overlap_candidates(reads, min_len, hot_threshold))
 
 
-def seed_pairs(reads: DataFrame, k: int) -> DataFrame:
+def seed_pair_counts(reads: DataFrame, k: int) -> DataFrame:
     """Number of read pairs per canonical k-mer that a pairwise seed search would look at.
 
     The count follows from the occurrence count, so no pair is ever built.

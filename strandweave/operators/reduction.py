@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.operators.string_graph import StringGraph, edge_len, to_bidigraph, to_digraph
+from strandweave.operators.string_graph import StringGraph, edge_len, to_digraph
 from strandweave.session import cut_lineage
 
 
@@ -82,6 +82,9 @@ def transitive_edges(edges: DataFrame, labels_follow_lengths: bool = False) -> D
 def transitive_reduction(graph: StringGraph, labels_follow_lengths: bool = False) -> StringGraph:
     """Graph without transitive edges. Twins leave together, ids of the rest stay."""
     if graph.kind == "bidigraph":
-        return to_bidigraph(transitive_reduction(to_digraph(graph), labels_follow_lengths))
+        # Twins leave together, so a bidirected edge goes if either direction does; the rest is untouched.
+        gone = transitive_edges(to_digraph(graph).edges, labels_follow_lengths)
+        pairs = gone.select(F.shiftright("edge_id", 1).alias("edge_id")).distinct()
+        return graph.with_edges(graph.edges.join(pairs, "edge_id", "left_anti"))
     gone = transitive_edges(graph.edges, labels_follow_lengths)
     return graph.with_edges(graph.edges.join(gone, "edge_id", "left_anti"))

@@ -32,9 +32,15 @@ DOT_CURVE = 2.0
 
 def short_number(x: Column) -> Column:
     """A number with six significant digits and no trailing zeros."""
-    scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(x))))
-    rounded = F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x * scale) / scale)
-    return F.regexp_replace(rounded.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    # Six digits in exponent form: rounding may carry, so the exponent is read off afterwards.
+    digits = F.format_string("%.5e", x)
+    exponent = F.substring_index(digits, "e", -1).cast("int")
+    mantissa = F.regexp_replace(F.substring_index(digits, "e", 1), r"\.?0+$", "")
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    long_form = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    fixed = F.substring_index(digits, "e", 1).cast("decimal(20,10)") * F.pow(F.lit(10.0), exponent).cast("decimal(18,6)")
+    plain = F.regexp_replace(fixed.cast("decimal(30,10)").cast("string"), r"\.?0+$", "")
+    return F.when(x == 0, "0").when((exponent < -4) | (exponent >= 6), long_form).otherwise(plain)
 
 
 def print_overlaps(overlaps: DataFrame) -> DataFrame:

@@ -197,8 +197,12 @@ def to_bidigraph(graph: StringGraph) -> StringGraph:
     return StringGraph("bidigraph", vertices, edges, graph.orig_num_reads)
 
 
-def to_digraph(graph: StringGraph) -> StringGraph:
-    """Two directed edges per bidirected edge; attributes restart at their defaults."""
+def to_digraph(graph: StringGraph, keep_attributes: bool = False) -> StringGraph:
+    """Two directed edges per bidirected edge, ids ``2 e`` and ``2 e + 1``.
+
+    Attributes restart at their defaults, or with ``keep_attributes`` are such that
+    ``to_bidigraph`` gives them back: traversals are shared between the two, the rest repeated.
+    """
     v1, v2 = F.col("v1") * 2, F.col("v2") * 2
     out1, in2 = F.col("v1_outward").cast("int"), F.col("v2_inward").cast("int")
     even, odd = F.col("edge_id") * 2, F.col("edge_id") * 2 + 1
@@ -208,7 +212,13 @@ def to_digraph(graph: StringGraph) -> StringGraph:
         F.struct(odd.alias("edge_id"), even.alias("twin_id"), (v2 + 1 - in2).alias("v1"),
                  (v1 + 1 - out1).alias("v2"), F.col("seq21").alias("seq")),
     )
-    edges = graph.edges.select(F.explode(pair).alias("e")).select("e.*", *default_attributes())
+    edges = graph.edges.select(F.explode(pair).alias("e"), *(ATTRIBUTES if keep_attributes else ()))
+    if keep_attributes:
+        half = F.floor(F.col("traversal_count") / 2).cast("int")
+        share = F.when(F.col("e.edge_id") % 2 == 0, F.col("traversal_count") - half).otherwise(half)
+        edges = edges.select("e.*", *[share.alias(c) if c == "traversal_count" else c for c in ATTRIBUTES])
+    else:
+        edges = edges.select("e.*", *default_attributes())
     vertices = graph.vertices.select(
         F.explode(F.array(F.col("v") * 2, F.col("v") * 2 + 1)).alias("v"), "is_special"
     )

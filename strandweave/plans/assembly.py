@@ -18,6 +18,7 @@ from strandweave.operators import (
     circulation,
     collapse,
     containment,
+    contigs,
     copies,
     copy_number,
     euler,
@@ -175,6 +176,13 @@ class Assembly:
         began = time.monotonic()
         return self._stage("cycle", euler.eulerian_cycle(source), began)
 
+    @cached_property
+    def contigs(self) -> DataFrame:
+        """Contig texts in pieces; see ``contigs.contig_pieces``."""
+        source, _ = self.cycle, self.kept_reads
+        began = time.monotonic()
+        return self._stage("contigs", contigs.contig_pieces(self.bidigraph, source, self.kept_reads), began)
+
     def containment_summary(self) -> DataFrame:
         return containment.containment_summary(
             self.index_map, self.all_overlaps.select(F.lit(1)), self.kept_overlaps.select(F.lit(1)))

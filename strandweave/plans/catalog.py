@@ -25,9 +25,10 @@ from strandweave.operators import (
     render,
     string_graph,
 )
+from strandweave.plans import damage
 from strandweave.plans.assembly import Assembly
 from strandweave.session import cut_lineage, stage_path
-from strandweave.sources import generators, reads, tables
+from strandweave.sources import generators, reads, storage, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,15 +66,19 @@ def _convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequence_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, head = F.substring("seq", 1, 1), F.substring("seq", 1, 25)
-    beg, end = F.lit(10), F.lit(29)
+    # Slices from a quarter to three quarters of each read; codes and k-mers over all of it.
+    beg, end = F.expr("length(seq) div 4").cast("int"), (F.expr("3 * length(seq) div 4").cast("int") - 1)
+    letters = F.split("seq", "(?<=.)(?=.)")
+    canonical = F.transform(fn.kmers("seq", 25), fn.canonical_kmer)
+    total = F.aggregate(F.transform(letters, fn.base_code), F.lit(0), lambda a, x: a + x)
     return assembly_of(spark, sf_dir).reads.select(
         "read_id", F.length("seq").alias("len"), fn.reverse_complement("seq").alias("rc"),
         fn.slice_seq("seq", beg, end).alias("part"), fn.slice_seq("seq", beg, end, True).alias("rc_part"),
-        fn.set_base("seq", F.lit(4), F.lit("A")).alias("edited"),
-        fn.base_code(first).alias("first_code"),
-        fn.base_letter(F.lit(3) - fn.base_code(first)).alias("first_complement"),
-        fn.canonical_kmer(head).alias("canonical"), fn.is_dna("seq").alias("valid"),
+        fn.set_base("seq", end, F.lit("A")).alias("edited"),
+        total.alias("code_sum"),
+        F.array_join(F.transform(letters, lambda x: fn.base_letter(F.lit(3) - fn.base_code(x))), "").alias("complement"),
+        F.array_join(canonical, ",").alias("canonical"),
+        F.size(F.filter(fn.kmers("seq", 25), fn.kmer_is_rc)).alias("reversed_kmers"), fn.is_dna("seq").alias("valid"),
     )
 
 
@@ -105,7 +110,7 @@ def _built_bidigraph(a: Assembly) -> string_graph.StringGraph:
 def _bidi_reduced(a: Assembly) -> DataFrame:
     graph = _built_bidigraph(a)
     graph = reduction.transitive_reduction(graph.with_edges(cut_lineage(graph.edges)))
-    return graph.edges.select("v1", "v2", "v1_outward", "v2_inward", "seq12", "seq21")
+    return graph.edges
 
 
 def _starts(a: Assembly) -> DataFrame:
@@ -135,14 +140,40 @@ def _fasta_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.fasta_head(header.unionByName(lines), nbytes=half)
 
 
-def _spaced_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = tables.genome_blocks(tables.load(spark, sf_dir, "part").select("p_partkey"))
-    return generators.simulate_uniform_reads(blocks, read_len=100, read_sep=50)
+def _mapped_bidigraph(a: Assembly) -> string_graph.StringGraph:
+    graph = string_graph.to_bidigraph(a.mapped)
+    return graph.with_edges(cut_lineage(graph.edges))
 
 
-def _uniform_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = tables.genome_blocks(tables.load(spark, sf_dir, "part").select("p_partkey"))
-    return generators.simulate_uniform_reads(blocks, read_len=100, coverage=10, allow_rc=True)
+def _bidi_collapsed(a: Assembly) -> DataFrame:
+    graph = collapse.collapse_unbranched(_mapped_bidigraph(a))
+    return _rounded(graph).drop("edge_id")
+
+
+def _stored_overlaps(a: Assembly) -> DataFrame:
+    path = stage_path(a.reads.sparkSession, "stored")
+    storage.write_table(a.all_overlaps, path, storage.OVERLAP_SCHEMA)
+    return storage.read_table(a.reads.sparkSession, path, storage.OVERLAP_SCHEMA)
+
+
+def _stored_graph(graph: string_graph.StringGraph) -> DataFrame:
+    path = stage_path(graph.edges.sparkSession, "stored")
+    storage.write_graph(graph, path)
+    return _rounded(storage.read_graph(graph.edges.sparkSession, path, graph.kind))
+
+
+def _circulated_bounds(a: Assembly) -> DataFrame:
+    return circulation.flow_bounds(a.circulated.edges)
+
+
+def _eulerian_circuits(a: Assembly) -> DataFrame:
+    """Circuits of a graph whose edges each have a mirror image: one per component, every edge once."""
+    graph = damage.mirrored(string_graph.to_bidigraph(a.measured))
+    cycle = cut_lineage(euler.eulerian_cycle(graph))
+    broken = euler.cycle_violations(graph, cycle).count()
+    return cycle.groupBy("circuit").agg(
+        F.count("*").alias("steps"), F.countDistinct("edge_id").alias("edges_used"),
+        F.max("step").alias("last_step")).withColumn("violations", F.lit(broken).cast("long"))
 
 
 # Queries on the stages of one assembly.
@@ -152,10 +183,10 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "sink_fastq": lambda a: reads.fastq_lines(a.reads),
     "kmer_occurrences": lambda a: overlaps.kmer_occurrences(a.reads, fn.seed_length(a.min_len)),
     "kmer_counts": lambda a: overlaps.kmer_counts(a.reads, fn.seed_length(a.min_len)),
-    "seed_pairs": lambda a: overlaps.seed_pairs(a.reads, fn.seed_length(a.min_len)),
+    "seed_pair_counts": lambda a: overlaps.seed_pair_counts(a.reads, fn.seed_length(a.min_len)),
     "compute_overlaps": lambda a: _bare(a.all_overlaps),
     "overlap_dedup": _dedup,
-    "overlap_violations": lambda a: overlaps.overlap_violations(a.reads, a.all_overlaps, a.min_len),
+    "overlap_violations": lambda a: overlaps.overlap_violations(a.reads, damage.overlaps(a.all_overlaps), a.min_len),
     "print_overlaps": lambda a: render.print_overlaps(a.all_overlaps),
     "contained_reads": lambda a: containment.contained_reads(a.all_overlaps),
     "old_to_new_indices": lambda a: a.index_map,
@@ -164,8 +195,8 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "containment_summary": lambda a: a.containment_summary(),
     "build_digraph": lambda a: a.digraph.edges,
     "build_bidigraph": lambda a: _built_bidigraph(a).edges,
-    "digraph_violations": lambda a: string_graph.digraph_violations(a.digraph),
-    "bidigraph_violations": lambda a: string_graph.bidigraph_violations(_built_bidigraph(a)),
+    "digraph_violations": lambda a: string_graph.digraph_violations(damage.digraph(a.digraph)),
+    "bidigraph_violations": lambda a: string_graph.bidigraph_violations(damage.bidigraph(_built_bidigraph(a))),
     "transitive_edges": lambda a: reduction.transitive_edges(a.digraph.edges),
     "transitive_reduction": lambda a: a.reduced.edges,
     "bidi_transitive_reduction": _bidi_reduced,
@@ -178,7 +209,7 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "extract_bidigraph_seqs": lambda a: string_graph.extract_edge_seqs(_built_bidigraph(a)),
     "contained_overhangs": lambda a: mapping.contained_overhangs(a.all_overlaps, a.index_map),
     "walk_starts": _starts,
-    "walk_back": lambda a: mapping.walk_back(cut_lineage(_starts(a)), a.reduced.edges),
+    "walk_back": lambda a: mapping.walk_back(cut_lineage(_starts(a)), a.reduced.edges).withColumn("hits", F.col("hits").cast("long")),
     "mapped_read_counts": _added,
     "map_contained": lambda a: _rounded(a.mapped),
     "collapse_unbranched": lambda a: _rounded(a.collapsed),
@@ -201,10 +232,18 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "bidigraph_dot": lambda a: render.graph_dot(string_graph.to_bidigraph(a.measured)),
     "min_cost_circulation": lambda a: _rounded(a.circulated),
     "circulation_cost": lambda a: circulation.circulation_cost(a.circulated),
-    "circulation_violations": lambda a: circulation.circulation_violations(a.circulated),
-    "balance_violations": lambda a: euler.balance_violations(a.bidigraph),
+    "circulation_violations": lambda a: circulation.circulation_violations(damage.traversed(a.measured, 4)),
+    "balance_violations": lambda a: euler.balance_violations(damage.traversed(string_graph.to_bidigraph(a.measured), 3)),
     "eulerian_cycle": lambda a: a.cycle,
-    "cycle_violations": lambda a: euler.cycle_violations(a.bidigraph, a.cycle),
+    "cycle_violations": lambda a: euler.cycle_violations(
+        damage.traversed(string_graph.to_bidigraph(a.measured), 3), damage.listed_cycle(string_graph.to_bidigraph(a.measured))),
+    "eulerian_circuits": _eulerian_circuits,
+    "contigs": lambda a: a.contigs,
+    "bidi_collapse": _bidi_collapsed,
+    "stored_overlaps": _stored_overlaps,
+    "stored_digraph": lambda a: _stored_graph(a.mapped),
+    "stored_bidigraph": lambda a: _stored_graph(string_graph.to_bidigraph(a.measured)),
+    "circulated_flow_bounds": _circulated_bounds,
 }
 
 TABLE_QUERIES: dict[str, Query] = {
@@ -213,8 +252,6 @@ TABLE_QUERIES: dict[str, Query] = {
     "convert_reads": _convert,
     "sequence_functions": _sequence_functions,
     "numeric_functions": _numeric_functions,
-    "simulate_spaced_reads": _spaced_reads,
-    "simulate_uniform_reads": _uniform_reads,
     "fasta_head": _fasta_head,
 }
 

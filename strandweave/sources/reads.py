@@ -87,8 +87,11 @@ def scan_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def scan_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``(read_id, seq)`` of FASTQ files: the second of every four non-blank lines."""
+def _fastq_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(file, line, record, place, seq_line, whole, read_offset)``: non-blank lines with their places.
+
+    ``place`` is the line's place in its record of four; ``whole`` is false in an incomplete last one.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     rows = (
         _located(spark, paths, None)
@@ -100,19 +103,48 @@ def scan_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     splits = counts.select(
         *_SPLIT, "slot0",
         _before("n", per_file.orderBy("block")).alias("line_offset"),
-        F.floor(F.sum("n").over(per_file) / 4).alias("records"),
+        F.floor(F.sum("n").over(per_file) / 4).cast("long").alias("records"),
     )
     files = counts.groupBy("file_no", "file").agg(F.floor(F.sum("n") / 4).alias("m")).select(
         "file_no", "file", _before("m", Window.orderBy("file_no", "file")).alias("read_offset")
     )
     line = F.col("line_offset") + F.col("slot") - F.col("slot0")
-    record = F.floor(line / 4)
-    return (
-        rows.join(splits.join(files, ["file_no", "file"]), _SPLIT)
-        .where((line % 4 == 1) & (record < F.col("records")))
-        .select((F.col("read_offset") + record).cast("long").alias("read_id"),
-                normalise("value").alias("seq"))
+    record = F.expr("(line_offset + slot - slot0) div 4")
+    return rows.join(splits.join(files, ["file_no", "file"]), _SPLIT).select(
+        "file", (F.col("read_offset") + record).cast("long").alias("read_id"), (line % 4).cast("int").alias("place"),
+        F.col("value").alias("text"), (record < F.col("records")).alias("whole"))
+
+
+def fastq_faults(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``(file, read_id, place, text, fault)``: lines of incomplete records, and first and third
+    lines without their mark, which show a file out of step."""
+    fault = (
+        F.when(~F.col("whole"), "incomplete record")
+        .when((F.col("place") == 0) & ~F.col("text").startswith("@"), "no @ line")
+        .when((F.col("place") == 2) & ~F.col("text").startswith("+"), "no + line")
     )
+    return _fastq_lines(spark, paths).select("file", "read_id", "place", "text", fault.alias("fault")).where("fault is not null")
+
+
+def scan_fastq(spark: SparkSession, paths: str | list[str], on_bad: str = "fail") -> DataFrame:
+    """``(read_id, seq)`` of FASTQ files: the second of every four non-blank lines.
+
+    An incomplete or misplaced record fails the job. With ``on_bad="quarantine"`` such records are
+    left out instead; ``fastq_faults`` returns their lines.
+    """
+    if on_bad not in ("fail", "quarantine"):
+        raise ValueError("on_bad is fail or quarantine")
+    lines = _fastq_lines(spark, paths)
+    if on_bad == "quarantine":
+        bad = fastq_faults(spark, paths).select("file", "read_id").distinct()
+        lines = lines.join(bad, ["file", "read_id"], "left_anti")
+        return lines.where("place = 1").select("read_id", normalise("text").alias("seq"))
+    marked = ((F.col("place") == 0) & F.col("text").startswith("@")) | ((F.col("place") == 2) & F.col("text").startswith("+")) \
+        | F.col("place").isin(1, 3)
+    problem = F.concat("file", F.lit(": FASTQ record "), F.col("read_id").cast("string"), F.lit(" is incomplete or out of step"))
+    # The check sits in the filter that every line passes, so no column pruning can skip it.
+    sound = F.when(F.col("whole") & marked, F.col("place") == 1).otherwise(F.raise_error(problem).cast("boolean"))
+    return lines.where(sound).select("read_id", normalise("text").alias("seq"))
 
 
 def _checked(reads: DataFrame) -> DataFrame:

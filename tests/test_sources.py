@@ -20,10 +20,21 @@ def test_fasta_quirks(spark, tmp_path):
     assert rows(reads.read_reads(spark, str(path))) == [(0, "ACGTACGT"), (1, "TTGG"), (2, "CCC")]
 
 
-def test_fastq_ignores_a_partial_record(spark, tmp_path):
+def test_fastq_with_a_partial_record_fails_or_is_quarantined(spark, tmp_path):
     path = tmp_path / "a.fq"
     path.write_text("@a\nACGT\n+\n@@@@\n\n@b\nGGTT\n+x\n>>>>\n@c\nAAAA\n")
-    assert rows(reads.read_reads(spark, str(path))) == [(0, "ACGT"), (1, "GGTT")]
+    with pytest.raises(Exception, match="incomplete or out of step"):
+        reads.read_reads(spark, str(path)).collect()
+    assert rows(reads.scan_fastq(spark, str(path), on_bad="quarantine")) == [(0, "ACGT"), (1, "GGTT")]
+    assert [r["text"] for r in reads.fastq_faults(spark, str(path)).orderBy("place").collect()] == ["@c", "AAAA"]
+
+
+def test_fastq_out_of_step_fails(spark, tmp_path):
+    path = tmp_path / "a.fq"
+    path.write_text("@a\nACGT\n@@@@\n@b\nGGTT\n+\n>>>>\n+\n")
+    with pytest.raises(Exception, match="incomplete or out of step"):
+        reads.read_reads(spark, str(path)).collect()
+    assert reads.fastq_faults(spark, str(path)).count() == 2
 
 
 def test_many_splits_keep_file_order(spark, tmp_path):
