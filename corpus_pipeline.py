@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def training_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the token shards in training order; returns their index."""
-    index, _, _ = training_order.materialise(docs, tokenizer_path())
+    index, _, _ = training_order.materialise(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
     return index
 
 

@@ -54,7 +54,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, _, _ = training_order.materialise(load(spark, sf_dir, "documents"), tokenizer_path())
+    index, _, _ = training_order.materialise(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
     return index
 
 

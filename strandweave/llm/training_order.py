@@ -1,6 +1,6 @@
 """Materialise tokenised sequences in a keyed random order as fixed-stride shards.
 
-Texts are tokenised once and kept in a written table, from which every sequence (at most
+Texts are tokenised once, by the ranks file of a byte-level encoder, and kept in a written table, from which every sequence (at most
 ``seq_len`` tokens of one document, the end token included) has an ordinal. A keyed
 Feistel network permutes ``0 .. n-1``: the ordinal is encrypted in the least even number of
 bits that holds n and, while the result is n or more, encrypted again (cycle-walking).
@@ -10,7 +10,7 @@ record i of the order lies at a computed byte offset; a reader streams, or resum
 
 Shards appear under a temporary name and are renamed when complete; a task that is
 run again writes the same bytes. A record is doc_id (8 bytes), part (4), tokens (4), then
-``seq_len`` token ids padded with the end token, little-endian.
+``seq_len`` token ids padded with the end token (the first id past the ranks), little-endian.
 
 Defined results: null and empty texts give one sequence of just the end token; a null doc_id
 is stored as -1. Repeated rows are sequences of their own. No rows: no shards.
@@ -18,21 +18,24 @@ is stored as -1. Repeated rows are sequences of their own. No rows: no shards.
 
 from __future__ import annotations
 
+import base64
 import json
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import tiktoken
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.token_counts import PreTokens, frequent_pieces, tokenizer
+from strandweave.llm.token_counts import PATTERN
 from strandweave.session import stage_path, write_stage
 
 ROUNDS = 6
@@ -90,21 +93,25 @@ def permute(ordinals: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> tiktoken.Encoding:
+    """Byte-pair encoder of a file of ranks (base64 token and rank a line); once per worker."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def tokenised(docs: DataFrame, path: str, seq_len: int, end: int, id_type: np.dtype) -> DataFrame:
     """Written table of ``(task, first, doc_id, ids)``: ``first`` numbers the task's sequences."""
-    pieces = frequent_pieces(docs, path)
-    made, _ = tokenizer(path)
-    coded = [np.array(e.ids, dtype=id_type).tobytes() for e in made.encode_batch(pieces, add_special_tokens=False)]
-    table = docs.sparkSession.sparkContext.broadcast((pieces, coded))
     tail = np.array([end], dtype=id_type).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = PreTokens(path, dict(zip(*table.value, strict=True)), lambda ids: np.array(ids, dtype=id_type).tobytes())
+        made = encoder(path)
         task, first = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, firsts = [], []
-            for values in lookup.rows([t or "" for t in batch.column(1).to_pylist()]):
-                ids.append(b"".join([*values, tail]))
+            for text in batch.column(1).to_pylist():
+                ids.append(made.encode_to_numpy(text or "", disallowed_special=()).astype(id_type).tobytes() + tail)
                 firsts.append(first)
                 first += -(-len(ids[-1]) // (seq_len * id_type.itemsize))
             yield pa.RecordBatch.from_arrays(
@@ -188,9 +195,8 @@ def materialise(docs: DataFrame, path: str, *, seq_len: int = 256, per_shard: in
     ``out`` is a fresh folder in the shared folder unless named.
     """
     spark = docs.sparkSession
-    made, special = tokenizer(path)
-    end = made.token_to_id(special[0]) if special else 0
-    id_type = np.dtype("<u2" if made.get_vocab_size() <= 1 << 16 else "<u4")
+    end = encoder(path).max_token_value + 1
+    id_type = np.dtype("<u2" if end < 1 << 16 else "<u4")
     tokens = tokenised(docs, path, seq_len, end, id_type)
     width = seq_len * id_type.itemsize
     last = (F.col("first") + F.ceil(F.octet_length("ids") / F.lit(width))).cast("long")
