@@ -193,6 +193,8 @@ def fit(training: DataFrame, *, sample_rows: int = 600) -> LanguageModel:
     sample = bounded_sample(training, "lang", sample_rows).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text")
     row = sample.select("text", "lang").mapInArrow(
         _trainer(idf), "languages array<string>, weights binary, bias binary, temperature double").first()
+    if row is None:  # no training rows
+        return LanguageModel([], np.zeros((DIMS, 1), dtype=np.float32), np.zeros(1), 1.0)
     classes = max(1, len(row["languages"]))
     return LanguageModel(list(row["languages"]), np.frombuffer(row["weights"], dtype=np.float32).reshape(DIMS, classes),
                          np.frombuffer(row["bias"], dtype=np.float64), row["temperature"])

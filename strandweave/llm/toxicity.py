@@ -142,8 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 4000) -> Toxic
     sample = (docs.select("doc_id", "text").join(chosen, "doc_id").repartition(1)
               .sortWithinPartitions(F.xxhash64("doc_id"), "text", "toxic"))
     row = sample.select("text", "toxic").mapInArrow(_trainer, "bias double, used binary, linear binary, factors binary").first()
-    used = np.frombuffer(row["used"], dtype=np.int32)
     linear, factors = np.zeros(DIMS, dtype=np.float32), np.zeros((DIMS, RANK), dtype=np.float32)
+    if row is None:  # no training rows
+        return ToxicityModel(-1.0, linear, factors)
+    used = np.frombuffer(row["used"], dtype=np.int32)
     linear[used] = np.frombuffer(row["linear"])
     factors[used] = np.frombuffer(row["factors"], dtype=np.float32).reshape(-1, RANK)
     return ToxicityModel(row["bias"], linear, factors)
