@@ -34,6 +34,7 @@ LEVELS = 1000
 WEAK = 100  # windows of less entropy than this level hardly tell texts apart
 BITS, HASHES, PER_FILTER = 2048, 5, 160
 FLOOR = 0.15
+MOST_BUCKETS = 20_000
 
 _FIXED = 1 << 14
 _COUNT_LOG = np.rint(_FIXED * np.arange(WINDOW + 2) * np.log2(np.maximum(np.arange(WINDOW + 2), 1))).astype(np.int32)
@@ -202,13 +203,13 @@ def with_next(docs: DataFrame, per_bucket: int = 4000) -> DataFrame:
 
     Rows ``(_bucket, _look, doc_id, text)`` sorted within a bucket; the last row of a bucket, marked
     ``_look``, is the first one of the bucket that follows it (of the first, after the last).
-    Driver and plan hold one split point per ``per_bucket`` documents.
+    Driver and plan hold one split point per ``per_bucket`` documents, ``MOST_BUCKETS`` at most.
     """
     least = -(1 << 63)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn(
         "_order", F.coalesce("doc_id", F.lit(least)))
     count = keyed.count()
-    parts = max(1, count // per_bucket)
+    parts = min(MOST_BUCKETS, max(1, count // per_bucket))
     splits = sorted({int(x) for x in keyed.approxQuantile("_order", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
     dealt = keyed.withColumn("_bucket", _bucket_of(splits))
     tops = {r["_bucket"]: r["top"] for r in dealt.groupBy("_bucket").agg(F.max("_order").alias("top")).collect()}

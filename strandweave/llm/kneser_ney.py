@@ -179,6 +179,17 @@ def mapped(folder: str, name: str, kind: str) -> np.ndarray:
         return np.memmap(copy.name, dtype=kind, mode="r")
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each, or eight where one needs them."""
+    return counts.astype("<u8" if counts.size and int(counts.max()) >= 1 << 32 else "<u4")
+
+
+def mapped_counts(folder: str, name: str, items: int) -> np.ndarray:
+    """A stored ``narrow`` array of so many items."""
+    raw = mapped(folder, name, "<u4")
+    return raw if raw.size == items else raw.view("<u8")
+
+
 @dataclass
 class Vocabulary:
     """Folder with a sorted array of word hashes per bucket; ``starts`` are the first numbers."""
@@ -211,7 +222,7 @@ class Vocabulary:
             at = np.minimum(np.searchsorted(known, part), len(known) - 1)
             hit = np.flatnonzero(known[at] == part)
             number[cuts[b] + hit] = self.starts[b] + at[hit]
-            count[cuts[b] + hit] = mapped(self.folder, f"counts-{b}", "<u8")[at[hit]]
+            count[cuts[b] + hit] = mapped_counts(self.folder, f"counts-{b}", len(known))[at[hit]]
         return number[back], count[back]
 
 
@@ -235,7 +246,7 @@ def count_words(training: DataFrame, folder: str, buckets: int) -> Vocabulary:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, bucket, keys, counts in _merged_groups(batches):
             save(folder, f"words-{bucket}", keys.astype("<u8"))
-            save(folder, f"counts-{bucket}", counts.astype("<u8"))
+            save(folder, f"counts-{bucket}", narrow(counts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())],
                 ["bucket", "words", "tokens"])
@@ -281,6 +292,8 @@ def _class_counts(counts: np.ndarray) -> list[int]:
 
 def count_bigrams(training: DataFrame, words: Vocabulary, buckets: int) -> Model:
     """Count bigrams by context and continuations by word; see the module for the arrays."""
+    if words.size >= 1 << 32:
+        raise ValueError("a vocabulary of 2^32 words or more does not fit the bigram keys")
     folder, start = words.folder, words.size  # the number past the last is the start of a text
     edges = np.array([(start + 1) * b // buckets for b in range(1, buckets)], dtype=np.uint64)
 
@@ -304,14 +317,14 @@ def count_bigrams(training: DataFrame, words: Vocabulary, buckets: int) -> Model
             low, high = lows[bucket], lows[bucket + 1]
             context = (keys >> np.uint64(32)).astype(np.int64) - low
             save(folder, f"bigrams-{bucket}", keys.astype("<u8"))
-            save(folder, f"times-{bucket}", counts.astype("<u4"))
+            save(folder, f"times-{bucket}", narrow(counts))
             size = int(high - low)
-            table = np.zeros((size, 4), dtype="<u4")
+            table = np.zeros((size, 4), dtype=np.int64)
             table[:, 0] = np.bincount(context, weights=counts, minlength=size)
             for k in (1, 2):
                 table[:, k] = np.bincount(context[counts == k], minlength=size)
             table[:, 3] = np.bincount(context[counts >= 3], minlength=size)
-            save(folder, f"contexts-{bucket}", table)
+            save(folder, f"contexts-{bucket}", narrow(table))
             yield _split(*tally(keys & np.uint64(0xFFFFFFFF)), edges, 3)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([4], pa.int32()), pa.array([bucket], pa.int32()),
@@ -329,9 +342,9 @@ def count_bigrams(training: DataFrame, words: Vocabulary, buckets: int) -> Model
 
         figures: list[bytes] = []
         for _, bucket, keys, counts in _merged_groups(packed()):
-            spread = np.zeros(int(lows[bucket + 1] - lows[bucket]), dtype="<u4")
+            spread = np.zeros(int(lows[bucket + 1] - lows[bucket]), dtype=np.int64)
             spread[keys.astype(np.int64) - lows[bucket]] = counts
-            save(folder, f"continuations-{bucket}", spread)
+            save(folder, f"continuations-{bucket}", narrow(spread))
             found = np.array([*_class_counts(counts), len(keys)], dtype="<i8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([found], pa.binary())], ["kind", "figures"])
         yield pa.RecordBatch.from_arrays(
@@ -347,13 +360,13 @@ def count_bigrams(training: DataFrame, words: Vocabulary, buckets: int) -> Model
                  np.array([total[3][0], total[3][1], total[3][4]]))
 
 
-def _gather(model: Model, name: str, kind: str, width: int, numbers: np.ndarray) -> np.ndarray:
+def _gather(model: Model, name: str, width: int, numbers: np.ndarray) -> np.ndarray:
     """Rows of a bucketed dense array at sorted ``numbers``."""
     out = np.zeros((len(numbers), width), dtype=np.int64)
-    lows = np.concatenate([[0], model.edges]).astype(np.int64)
-    cuts = np.concatenate([np.searchsorted(numbers, lows), [len(numbers)]])
+    lows = np.concatenate([[0], model.edges, [model.words.size + 1]]).astype(np.int64)
+    cuts = np.searchsorted(numbers, lows)
     for b in np.flatnonzero(np.diff(cuts)):
-        table = mapped(model.words.folder, f"{name}-{b}", kind).reshape(-1, width)
+        table = mapped_counts(model.words.folder, f"{name}-{b}", int(lows[b + 1] - lows[b]) * width).reshape(-1, width)
         if len(table) == 0:
             continue
         out[cuts[b]:cuts[b + 1]] = table[numbers[cuts[b]:cuts[b + 1]] - lows[b]]
@@ -371,7 +384,7 @@ def bigram_counts(model: Model, keys: np.ndarray) -> np.ndarray:
         part = keys[cuts[b]:cuts[b + 1]]
         at = np.minimum(np.searchsorted(known, part), len(known) - 1)
         hit = np.flatnonzero(known[at] == part)
-        out[cuts[b] + hit] = mapped(model.words.folder, f"times-{b}", "<u4")[at[hit]]
+        out[cuts[b] + hit] = mapped_counts(model.words.folder, f"times-{b}", len(known))[at[hit]]
     return out
 
 
@@ -379,7 +392,7 @@ def word_probability(model: Model, numbers: np.ndarray) -> np.ndarray:
     """Interpolated continuation probability of sorted word numbers (-1: unknown)."""
     known = np.flatnonzero(numbers >= 0)
     times = np.zeros(len(numbers), dtype=np.int64)
-    times[known] = _gather(model, "continuations", "<u4", 1, numbers[known])[:, 0]
+    times[known] = _gather(model, "continuations", 1, numbers[known])[:, 0]
     d = model.word_discounts
     total = max(model.bigrams, 1)
     spared = float(d[1:] @ model.word_classes)
@@ -397,7 +410,7 @@ def token_logs(model: Model, numbers: np.ndarray, bounds: np.ndarray) -> np.ndar
     context[bounds[:-1]] = model.words.size
     distinct, back = np.unique(context, return_inverse=True)
     seen = np.zeros((len(distinct), 4), dtype=np.int64)
-    seen[distinct >= 0] = _gather(model, "contexts", "<u4", 4, distinct[distinct >= 0])
+    seen[distinct >= 0] = _gather(model, "contexts", 4, distinct[distinct >= 0])
     d = model.bigram_discounts
     spared = seen[:, 1:] @ d[1:]
     total, spared = seen[:, 0][back], spared[back]
