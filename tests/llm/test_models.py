@@ -109,21 +109,48 @@ def test_expected_tokens_meet_the_targets(docs, labels):
         assert sums[d] / sums["n"] == pytest.approx(share, abs=2e-3)
 
 
-def test_rates_against_plain_projected_gradient(spark):
-    rng = np.random.default_rng(9)
-    p = np.round(rng.dirichlet([0.3, 0.3, 0.3], 40), 3)
-    t = rng.integers(1, 100, 40).astype(float)
-    scored = spark.createDataFrame([(p[i].tolist(), float(t[i])) for i in range(40)], "_posterior array<double>, _tokens double")
+def fitted(spark, p, t, goal):
+    scored = spark.createDataFrame([(p[i].tolist(), float(t[i])) for i in range(len(t))], "_posterior array<double>, _tokens double")
     model = mixing.DomainModel(["a", "b", "c"], np.ones(3) / 3, np.zeros((3, mixing.BUCKETS)))
-    goal = np.array([0.7, 0.25, 0.05])
     steps = mixing.fit_rates(scored, model, dict(zip("abc", goal, strict=True)))
-    got = np.array([r["r"] for r in scored.select(mixing.rate_of(F.col("_posterior"), steps).alias("r")).collect()])
-    weight = np.linalg.pinv(np.einsum("i,ij,ik->jk", t, p, p) / t.sum())
-    r = np.ones(40)
-    for _ in range(len(steps)):
-        r = np.maximum(0, r - p @ (weight @ (p.T @ (t * r) / t.sum() - goal)))
-    assert got == pytest.approx(r, abs=1e-9)
-    assert p.T @ (t * got) / t.sum() == pytest.approx(goal, abs=1e-3)
+    rows = scored.select("_posterior", mixing.rate_of(F.col("_posterior"), steps).alias("r")).collect()
+    rate = {tuple(r["_posterior"]): r["r"] for r in rows}
+    return steps, np.array([rate[tuple(x)] for x in p.tolist()])
+
+
+def drawn(seed):
+    rng = np.random.default_rng(seed)
+    return np.round(rng.dirichlet([0.3, 0.3, 0.3], 40), 3), rng.integers(1, 100, 40).astype(float)
+
+
+def test_rates_meet_reachable_targets(spark):
+    p, t = drawn(9)
+    goal = np.array([0.7, 0.25, 0.05])
+    steps, rate = fitted(spark, p, t, goal)
+    assert (rate >= 0).all() and (rate == 0).any()
+    assert p.T @ (t * rate) / t.sum() == pytest.approx(goal, abs=2e-5)
+    again = np.ones(40)
+    for h in steps:
+        again = np.maximum(0, again - p @ np.array(h))
+    assert rate == pytest.approx(again, abs=1e-9)
+
+
+def test_rates_come_as_near_as_they_can(spark):
+    """Domain c always carries a tenth of a or b with it, so 95 per cent of c cannot be reached."""
+    p = np.array([[0.9, 0.05, 0.05], [0.05, 0.9, 0.05], [0.2, 0.1, 0.7], [0.1, 0.3, 0.6]])
+    t = np.array([10.0, 20.0, 30.0, 5.0])
+    goal = np.array([0.02, 0.03, 0.95])
+    _, rate = fitted(spark, p, t, goal)
+    every = np.linalg.pinv(np.einsum("i,ij,ik->jk", t, p, p) / t.sum())
+
+    def distance(r):
+        e = p.T @ (t * r) / t.sum() - goal
+        return e @ every @ e
+
+    best = np.ones(4)
+    for _ in range(20000):
+        best = np.maximum(0, best - p @ (every @ (p.T @ (t * best) / t.sum() - goal)))
+    assert distance(rate) <= distance(best) + 1e-3 and distance(rate) < distance(np.ones(4))
 
 
 def test_mixing_odd_rows(odd, clashing, nothing, labels, docs, spark):
