@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import bounded_sample
+from strandweave.session import write_stage
 
 BUCKETS = 1 << 14
 DIGITS = 3
@@ -41,7 +42,7 @@ class DomainModel:
 def word_buckets(text: str = "text") -> Column:
     """Hashed lower-cased words of a text, in order, as an array."""
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return F.transform(F.array_remove(words, ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000, smoothing: float = 0.5) -> DomainModel:
@@ -107,53 +108,86 @@ def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
 def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float], tolerance: float = 1e-5) -> list[list[float]]:
     """Gradient steps that define every document's rate through ``rate_of``.
 
-    Residuals are weighted by the inverse of the domains' Gram matrix over all tokens, which
-    gives the least squares unit curvature: the step length is 1 and few steps suffice.
+    Residuals are weighted by the inverse of the domains' Gram matrix, taken over the tokens
+    whose rate is not held at zero: that gives the least squares unit curvature, so the step
+    length is 1 and few steps suffice. Should such a step not come nearer, it is taken back and
+    the matrix over all tokens used from there on, for which descent is certain.
     """
     k = len(model.domains)
     if k == 0:
         return []
     cells = scored.groupBy("_posterior").agg(F.sum("_tokens").alias("_tokens")).where("_tokens > 0").cache()
     p, t = F.col("_posterior"), F.col("_tokens")
-    gram = cells.agg(F.sum(t).alias("total"), *[
-        F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    total = gram["total"]
+    goal = np.array([targets.get(d, 0.0) for d in model.domains], dtype=float)
+    goal = goal / max(goal.sum(), 1e-12)
+    corners = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(steps: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Tokens, residual of each domain's share, inverse Gram matrix of the rows in play."""
+        free = F.when(F.col("_r") > 0, t).otherwise(0.0)
+        row = cells.select(t, p, rate_of(p, steps).alias("_r")).agg(
+            F.sum(t).alias("total"), *[F.sum(t * p[i] * F.col("_r")).alias(f"r{i}") for i in range(k)],
+            *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in corners]).first()
+        total = row["total"] or 0.0
+        if not total:
+            return 0.0, goal, goal
+        gram = np.zeros((k, k))
+        for i, j in corners:
+            gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] / total
+        return total, np.array([row[f"r{i}"] for i in range(k)]) / total - goal, np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
+
     steps: list[list[float]] = []
-    if total:
-        matrix = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
-        weight = np.linalg.pinv(matrix, rcond=1e-6, hermitian=True)
-        goal = np.array([targets.get(d, 0.0) for d in model.domains], dtype=float)
-        goal = goal / max(goal.sum(), 1e-12)
-        for _ in range(STEPS):
-            row = cells.select(t, p, rate_of(p, steps).alias("_r")).agg(
-                *[F.sum(t * p[i] * F.col("_r")).alias(f"r{i}") for i in range(k)]).first()
-            residual = np.array([row[f"r{i}"] for i in range(k)]) / total - goal
-            if np.abs(residual).max() < tolerance:
-                break
-            steps.append([float(x) for x in weight @ residual])
+    total, residual, weight = sums(steps)
+    every, certain = weight, False
+    for _ in range(STEPS if total else 0):
+        if np.abs(residual).max() < tolerance:
+            break
+        steps.append([float(x) for x in (every if certain else weight) @ residual])
+        size = residual @ every @ residual
+        _, after, weight = sums(steps)
+        if after @ every @ after < size * (1 - 1e-6):
+            residual = after
+        elif certain:  # as near as nonnegative rates come
+            break
+        else:
+            steps.pop()
+            certain = True
     cells.unpersist()
     return steps
 
 
-def with_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = 1) -> tuple[DataFrame, DomainModel]:
-    """``docs`` with ``_tokens``, ``_posterior``, ``_rate`` and ``_copies``.
+def _copies(rate: Column, draw: Column) -> Column:
+    whole = F.floor(rate)
+    return (whole + (draw < rate - whole).cast("long")).cast("long")
+
+
+def _draw(seed: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = 1) -> tuple[DataFrame, DomainModel, list[list[float]]]:
+    """``(doc_id, tokens, posterior, rate, copies)`` of every row, with the model and the steps.
 
-    ``_copies`` is the rate's whole part plus one with the probability of the rest, by a hash of the row.
+    ``copies`` is the rate's whole part plus one with the probability of the rest, by a hash of the
+    row. Posteriors are written once; the fit and the result read them, not the texts.
     """
     model = fit_domains(docs, labels)
-    scored = with_posteriors(docs, model)
+    scored = write_stage(with_posteriors(docs.select("doc_id", "text"), model).select(
+        "doc_id", "_tokens", "_posterior", _draw(seed).alias("_draw")), "posteriors")
     steps = fit_rates(scored, model, targets)
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rated = scored.withColumn("_rate", rate_of(F.col("_posterior"), steps))
-    whole = F.floor("_rate")
-    return rated.withColumn("_copies", (whole + (draw < F.col("_rate") - whole).cast("long")).cast("long")), model
+    rated = scored.withColumn("rate", rate_of(F.col("_posterior"), steps))
+    return rated.select("doc_id", F.col("_tokens").cast("long").alias("tokens"), F.col("_posterior").alias("posterior"),
+                        "rate", _copies(F.col("rate"), F.col("_draw")).alias("copies")), model, steps
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = 1) -> DataFrame:
     """Every row of ``docs`` as often as its rate says; columns unchanged."""
-    rated, _ = with_rates(docs, labels, targets, seed)
-    repeated = rated.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    _, model, steps = rates(docs, labels, targets, seed)
+    payload = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    counted = with_posteriors(payload, model).select(
+        "_row", _copies(rate_of(F.col("_posterior"), steps), _draw(seed)).alias("_copies"))
+    repeated = counted.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

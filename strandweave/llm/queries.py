@@ -42,11 +42,10 @@ MIX_TARGETS = {"good": 0.97, "low": 0.02, "toxic": 0.01}
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     labels = mixing.label_domains(load(spark, sf_dir, "labels"))
-    rated, model = mixing.with_rates(docs, labels, MIX_TARGETS)
+    rated, model, _ = mixing.rates(docs, labels, MIX_TARGETS)
     return rated.select(
-        "doc_id", F.col("_tokens").cast("long").alias("n_tokens"),
-        *[F.col("_posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)],
-        F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+        "doc_id", F.col("tokens").alias("n_tokens"),
+        *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)], "rate", "copies")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
