@@ -49,32 +49,33 @@ def tokenizer(path: str) -> tuple[Tokenizer, list[str]]:
     return made, [t["content"] for t in spec["added_tokens"]]
 
 
+#: Lengths of pre-tokens outside the frequent table, by tokenizer file; kept from task to task of a worker.
+_seen: dict[str, dict[str, int]] = {}
+
+
 class PreTokens:
-    """Values of pre-tokens by tiers: the shared table, then this worker's bounded cache."""
+    """Token counts by tiers: the shared table, then this worker's bounded cache, then the tokenizer."""
 
-    def __init__(self, path: str, frequent: dict[str, object], value):
-        self.path, self.frequent, self.value = path, frequent, value
-        self.cache: dict[str, object] = {}
+    def __init__(self, path: str, frequent: dict[str, int]):
+        self.path, self.frequent = path, frequent
+        self.cache = _seen.setdefault(path, {})
         self.find = regex.compile(PATTERN).findall
 
-    def rows(self, texts: list[str]) -> Iterator[list]:
-        """The values of each text's pre-tokens, or of the whole text if it holds a special string."""
+    def count(self, text: str) -> int:
         made, special = tokenizer(self.path)
-        for text in texts:
-            if any(s in text for s in special):
-                yield [self.value(made.encode(text, add_special_tokens=False).ids)]
-                continue
-            pieces = self.find(text)
-            values = list(map(self.frequent.get, pieces))
-            if None in values:
-                missing = list({p for p, v in zip(pieces, values, strict=True) if v is None and p not in self.cache})
-                if len(self.cache) + len(missing) > CACHE:
-                    self.cache.clear()
-                    missing = list({p for p, v in zip(pieces, values, strict=True) if v is None})
-                for piece, coded in zip(missing, made.encode_batch(missing, add_special_tokens=False), strict=True):
-                    self.cache[piece] = self.value(coded.ids)
-                values = [self.cache[p] if v is None else v for p, v in zip(pieces, values, strict=True)]
-            yield values
+        if any(s in text for s in special):
+            return len(made.encode(text, add_special_tokens=False).ids)
+        pieces = self.find(text)
+        lengths = list(map(self.frequent.get, pieces))
+        if None not in lengths:
+            return sum(lengths)
+        missed = [p for p, n in zip(pieces, lengths, strict=True) if n is None]
+        if len(self.cache) + len(missed) > CACHE:
+            self.cache.clear()
+        fresh = [p for p in dict.fromkeys(missed) if p not in self.cache]
+        for piece, coded in zip(fresh, made.encode_batch(fresh, add_special_tokens=False), strict=True):
+            self.cache[piece] = len(coded.ids)
+        return sum(n for n in lengths if n is not None) + sum(map(self.cache.__getitem__, missed))
 
 
 def _sampler(path: str, cap: int):
@@ -110,10 +111,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast((pieces, lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = PreTokens(path, {p: n for p, n in zip(*table.value, strict=True) if n < 255}, len)
+        lookup = PreTokens(path, {p: n for p, n in zip(*table.value, strict=True) if n < 255})
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [sum(v) for v in lookup.rows(texts)]
+            counts = [lookup.count(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
