@@ -9,18 +9,24 @@ the placements of that one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.sequence import reverse_complement
 from strandweave.operators.mapping import PLACEMENT
 
+SALTS = 16
+
 
 def _canonical(reads: DataFrame) -> DataFrame:
     both = F.least(F.col("seq"), reverse_complement("seq"))
     return reads.select("read_id", both.alias("key"), (F.col("seq") != both).alias("flip"))
 
 
+def _digest() -> list[Column]:
+    return [F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2")]
+
+
 def fold_copies(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct reads ``(read_id, seq)`` and the others ``(read_id, rep, flipped)``.
 
@@ -28,6 +34,8 @@ def fold_copies(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouping keeps one row per sequence and partition before the exchange, so a sequence that
     makes up much of the input costs no more than any other.
     """
+    # Copies are found again by two hashes of the sequence; text stays out of the join, and a sequence
+    # that makes up much of the input is spread over SALTS tasks.
     keyed = _canonical(reads)
     groups = keyed.groupBy("key").agg(
         F.max(F.struct("read_id", "flip")).alias("rep"), F.count("*").alias("copies"))
@@ -35,8 +43,10 @@ def fold_copies(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("rep.read_id").alias("read_id"),
         F.when(F.col("rep.flip"), reverse_complement("key")).otherwise(F.col("key")).alias("seq"),
     )
-    repeated = groups.where(F.col("copies") > 1).select("key", "rep")
-    copies = keyed.join(repeated, "key").where(F.col("read_id") != F.col("rep.read_id")).select(
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    repeated = groups.where(F.col("copies") > 1).select(*_digest(), "rep", salt.alias("salt"))
+    narrow = keyed.select(*_digest(), "read_id", "flip", F.pmod("read_id", F.lit(SALTS)).cast("int").alias("salt"))
+    copies = narrow.join(repeated, ["h1", "h2", "salt"]).where(F.col("read_id") != F.col("rep.read_id")).select(
         "read_id", F.col("rep.read_id").alias("rep"), (F.col("flip") != F.col("rep.flip")).alias("flipped"))
     return distinct, copies
 
@@ -54,7 +64,10 @@ def copy_placements(copies: DataFrame, placements: DataFrame, index_map: DataFra
     of_rep = placements.select(
         F.col("read_id").alias("rep"), "container", "read", "before", "after", "rc").unionByName(itself)
     first = F.col("read_id") < F.col("container")
-    placed = copies.join(of_rep, "rep").select(
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = of_rep.join(copies.select("rep").distinct(), "rep").withColumn("salt", salt)
+    salted = copies.withColumn("salt", F.pmod("read_id", F.lit(SALTS)).cast("int"))
+    placed = salted.join(spread, ["rep", "salt"]).select(
         "read_id", "container", "read", "before", "after",
         (F.col("rc") != F.col("flipped")).alias("rc"),
         (~first & (F.col("before") > 0)).alias("later"),

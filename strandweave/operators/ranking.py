@@ -1,8 +1,8 @@
 """Dense numbering and in-group ranks without a single-task sort.
 
-A window over a whole table, or over one huge group, would run in one task. Both
-helpers rank inside bounded chunks and add the chunk's offset, a running sum over the
-much smaller table of chunk counts.
+A window over a whole table, or over one huge group, would run in one task. The
+helpers work inside range partitions or hash buckets and add the offset of each, a running sum
+over the table of their counts.
 """
 
 from __future__ import annotations
@@ -12,25 +12,10 @@ from pyspark.sql import functions as F
 
 from strandweave.session import cut_lineage
 
-CHUNK = 1 << 20
 
-
-def dense_ids(df: DataFrame, key: str, out: str, chunk: int = CHUNK) -> DataFrame:
-    """Add ``out``: 0-based position of each row in the order of the unique integer ``key``.
-
-    Chunks are key ranges, so each holds at most ``chunk`` rows.
-    """
-    parts = df.withColumn("_chunk", F.floor(F.col(key) / F.lit(chunk)))
-    offsets = parts.groupBy("_chunk").agg(F.count("*").alias("_n")).select(
-        "_chunk", _running_offset("_n", Window.orderBy("_chunk")).alias("_offset")
-    )
-    local = F.row_number().over(Window.partitionBy("_chunk").orderBy(key)) - 1
-    return (
-        parts.withColumn("_local", local)
-        .join(offsets, "_chunk")
-        .withColumn(out, (F.col("_local") + F.col("_offset")).cast("long"))
-        .drop("_chunk", "_local", "_offset")
-    )
+def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Add ``out``: 0-based position of each row in the order of the unique ``key``, however sparse."""
+    return dense_order(df, [key], out)
 
 
 def dense_order(df: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -83,16 +68,21 @@ def _running_offset(count: str, window) -> Column:
     return F.coalesce(F.sum(count).over(before), F.lit(0))
 
 
-def running_total(df: DataFrame, key: str, value: str, out: str, chunk: int = CHUNK) -> DataFrame:
-    """Add ``out``: sum of ``value`` over all rows with a smaller unique integer ``key``."""
-    parts = df.withColumn("_chunk", F.floor(F.col(key) / F.lit(chunk)))
-    offsets = parts.groupBy("_chunk").agg(F.sum(value).alias("_n")).select(
-        "_chunk", _running_offset("_n", Window.orderBy("_chunk")).alias("_offset")
+def running_total(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Add ``out``: sum of ``value`` over all rows with a smaller unique ``key``.
+
+    Range partitions are summed on their own and offset by the sums of those before; the rows are
+    written once so that they keep their partition.
+    """
+    ranged = cut_lineage(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    offsets = ranged.groupBy("_part").agg(F.sum(value).alias("_n")).select(
+        "_part", _running_offset("_n", Window.orderBy("_part")).alias("_offset")
     )
-    local = _running_offset(value, Window.partitionBy("_chunk").orderBy(key))
+    local = _running_offset(value, Window.partitionBy("_part").orderBy(key))
+    # One row per partition, so the broadcast is bounded by the partition count.
     return (
-        parts.withColumn("_local", local)
-        .join(offsets, "_chunk")
+        ranged.withColumn("_local", local)
+        .join(F.broadcast(offsets), "_part")
         .withColumn(out, F.col("_local") + F.col("_offset"))
-        .drop("_chunk", "_local", "_offset")
+        .drop("_part", "_local", "_offset")
     )

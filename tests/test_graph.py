@@ -76,18 +76,20 @@ def test_components_of_random_and_long_graphs(spark):
     assert got == reach_components(vertices, edges)
 
 
-def test_walk_back_counts_paths_and_caps(spark):
-    # 102 edges into vertex 0; one of them continues backwards over two routes.
+def test_walk_back_counts_paths_and_keeps_repeats(spark):
+    # 102 edges into vertex 0: every place counts, unless a caller asks for a cap.
     pairs = [(2 * i + 3, 0, "A" * 5, "T" * 5) for i in range(102)]
     graph = digraph(spark, pairs, 110)
     starts = spark.createDataFrame([(0, 3, 1)], "v long, residual int, reads long")
-    assert mapping.walk_back(starts, graph.edges).count() == 0
-    assert mapping.walk_back(starts, digraph(spark, pairs[:99], 110).edges).count() == 99
-    assert mapping.walk_back(starts, digraph(spark, pairs[:100], 110).edges).count() == 0
+    hits = mapping.walk_back(starts, graph.edges)
+    assert hits.count() == 102
+    assert {round(r.added, 9) for r in mapping.mapped_read_counts(starts, hits).collect()} == {round(1 / 102, 9)}
+    assert mapping.walk_back(starts, graph.edges, cap=100).count() == 0
+    assert mapping.walk_back(starts, digraph(spark, pairs[:99], 110).edges, cap=100).count() == 99
     two = digraph(spark, [(3, 1, "AA", "TT"), (5, 1, "CC", "GG"), (7, 3, "A", "T"), (7, 5, "C", "G"),
                           (9, 7, "ACGTA", "TACGT")], 6)
     starts = spark.createDataFrame([(1, 3, 2)], "v long, residual int, reads long")
-    rows = {(r.edge_id, r.hits) for r in mapping.walk_back(starts, two.edges).collect()}
+    rows = {(r.edge_id, int(r.hits)) for r in mapping.walk_back(starts, two.edges).collect()}
     assert rows == {(8, 2)}
     hits = mapping.walk_back(starts, two.edges)
     assert [tuple(r) for r in mapping.mapped_read_counts(starts, hits).collect()] == [(8, 2.0)]
