@@ -1,7 +1,8 @@
 """Materialise tokenised sequences in a keyed random order as fixed-stride shards.
 
-Texts are tokenised once, by the ranks file of a byte-level encoder, and kept in a written table, from which every sequence (at most
-``seq_len`` tokens of one document, the end token included) has an ordinal. A keyed
+Texts are tokenised once, by the ranks file of a byte-level encoder. A task joins its texts, each
+closed by the end token, and cuts the stream into sequences of ``seq_len`` tokens (its last may
+be shorter), which it keeps in a written table; so every sequence has an ordinal. A keyed
 Feistel network permutes ``0 .. n-1``: the ordinal is encrypted in the least even number of
 bits that holds n and, while the result is n or more, encrypted again (cycle-walking).
 That slot is the sequence's place in training order. Slots are dealt by ranges to tasks,
@@ -9,11 +10,12 @@ each of which writes whole shards of ``per_shard`` records of equal length, so
 record i of the order lies at a computed byte offset; a reader streams, or resumes at any slot.
 
 Shards appear under a temporary name and are renamed when complete; a task that is
-run again writes the same bytes. A record is doc_id (8 bytes), part (4), tokens (4), then
-``seq_len`` token ids padded with the end token (the first id past the ranks), little-endian.
+run again writes the same bytes. A record is doc_id (8 bytes), start (4), tokens (4), then
+``seq_len`` token ids padded with the end token (the first id past the ranks), little-endian; doc_id is
+the document of the first token and start that token's place in it.
 
-Defined results: null and empty texts give one sequence of just the end token; a null doc_id
-is stored as -1. Repeated rows are sequences of their own. No rows: no shards.
+Defined results: null and empty texts add just the end token; a null doc_id
+is stored as -1. Repeated rows are tokenised as often as they occur. No rows: no shards.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import tiktoken
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,44 +105,57 @@ def encoder(path: str) -> tiktoken.Encoding:
 
 
 def tokenised(docs: DataFrame, path: str, seq_len: int, end: int, id_type: np.dtype) -> DataFrame:
-    """Written table of ``(task, first, doc_id, ids)``: ``first`` numbers the task's sequences."""
-    tail = np.array([end], dtype=id_type).tobytes()
+    """Written table of ``(task, place, doc_id, start, ids)``: ``place`` numbers the task's sequences."""
+    tail = np.array([end], dtype=id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path)
-        task, first = TaskContext.get().partitionId(), 0
+        task, place = TaskContext.get().partitionId(), 0
+        held, docs_held, starts_held = [np.zeros(0, dtype=id_type)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+
+        def cut(last: bool) -> pa.RecordBatch:
+            """Sequences of what is held; but for the last time, the rest is held on."""
+            nonlocal place
+            ids, doc, start = (np.concatenate(x) for x in (held, docs_held, starts_held))
+            count = -(-len(ids) // seq_len) if last else len(ids) // seq_len
+            rest = min(count * seq_len, len(ids))
+            held[:], docs_held[:], starts_held[:] = [ids[rest:]], [doc[rest:]], [start[rest:]]
+            heads = np.arange(count) * seq_len
+            places = np.arange(place, place + count)
+            place += count
+            return pa.RecordBatch.from_arrays(
+                [pa.array([task] * count, pa.int32()), pa.array(places, pa.int64()), pa.array(doc[heads], pa.int64()), pa.array(start[heads], pa.int32()),
+                 pa.array([ids[h:h + seq_len].tobytes() for h in heads], pa.binary())], ["task", "place", "doc_id", "start", "ids"])
+
         for batch in batches:
-            ids, firsts = [], []
-            for text in batch.column(1).to_pylist():
-                ids.append(made.encode_to_numpy(text or "", disallowed_special=()).astype(id_type).tobytes() + tail)
-                firsts.append(first)
-                first += -(-len(ids[-1]) // (seq_len * id_type.itemsize))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([task] * len(ids), pa.int32()), pa.array(firsts, pa.int64()), batch.column(0), pa.array(ids, pa.binary())],
-                ["task", "first", "doc_id", "ids"])
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = np.concatenate([made.encode_to_numpy(text or "", disallowed_special=()).astype(id_type), tail])
+                    held.append(ids)
+                    docs_held.append(np.full(len(ids), doc, dtype=np.int64))
+                    starts_held.append(np.arange(len(ids), dtype=np.int32))
+                yield cut(False)
+        yield cut(True)
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
-    found = rows.mapInArrow(run, "task int, first long, doc_id long, ids binary")
+    found = rows.mapInArrow(run, "task int, place long, doc_id long, start int, ids binary")
     out = stage_path(docs.sparkSession, "tokens")
     found.write.option("compression", "zstd").parquet(out)
     return docs.sparkSession.read.schema(found.schema).parquet(out)
 
 
-def _sequences(layout: Layout, bases: dict[int, int]):
-    width = layout.seq_len * layout.token_bytes
-
+def _placed(layout: Layout, bases: dict[int, int]):
+    """Sequences with their shard and slot; ids travel compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            task, first, doc = (batch.column(i).to_numpy() for i in range(3))
-            ids = batch.column(3).to_pylist()
-            counts = np.array([-(-len(x) // width) for x in ids], dtype=np.int64)
-            part = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            base = np.array([bases[t] for t in task.tolist()], dtype=np.int64) + first
-            slot = permute(np.repeat(base, counts) + part, layout.sequences, layout.key)
-            cut = [x[i:i + width] for x in ids for i in range(0, len(x), width)]
+            base = np.array([bases[t] for t in batch.column(0).to_pylist()], dtype=np.int64)
+            slot = permute(base + batch.column(1).to_numpy(), layout.sequences, layout.key)
+            packed = [packer.compress(x) for x in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((slot // layout.per_shard).astype(np.int32)), pa.array(slot), pa.array(np.repeat(doc, counts)),
-                 pa.array(part.astype(np.int32)), pa.array(cut, pa.binary())], ["shard", "slot", "doc_id", "part", "ids"])
+                [pa.array((slot // layout.per_shard).astype(np.int32)), pa.array(slot), batch.column(2), batch.column(3),
+                 pa.array(packed, pa.binary())], ["shard", "slot", "doc_id", "start", "ids"])
     return run
 
 
@@ -155,6 +171,7 @@ def _writer(layout: Layout, out: str):
     """Write each shard of a task from its records in order of slots; one index row per record."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(out)
+        opener = zstandard.ZstdDecompressor()
         pad = np.array([layout.pad], dtype=layout.id_type).tobytes()
         width = layout.seq_len * layout.token_bytes
         shard, temporary, sink = -1, "", None
@@ -165,14 +182,14 @@ def _writer(layout: Layout, out: str):
                 store.move(temporary, shard_name(folder, shard))
 
         for batch in batches:
-            shards, slots, docs, parts = (batch.column(i).to_pylist() for i in range(4))
-            records = batch.column(4).to_pylist()
-            for s, doc, part, ids in zip(shards, docs, parts, records, strict=True):
+            shards, slots, docs, starts = (batch.column(i).to_pylist() for i in range(4))
+            records = [opener.decompress(x) for x in batch.column(4).to_pylist()]
+            for s, doc, start, ids in zip(shards, docs, starts, records, strict=True):
                 if s != shard:
                     finish()
                     shard, temporary = s, f"{folder}/.{s}-{uuid.uuid4().hex}"
                     sink = store.open_output_stream(temporary, buffer_size=1 << 20)
-                sink.write(doc.to_bytes(8, "little", signed=True) + part.to_bytes(4, "little")
+                sink.write(doc.to_bytes(8, "little", signed=True) + start.to_bytes(4, "little")
                            + (len(ids) // layout.token_bytes).to_bytes(4, "little") + ids
                            + pad * ((width - len(ids)) // layout.token_bytes))
             lengths = [len(x) // layout.token_bytes for x in records]
@@ -180,15 +197,15 @@ def _writer(layout: Layout, out: str):
                 [batch.column(1), batch.column(0), pa.array([s % layout.per_shard * layout.stride for s in slots], pa.int64()),
                  batch.column(2), batch.column(3), pa.array(lengths, pa.int32()),
                  pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in records], pa.int64())],
-                ["slot", "shard", "offset", "doc_id", "part", "n_tokens", "ids_hash"])
+                ["slot", "shard", "offset", "doc_id", "start", "n_tokens", "ids_hash"])
         finish()
     return run
 
 
-INDEX = "slot long, shard int, offset long, doc_id long, part int, n_tokens int, ids_hash long"
+INDEX = "slot long, shard int, offset long, doc_id long, start int, n_tokens int, ids_hash long"
 
 
-def materialise(docs: DataFrame, path: str, *, seq_len: int = 256, per_shard: int = 1 << 15, key: int = 20240229,
+def materialise(docs: DataFrame, path: str, *, seq_len: int = 2048, per_shard: int = 1 << 12, key: int = 20240229,
                 out: str | None = None) -> tuple[DataFrame, str, Layout]:
     """Write ``docs(doc_id, text)`` as shards below ``out``; returns the index table, the folder and the layout.
 
@@ -198,10 +215,8 @@ def materialise(docs: DataFrame, path: str, *, seq_len: int = 256, per_shard: in
     end = encoder(path).max_token_value + 1
     id_type = np.dtype("<u2" if end < 1 << 16 else "<u4")
     tokens = tokenised(docs, path, seq_len, end, id_type)
-    width = seq_len * id_type.itemsize
-    last = (F.col("first") + F.ceil(F.octet_length("ids") / F.lit(width))).cast("long")
     bases, total = {}, 0
-    for r in tokens.groupBy("task").agg(F.max(last).alias("n")).orderBy("task").collect():  # a row per task
+    for r in tokens.groupBy("task").agg(F.count("*").alias("n")).orderBy("task").collect():  # a row per task
         bases[r["task"]], total = total, total + r["n"]
     layout = Layout(total, seq_len, per_shard, id_type.itemsize, end, key)
     out = out or stage_path(spark, "shards")
@@ -209,13 +224,13 @@ def materialise(docs: DataFrame, path: str, *, seq_len: int = 256, per_shard: in
     store.create_dir(folder, recursive=True)
     with store.open_output_stream(f"{folder}/layout.json") as f:
         f.write(json.dumps(asdict(layout)).encode())
-    records = tokens.mapInArrow(_sequences(layout, bases), "shard int, slot long, doc_id long, part int, ids binary")
+    records = tokens.mapInArrow(_placed(layout, bases), "shard int, slot long, doc_id long, start int, ids binary")
     dealt = records.repartition(max(1, layout.shards), "shard").sortWithinPartitions("slot")
     return write_stage(dealt.mapInArrow(_writer(layout, out), INDEX), "index"), out, layout
 
 
 def read_slots(out: str, first: int = 0, count: int | None = None) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """``(slot, doc_id, part, token ids)`` in training order, starting at any slot."""
+    """``(slot, doc_id, start, token ids)`` in training order, starting at any slot."""
     store, folder = _store(out)
     with store.open_input_stream(f"{folder}/layout.json") as f:
         layout = Layout(**json.loads(f.read()))
