@@ -31,8 +31,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.deduplicated(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return line_dedup.decisions(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 #: Token shares of the domains of the labelled table in the mixture.
@@ -78,7 +77,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,5 +106,45 @@ def llm_queries() -> dict[str, Query]:
     }
 
 
+def _sql_words(text: str) -> str:
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lower = f"translate(coalesce({text}, ''), '{letters.upper()}', '{letters}')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+#: Every window of every item looked for at every place of every document.
+OP8_SQL = f"""
+    WITH low AS (SELECT doc_id, {_sql_words('text')} AS w FROM documents),
+    item AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_sql_words('text')} AS w FROM benchmark)),
+    win AS (SELECT DISTINCT item_id, w[i:i + n - 1] AS k FROM (
+        SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM item WHERE n > 0)),
+    spot AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i
+        FROM low, (SELECT DISTINCT len(k) AS n FROM win) WHERE len(w) >= n),
+    hit AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, i, n, w[i:i + n - 1] AS k FROM spot) JOIN win USING (k)),
+    cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+        SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+    found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (
+        SELECT DISTINCT doc_id, coalesce(item_id::VARCHAR, '') AS item FROM hit) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM low LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+#: All pairs of documents that share a shingle, and reachability over their links.
+OP3_SQL = f"""
+    WITH RECURSIVE low AS (SELECT doc_id, {_sql_words('text')} AS w FROM documents),
+    shingle AS (SELECT DISTINCT doc_id, w[i:i + n - 1] AS k FROM (
+        SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM low WHERE len(w) > 0)),
+    size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+    pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.k = b.k AND a.doc_id <> b.doc_id
+        GROUP BY ALL),
+    link AS MATERIALIZED (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+        WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+    reach AS (SELECT a AS d, a AS r FROM link UNION SELECT d, b FROM reach JOIN link ON a = r)
+    SELECT low.doc_id, coalesce(class_id, low.doc_id) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n, 0)::BIGINT AS n_shingles
+    FROM low LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a) USING (doc_id)
+    LEFT JOIN (SELECT d AS doc_id, min(r) AS class_id FROM reach GROUP BY d) USING (doc_id)"""
+
+
 def llm_statements() -> dict[str, str]:
-    return {}
+    """Statements of the queries that SQL can express; models, permutations and tokenizers are tested otherwise."""
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
