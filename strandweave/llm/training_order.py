@@ -43,6 +43,7 @@ from strandweave.session import stage_path, write_stage
 
 ROUNDS = 6
 HEADER = 16
+LEVEL = 6  # of zstd, for token tables and shuffled sequences
 
 
 @dataclass
@@ -141,14 +142,14 @@ def tokenised(docs: DataFrame, path: str, seq_len: int, end: int, id_type: np.dt
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
     found = rows.mapInArrow(run, "task int, place long, doc_id long, start int, ids binary")
     out = stage_path(docs.sparkSession, "tokens")
-    found.write.option("compression", "zstd").parquet(out)
+    found.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(out)
     return docs.sparkSession.read.schema(found.schema).parquet(out)
 
 
 def _placed(layout: Layout, bases: dict[int, int]):
     """Sequences with their shard and slot; ids travel compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             base = np.array([bases[t] for t in batch.column(0).to_pylist()], dtype=np.int64)
             slot = permute(base + batch.column(1).to_numpy(), layout.sequences, layout.key)
