@@ -32,11 +32,13 @@ STEPS = 60
 
 @dataclass
 class DomainModel:
-    """``weights[k]`` are log likelihoods of hashed words relative to the first domain."""
+    """``weights`` is a table of ``BUCKETS`` rows at most, ``(bucket, w1, w2, ...)``: log likelihoods of
+    hashed words relative to the first domain; ``unseen`` holds those of a word in no row."""
 
     domains: list[str]
     prior: np.ndarray
-    weights: np.ndarray
+    weights: DataFrame | None
+    unseen: list[float]
 
 
 def word_buckets(text: str = "text") -> Column:
@@ -54,45 +56,42 @@ def fit_domains(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000,
     shares = {r["domain"]: r["n"] for r in labels.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row per domain
     domains = sorted(shares)
     if not domains:
-        return DomainModel([], np.zeros(0), np.zeros((0, BUCKETS)))
+        return DomainModel([], np.zeros(0), None, [])
     chosen = bounded_sample(labels, "domain", sample_rows)  # about sample_rows x domains narrow rows
     words = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         "domain", F.explode(word_buckets()).alias("bucket"))
-    counts = np.full((len(domains), BUCKETS), smoothing)
-    for r in words.groupBy("domain", "bucket").agg(F.count("*").alias("n")).toLocalIterator():  # BUCKETS x domains at most
-        counts[domains.index(r["domain"]), r["bucket"]] += r["n"]
-    logs = np.log(counts / counts.sum(axis=1, keepdims=True))
+    counts = write_stage(words.groupBy("bucket").pivot("domain", domains).count().na.fill(0), "words")
+    names = [F.col(f"`{d}`") for d in domains]
+    totals = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"t{i}") for i, c in enumerate(names)]).first()
+    logs = [F.log((c + F.lit(smoothing)) / F.lit(totals[i] + smoothing * BUCKETS)) for i, c in enumerate(names)]
+    weights = write_stage(counts.select("bucket", *[(x - logs[0]).alias(f"w{i}") for i, x in enumerate(logs) if i]), "weights")
+    unseen = [float(np.log((totals[0] + smoothing * BUCKETS) / (totals[i] + smoothing * BUCKETS))) for i in range(1, len(domains))]
     prior = np.array([shares[d] for d in domains], dtype=float)
-    return DomainModel(domains, prior / prior.sum(), logs - logs[:1])
+    return DomainModel(domains, prior / prior.sum(), weights, unseen)
 
 
-def _constant(values: np.ndarray) -> Column:
-    """An array literal, folded once by the optimizer."""
-    return F.split(F.lit(",".join(f"{v:.4f}" for v in values)), ",").cast("array<float>")
+def posteriors(docs: DataFrame, model: DomainModel, keys: dict[str, Column]) -> DataFrame:
+    """A row per document: ``keys``, ``_tokens`` and ``_posterior``, an array rounded to ``DIGITS`` decimals.
 
-
-def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """``docs`` with ``_tokens`` and ``_posterior``, an array rounded to ``DIGITS`` decimals.
-
-    Evidence grows with the square root of the length, as words of one text are not independent.
+    Words meet their weights in a broadcast join (``BUCKETS`` rows at most) and are summed per
+    row before any shuffle. Evidence grows with the square root of the length, as words of one
+    text are not independent.
     """
     k = len(model.domains)
-    hashed = docs.withColumn("_buckets", word_buckets())
-
-    def evidence(weights: np.ndarray) -> Column:
-        table = _constant(weights)
-        return F.aggregate("_buckets", F.lit(0.0), lambda acc, b: acc + F.element_at(table, b + 1))
-
-    sums = [F.lit(0.0)] + [evidence(w) for w in model.weights[1:]]
-    scored = hashed.withColumn("_tokens", F.size("_buckets").cast("double")).withColumn("_sums", F.array(*sums) if k else F.array())
-    tempered = [F.lit(float(np.log(model.prior[i]))) + F.col("_sums")[i] / F.sqrt(F.greatest(F.col("_tokens"), F.lit(1.0)))
-                for i in range(k)]
-    scored = scored.withColumn("_logs", F.array(*tempered) if k else F.array().cast("array<double>"))
-    top = F.array_max("_logs")
-    scored = scored.withColumn("_odds", F.transform("_logs", lambda x: F.exp(x - top)))
+    # The row number must be given before the rows are taken apart.
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *[c.alias(n) for n, c in keys.items()], word_buckets().alias("_buckets"))
+    named = rows.select("_row", *keys, F.explode_outer("_buckets").alias("bucket"))
+    if k > 1:
+        named = named.join(F.broadcast(model.weights), "bucket", "left")
+    sums = [F.sum(F.when(F.col("bucket").isNotNull(), F.coalesce(f"w{i}", F.lit(model.unseen[i - 1]))).otherwise(0.0)).alias(f"_s{i}")
+            for i in range(1, k)]
+    scored = named.groupBy("_row", *keys).agg(F.count("bucket").cast("double").alias("_tokens"), *sums)
+    root = F.sqrt(F.greatest(F.col("_tokens"), F.lit(1.0)))
+    logs = [F.lit(float(np.log(model.prior[i]))) + (F.col(f"_s{i}") / root if i else F.lit(0.0)) for i in range(k)]
+    scored = scored.withColumn("_logs", F.array(*logs) if k else F.array().cast("array<double>"))
+    scored = scored.withColumn("_odds", F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs"))))
     total = F.aggregate("_odds", F.lit(0.0), lambda acc, x: acc + x)
-    return scored.withColumn("_posterior", F.transform("_odds", lambda x: F.round(x / total, DIGITS))).drop(
-        "_buckets", "_sums", "_logs", "_odds")
+    return scored.select(*keys, "_tokens", F.transform("_odds", lambda x: F.round(x / total, DIGITS)).alias("_posterior"))
 
 
 def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
@@ -166,28 +165,29 @@ def _draw(seed: int) -> Column:
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = 1) -> tuple[DataFrame, DomainModel, list[list[float]]]:
-    """``(doc_id, tokens, posterior, rate, copies)`` of every row, with the model and the steps.
+    """``(doc_id, text_hash, tokens, posterior, rate, copies)`` of every row, with the model and the steps.
 
     ``copies`` is the rate's whole part plus one with the probability of the rest, by a hash of the
     row. Posteriors are written once; the fit and the result read them, not the texts.
     """
     model = fit_domains(docs, labels)
-    scored = write_stage(with_posteriors(docs.select("doc_id", "text"), model).select(
-        "doc_id", "_tokens", "_posterior", _draw(seed).alias("_draw")), "posteriors")
+    keys = {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64("text"), "_draw": _draw(seed)}
+    scored = write_stage(posteriors(docs, model, keys), "posteriors")
     steps = fit_rates(scored, model, targets)
     rated = scored.withColumn("rate", rate_of(F.col("_posterior"), steps))
-    return rated.select("doc_id", F.col("_tokens").cast("long").alias("tokens"), F.col("_posterior").alias("posterior"),
+    return rated.select("doc_id", "text_hash", F.col("_tokens").cast("long").alias("tokens"), F.col("_posterior").alias("posterior"),
                         "rate", _copies(F.col("rate"), F.col("_draw")).alias("copies")), model, steps
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = 1) -> DataFrame:
     """Every row of ``docs`` as often as its rate says; columns unchanged."""
-    _, model, steps = rates(docs, labels, targets, seed)
-    payload = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    counted = with_posteriors(payload, model).select(
-        "_row", _copies(rate_of(F.col("_posterior"), steps), _draw(seed)).alias("_copies"))
-    repeated = counted.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    rated, _, _ = rates(docs, labels, targets, seed)
+    # Rows of equal id and text have equal rates and draws.
+    copies = rated.where("copies > 0").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies")).distinct()
+    found = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]) & (F.xxhash64(docs["text"]) == copies["_hash"]))
+    return found.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def test_expected_tokens_meet_the_targets(docs, labels):
 
 def fitted(spark, p, t, goal):
     scored = spark.createDataFrame([(p[i].tolist(), float(t[i])) for i in range(len(t))], "_posterior array<double>, _tokens double")
-    model = mixing.DomainModel(["a", "b", "c"], np.ones(3) / 3, np.zeros((3, mixing.BUCKETS)))
+    model = mixing.DomainModel(["a", "b", "c"], np.ones(3) / 3, None, [])
     steps = mixing.fit_rates(scored, model, dict(zip("abc", goal, strict=True)))
     rows = scored.select("_posterior", mixing.rate_of(F.col("_posterior"), steps).alias("r")).collect()
     rate = {tuple(r["_posterior"]): r["r"] for r in rows}
