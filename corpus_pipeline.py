@@ -31,7 +31,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents by rates that meet the target shares of the labelled domains."""
-    return mixing.mixed(docs, mixing.label_domains(load(spark, sf_dir, "labels")), MIX_TARGETS)
+    return mixing.mixed(docs, mixing.label_domains(load(spark, sf_dir, "labels")), MIX_TARGETS, relative=True)
 
 
 def training_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

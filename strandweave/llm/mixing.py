@@ -104,9 +104,13 @@ def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
         F.lit(0.0), r - sum((posterior[i] * h[i] for i in range(len(steps[0]))), F.lit(0.0))))
 
 
-def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float], tolerance: float = 1e-5) -> list[list[float]]:
+def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float], relative: bool = False,
+              tolerance: float = 1e-5) -> list[list[float]]:
     """Gradient steps that define every document's rate through ``rate_of``.
 
+    ``targets`` are token shares of the domains; with ``relative``, factors on the shares that the
+    corpus has by itself. Either are scaled to a sum of 1.
+
     Residuals are weighted by the inverse of the domains' Gram matrix, taken over the tokens
     whose rate is not held at zero: that gives the least squares unit curvature, so the step
     length is 1 and few steps suffice. Should such a step not come nearer, it is taken back and
@@ -117,8 +121,8 @@ def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float],
         return []
     cells = scored.groupBy("_posterior").agg(F.sum("_tokens").alias("_tokens")).where("_tokens > 0").cache()
     p, t = F.col("_posterior"), F.col("_tokens")
-    goal = np.array([targets.get(d, 0.0) for d in model.domains], dtype=float)
-    goal = goal / max(goal.sum(), 1e-12)
+    wanted = np.array([targets.get(d, 0.0) for d in model.domains], dtype=float)
+    goal = np.zeros(k)
     corners = [(i, j) for i in range(k) for j in range(i, k)]
 
     def sums(steps: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -136,7 +140,10 @@ def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float],
         return total, np.array([row[f"r{i}"] for i in range(k)]) / total - goal, np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
 
     steps: list[list[float]] = []
-    total, residual, weight = sums(steps)
+    total, natural, weight = sums(steps)
+    goal = wanted * natural if relative else wanted
+    goal = goal / max(goal.sum(), 1e-12)
+    residual = natural - goal
     every, certain = weight, False
     for _ in range(STEPS if total else 0):
         if np.abs(residual).max() < tolerance:
@@ -164,7 +171,8 @@ def _draw(seed: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = 1) -> tuple[DataFrame, DomainModel, list[list[float]]]:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = 1,
+          relative: bool = False) -> tuple[DataFrame, DomainModel, list[list[float]]]:
     """``(doc_id, text_hash, tokens, posterior, rate, copies)`` of every row, with the model and the steps.
 
     ``copies`` is the rate's whole part plus one with the probability of the rest, by a hash of the
@@ -173,15 +181,15 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: i
     model = fit_domains(docs, labels)
     keys = {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64("text"), "_draw": _draw(seed)}
     scored = write_stage(posteriors(docs, model, keys), "posteriors")
-    steps = fit_rates(scored, model, targets)
+    steps = fit_rates(scored, model, targets, relative)
     rated = scored.withColumn("rate", rate_of(F.col("_posterior"), steps))
     return rated.select("doc_id", "text_hash", F.col("_tokens").cast("long").alias("tokens"), F.col("_posterior").alias("posterior"),
                         "rate", _copies(F.col("rate"), F.col("_draw")).alias("copies")), model, steps
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = 1) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = 1, relative: bool = False) -> DataFrame:
     """Every row of ``docs`` as often as its rate says; columns unchanged."""
-    rated, _, _ = rates(docs, labels, targets, seed)
+    rated, _, _ = rates(docs, labels, targets, seed, relative)
     # Rows of equal id and text have equal rates and draws.
     copies = rated.where("copies > 0").select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies")).distinct()

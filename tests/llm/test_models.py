@@ -109,6 +109,19 @@ def test_expected_tokens_meet_the_targets(docs, labels):
         assert sums[d] / sums["n"] == pytest.approx(share, abs=2e-3)
 
 
+def test_relative_targets_are_factors_on_the_natural_shares(docs, labels):
+    domains = mixing.label_domains(labels)
+    factors = {"good": 1.0, "low": 0.5, "toxic": 0.5}
+    rated, model, _ = mixing.rates(docs, domains, factors, relative=True)
+    share = lambda rate: np.array(rated.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i] * rate) / F.sum("tokens")
+                                              for i in range(len(model.domains))]).first())
+    natural, after = share(F.lit(1.0)), share(F.col("rate"))
+    want = natural * np.array([factors[d] for d in model.domains])
+    assert after == pytest.approx(want / want.sum(), abs=2e-3)
+    good = model.domains.index("good")
+    assert rated.where(F.col("posterior")[good] > 0.95).agg(F.min("copies")).first()[0] >= 1
+
+
 def fitted(spark, p, t, goal):
     scored = spark.createDataFrame([(p[i].tolist(), float(t[i])) for i in range(len(t))], "_posterior array<double>, _tokens double")
     model = mixing.DomainModel(["a", "b", "c"], np.ones(3) / 3, None, [])

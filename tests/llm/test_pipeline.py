@@ -40,7 +40,7 @@ def test_stages(spark):
     assert 0 < sum(r[5] for r in judged)
 
     before, after = results["source_mixing"]
-    rated, _, _ = mixing.rates(spark.createDataFrame(before, after.schema), mixing.label_domains(load(spark, SF, "labels")), MIX_TARGETS)
+    rated, _, _ = mixing.rates(spark.createDataFrame(before, after.schema), mixing.label_domains(load(spark, SF, "labels")), MIX_TARGETS, relative=True)
     assert Counter(r["doc_id"] for r in after.collect()) == Counter({r["doc_id"]: r["copies"] for r in rated.collect() if r["copies"]})
 
     before, index = results["training_order"]
