@@ -12,7 +12,12 @@ record i of the order lies at a computed byte offset; a reader streams, or resum
 Shards appear under a temporary name and are renamed when complete; a task that is
 run again writes the same bytes. A record is doc_id (8 bytes), start (4), tokens (4), then
 ``seq_len`` token ids padded with the end token (the first id past the ranks), little-endian; doc_id is
-the document of the first token and start that token's place in it.
+the document of the first token and start that token's place in it. All documents of a record
+are in the index (``doc_ids``, ``doc_offsets``, ``doc_lengths``: a piece per document, its place in the record and
+its tokens, the end token included) and, so that shards can be read without it, in a file
+per shard of the folder beside them (``<out>.docs``): doc_id (8), offset (4) and length (4) of
+each piece, then the number of pieces before each record and in all (8 each). All
+pieces but a record's first begin their document.
 
 Defined results: null and empty texts add just the end token; a null doc_id
 is stored as -1. Repeated rows are tokenised as often as they occur. No rows: no shards.
@@ -43,6 +48,7 @@ from strandweave.session import stage_path, write_stage
 
 ROUNDS = 6
 HEADER = 16
+PIECE = np.dtype([("doc_id", "<i8"), ("offset", "<i4"), ("length", "<i4")])
 LEVEL = 6  # of zstd, for token tables and shuffled sequences
 
 
@@ -105,58 +111,69 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
+
+
 def tokenised(docs: DataFrame, path: str, seq_len: int, end: int, id_type: np.dtype) -> DataFrame:
-    """Written table of ``(task, place, doc_id, start, ids)``: ``place`` numbers the task's sequences."""
+    """Written table of ``(task, place, start, doc_ids, ids)``: ``place`` numbers the task's sequences."""
     tail = np.array([end], dtype=id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path)
-        task, place = TaskContext.get().partitionId(), 0
-        held, docs_held, starts_held = [np.zeros(0, dtype=id_type)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+        task, place, before = TaskContext.get().partitionId(), 0, 0  # before: tokens of the first held document already cut off
+        held, docs_held = [np.zeros(0, dtype=id_type)], []
 
         def cut(last: bool) -> pa.RecordBatch:
             """Sequences of what is held; but for the last time, the rest is held on."""
-            nonlocal place
-            ids, doc, start = (np.concatenate(x) for x in (held, docs_held, starts_held))
+            nonlocal place, before
+            ids, doc = np.concatenate(held), np.array(docs_held, dtype=np.int64)
+            ends = np.flatnonzero(ids == end) + 1  # a document's end token is its only one
+            begins = np.concatenate([[-before], ends])
             count = -(-len(ids) // seq_len) if last else len(ids) // seq_len
             rest = min(count * seq_len, len(ids))
-            held[:], docs_held[:], starts_held[:] = [ids[rest:]], [doc[rest:]], [start[rest:]]
             heads = np.arange(count) * seq_len
+            first = np.searchsorted(ends, heads, side="right")
+            past = np.searchsorted(ends, np.minimum(heads + seq_len, len(ids)) - 1, side="right") + 1
+            found = np.concatenate([np.zeros(0, dtype=np.int64), *[doc[a:b] for a, b in zip(first, past, strict=True)]])
+            starts = heads - begins[first]
+            gone = int(np.searchsorted(ends, rest, side="right"))
+            before = rest - int(begins[gone])
+            held[:], docs_held[:] = [ids[rest:]], docs_held[gone:]
             places = np.arange(place, place + count)
             place += count
             return pa.RecordBatch.from_arrays(
-                [pa.array([task] * count, pa.int32()), pa.array(places, pa.int64()), pa.array(doc[heads], pa.int64()), pa.array(start[heads], pa.int32()),
-                 pa.array([ids[h:h + seq_len].tobytes() for h in heads], pa.binary())], ["task", "place", "doc_id", "start", "ids"])
+                [pa.array([task] * count, pa.int32()), pa.array(places, pa.int64()), pa.array(starts, pa.int32()), _lists(found, past - first),
+                 pa.array([ids[h:h + seq_len].tobytes() for h in heads], pa.binary())], ["task", "place", "start", "doc_ids", "ids"])
 
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = np.concatenate([made.encode_to_numpy(text or "", disallowed_special=()).astype(id_type), tail])
-                    held.append(ids)
-                    docs_held.append(np.full(len(ids), doc, dtype=np.int64))
-                    starts_held.append(np.arange(len(ids), dtype=np.int32))
+                    held.append(np.concatenate([made.encode_to_numpy(text or "", disallowed_special=()).astype(id_type), tail]))
+                    docs_held.append(doc)
                 yield cut(False)
         yield cut(True)
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
-    found = rows.mapInArrow(run, "task int, place long, doc_id long, start int, ids binary")
+    found = rows.mapInArrow(run, "task int, place long, start int, doc_ids array<long>, ids binary")
     out = stage_path(docs.sparkSession, "tokens")
     found.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(out)
     return docs.sparkSession.read.schema(found.schema).parquet(out)
 
 
 def _placed(layout: Layout, bases: dict[int, int]):
-    """Sequences with their shard and slot; ids travel compressed."""
+    """Sequences with their shard and slot; token ids, and before them doc_ids as differences, travel compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             base = np.array([bases[t] for t in batch.column(0).to_pylist()], dtype=np.int64)
             slot = permute(base + batch.column(1).to_numpy(), layout.sequences, layout.key)
-            packed = [packer.compress(x) for x in batch.column(4).to_pylist()]
+            packed = [packer.compress(np.diff(np.array(d, dtype="<i8"), prepend=0).tobytes() + x)
+                      for d, x in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((slot // layout.per_shard).astype(np.int32)), pa.array(slot), batch.column(2), batch.column(3),
-                 pa.array(packed, pa.binary())], ["shard", "slot", "doc_id", "start", "ids"])
+                [pa.array((slot // layout.per_shard).astype(np.int32)), pa.array(slot), batch.column(2),
+                 pa.array([len(d) for d in batch.column(3)], pa.int32()), pa.array(packed, pa.binary())], ["shard", "slot", "start", "docs", "packed"])
     return run
 
 
@@ -168,42 +185,69 @@ def shard_name(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
+def docs_folder(folder: str) -> str:
+    """Folder of the documents of each record, beside that of the shards."""
+    return folder.rstrip("/") + ".docs"
+
+
+def _pieces(ids: np.ndarray, docs: np.ndarray, end: int) -> np.ndarray:
+    """The documents of one record, with offset and length of each."""
+    bounds = np.flatnonzero(ids == end) + 1
+    if not len(bounds) or bounds[-1] < len(ids):
+        bounds = np.append(bounds, len(ids))
+    out = np.empty(len(docs), dtype=PIECE)
+    out["doc_id"], out["offset"], out["length"] = docs, np.concatenate([[0], bounds[:-1]]), np.diff(bounds, prepend=0)
+    return out
+
+
 def _writer(layout: Layout, out: str):
-    """Write each shard of a task from its records in order of slots; one index row per record."""
+    """Write each shard of a task, and the documents in it, from its records in order of slots; one index row per record."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _store(out)
         opener = zstandard.ZstdDecompressor()
         pad = np.array([layout.pad], dtype=layout.id_type).tobytes()
         width = layout.seq_len * layout.token_bytes
-        shard, temporary, sink = -1, "", None
+        shard, open_files, counts = -1, [], []
 
         def finish() -> None:
-            if sink is not None:
+            if open_files:
+                open_files[0][0].write(np.cumsum([0, *counts]).astype("<i8").tobytes())
+            for sink, temporary, name in open_files:
                 sink.close()
-                store.move(temporary, shard_name(folder, shard))
+                store.move(temporary, name)
 
         for batch in batches:
-            shards, slots, docs, starts = (batch.column(i).to_pylist() for i in range(4))
-            records = [opener.decompress(x) for x in batch.column(4).to_pylist()]
-            for s, doc, start, ids in zip(shards, docs, starts, records, strict=True):
+            shards, slots, starts, sizes = (batch.column(i).to_pylist() for i in range(4))
+            raw = [opener.decompress(x) for x in batch.column(4).to_pylist()]
+            records = [x[8 * n:] for x, n in zip(raw, sizes, strict=True)]
+            pieces = [_pieces(np.frombuffer(ids, dtype=layout.id_type), np.cumsum(np.frombuffer(x, dtype="<i8", count=n)), layout.pad)
+                      for x, ids, n in zip(raw, records, sizes, strict=True)]
+            for s, start, ids, piece in zip(shards, starts, records, pieces, strict=True):
                 if s != shard:
                     finish()
-                    shard, temporary = s, f"{folder}/.{s}-{uuid.uuid4().hex}"
-                    sink = store.open_output_stream(temporary, buffer_size=1 << 20)
-                sink.write(doc.to_bytes(8, "little", signed=True) + start.to_bytes(4, "little")
-                           + (len(ids) // layout.token_bytes).to_bytes(4, "little") + ids
-                           + pad * ((width - len(ids)) // layout.token_bytes))
+                    shard, counts = s, []
+                    open_files = [(store.open_output_stream(t, buffer_size=1 << 20), t, shard_name(f, s))
+                                  for f in (docs_folder(folder), folder) for t in [f"{f}/.{s}-{uuid.uuid4().hex}"]]
+                open_files[0][0].write(piece.tobytes())
+                counts.append(len(piece))
+                open_files[1][0].write(int(piece["doc_id"][0]).to_bytes(8, "little", signed=True) + start.to_bytes(4, "little")
+                                       + (len(ids) // layout.token_bytes).to_bytes(4, "little") + ids
+                                       + pad * ((width - len(ids)) // layout.token_bytes))
+            if not records:
+                continue
+            joined, many = np.concatenate(pieces), np.array(sizes)
             lengths = [len(x) // layout.token_bytes for x in records]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(0), pa.array([s % layout.per_shard * layout.stride for s in slots], pa.int64()),
-                 batch.column(2), batch.column(3), pa.array(lengths, pa.int32()),
-                 pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in records], pa.int64())],
-                ["slot", "shard", "offset", "doc_id", "start", "n_tokens", "ids_hash"])
+                 pa.array([x["doc_id"][0] for x in pieces], pa.int64()), batch.column(2), pa.array(lengths, pa.int32()),
+                 pa.array([xxhash.xxh64_intdigest(x) >> 1 for x in records], pa.int64()),
+                 *[_lists(np.ascontiguousarray(joined[c]), many) for c in ("doc_id", "offset", "length")]],
+                ["slot", "shard", "offset", "doc_id", "start", "n_tokens", "ids_hash", "doc_ids", "doc_offsets", "doc_lengths"])
         finish()
     return run
 
 
-INDEX = "slot long, shard int, offset long, doc_id long, start int, n_tokens int, ids_hash long"
+INDEX = "slot long, shard int, offset long, doc_id long, start int, n_tokens int, ids_hash long, doc_ids array<long>, doc_offsets array<int>, doc_lengths array<int>"
 
 
 def materialise(docs: DataFrame, path: str, *, seq_len: int = 2048, per_shard: int = 1 << 12, key: int = 20240229,
@@ -222,19 +266,42 @@ def materialise(docs: DataFrame, path: str, *, seq_len: int = 2048, per_shard: i
     layout = Layout(total, seq_len, per_shard, id_type.itemsize, end, key)
     out = out or stage_path(spark, "shards")
     store, folder = _store(out)
-    store.create_dir(folder, recursive=True)
+    for made in (folder, docs_folder(folder)):
+        store.create_dir(made, recursive=True)
     with store.open_output_stream(f"{folder}/layout.json") as f:
         f.write(json.dumps(asdict(layout)).encode())
-    records = tokens.mapInArrow(_placed(layout, bases), "shard int, slot long, doc_id long, start int, ids binary")
+    records = tokens.mapInArrow(_placed(layout, bases), "shard int, slot long, start int, docs int, packed binary")
     dealt = records.repartition(max(1, layout.shards), "shard").sortWithinPartitions("slot")
     return write_stage(dealt.mapInArrow(_writer(layout, out), INDEX), "index"), out, layout
 
 
+def _layout(store: pafs.FileSystem, folder: str) -> Layout:
+    with store.open_input_stream(f"{folder}/layout.json") as f:
+        return Layout(**json.loads(f.read()))
+
+
+def read_docs(out: str, first: int = 0, count: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """``(slot, pieces)`` in training order: ``doc_id``, ``offset`` and ``length`` of each document in a record."""
+    store, folder = _store(out)
+    layout = _layout(store, folder)
+    last = layout.sequences if count is None else min(layout.sequences, first + count)
+    while first < last:
+        shard, within = divmod(first, layout.per_shard)
+        here = min(layout.per_shard, layout.sequences - shard * layout.per_shard)
+        upto = min(last, (shard + 1) * layout.per_shard)
+        with store.open_input_file(shard_name(docs_folder(folder), shard)) as f:
+            f.seek(f.size() - 8 * (here + 1 - within))
+            bounds = np.frombuffer(f.read(8 * (upto - first + 1)), dtype="<i8")
+            f.seek(int(bounds[0]) * PIECE.itemsize)
+            for slot in range(first, upto):
+                yield slot, np.frombuffer(f.read(int(bounds[slot - first + 1] - bounds[slot - first]) * PIECE.itemsize), dtype=PIECE)
+        first = upto
+
+
 def read_slots(out: str, first: int = 0, count: int | None = None) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """``(slot, doc_id, start, token ids)`` in training order, starting at any slot."""
     store, folder = _store(out)
-    with store.open_input_stream(f"{folder}/layout.json") as f:
-        layout = Layout(**json.loads(f.read()))
+    layout = _layout(store, folder)
     last = layout.sequences if count is None else min(layout.sequences, first + count)
     while first < last:
         shard, within = divmod(first, layout.per_shard)

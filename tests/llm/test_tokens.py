@@ -99,3 +99,32 @@ def test_odd_rows(odd, clashing, nothing):
     assert round_trip(clashing, seq_len=32)[2].sequences == layout.sequences
     assert round_trip(nothing)[2].sequences == 0
     assert round_trip(odd)[2].sequences > 0
+
+
+@pytest.mark.parametrize("seq_len", [32, 2048])
+def test_every_document_by_its_id(documents, odd, tmp_path, seq_len):
+    made = to.encoder(RANKS)
+    for name, docs in (("documents", documents), ("odd", odd)):
+        out = str(tmp_path / name)
+        index, folder, layout = to.materialise(docs, RANKS, seq_len=seq_len, per_shard=50, out=out)
+        records = list(to.read_slots(folder))
+        listed = list(to.read_docs(folder))
+        assert [s for s, _ in listed] == list(range(layout.sequences))
+        rows = {r["slot"]: list(zip(r["doc_ids"], r["doc_offsets"], r["doc_lengths"], strict=True)) for r in index.collect()}
+        assert {s: x.tolist() for s, x in listed} == rows
+        middle = layout.sequences // 2 + 1
+        assert [(s, x.tolist()) for s, x in to.read_docs(folder, middle, 60)] == [(s, rows[s]) for s in range(middle, min(middle + 60, layout.sequences))]
+        by_doc, held = {}, []
+        for slot in to.permute(np.arange(layout.sequences), layout.sequences, layout.key):
+            _, head, start, ids = records[slot]
+            assert rows[slot][0][0] == head and sum(n for _, _, n in rows[slot]) == len(ids) and start == len(held)
+            for doc, offset, n in rows[slot]:
+                held += ids[offset:offset + n].tolist()
+                if held[-1] == layout.pad:
+                    by_doc.setdefault(doc, []).append(made.decode(held[:-1]))
+                    held = []
+        assert not held
+        want = {}
+        for r in docs.collect():
+            want.setdefault(-1 if r["doc_id"] is None else r["doc_id"], []).append(r["text"] or "")
+        assert {d: sorted(x) for d, x in by_doc.items()} == {d: sorted(x) for d, x in want.items()}
