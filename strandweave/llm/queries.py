@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import (
     decontaminate,
+    filter_audit,
     fingerprints,
     kneser_ney,
     language_id,
@@ -92,6 +93,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -104,6 +109,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_language_id": op9_language_id,
         "op10_token_counts": op10_token_counts,
+        "op12_filter_interaction_audit": op12_filter_interaction_audit,
     }
 
 
@@ -146,6 +152,38 @@ OP3_SQL = f"""
     LEFT JOIN (SELECT d AS doc_id, min(r) AS class_id FROM reach GROUP BY d) USING (doc_id)"""
 
 
+#: Every document, order and step told by the letters that the document fails.
+OP12_SQL = """
+    WITH letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+    ord AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+        WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+    txt AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    lab AS (SELECT doc_id, bool_or(coalesce(quality, 0) = 1) AS good, bool_or(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+    doc AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(w) < 50 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+        FROM txt LEFT JOIN lab USING (doc_id)),
+    cell AS (SELECT part, good, toxic, fails, count(*) AS n FROM doc GROUP BY ALL),
+    gone AS (SELECT part, filter_order, step, filter_order[step] AS filter, n, good, toxic, fails,
+        contains(fails, filter_order[step]) AS f,
+        len(list_filter(range(1, step), lambda k: contains(fails, filter_order[k]))) = 0 AS open
+        FROM cell, ord, (SELECT unnest(range(1, 6)) AS step)),
+    figure AS (SELECT part, filter_order, step, filter,
+        coalesce(sum(n) FILTER (open AND NOT f), 0) AS kept, coalesce(sum(n) FILTER (open AND f), 0) AS removed,
+        coalesce(sum(n) FILTER (f AND NOT open), 0) AS redundant, coalesce(sum(n) FILTER (fails = filter), 0) AS unique_fails,
+        coalesce(sum(n) FILTER (open AND f AND good), 0) AS good_lost, coalesce(sum(n) FILTER (open AND f AND toxic), 0) AS toxic_lost
+        FROM gone GROUP BY ALL)
+    SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+        unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+        (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley, filter
+    FROM figure"""
+
+
 def llm_statements() -> dict[str, str]:
     """Statements of the queries that SQL can express; models, permutations and tokenizers are tested otherwise."""
-    return {"op3_ngram_jaccard_join": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL,
+            "op12_filter_interaction_audit": OP12_SQL}
