@@ -11,8 +11,10 @@ from strandweave.llm import (
     decontaminate,
     filter_audit,
     fingerprints,
+    html_extract,
     kneser_ney,
     language_id,
+    lexical_search,
     line_dedup,
     mixing,
     ngram_join,
@@ -93,10 +95,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(load(spark, sf_dir, "pages"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -109,7 +119,9 @@ def llm_queries() -> dict[str, Query]:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_language_id": op9_language_id,
         "op10_token_counts": op10_token_counts,
+        "op11_ranked_lexical_search": op11_ranked_lexical_search,
         "op12_filter_interaction_audit": op12_filter_interaction_audit,
+        "op13_html_extraction": op13_html_extraction,
     }
 
 
@@ -152,6 +164,20 @@ OP3_SQL = f"""
     LEFT JOIN (SELECT d AS doc_id, min(r) AS class_id FROM reach GROUP BY d) USING (doc_id)"""
 
 
+#: The exact score of every document that shares a term with an item.
+OP11_SQL = f"""
+    WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_sql_words('text')} AS w FROM documents),
+    total AS (SELECT count(*)::BIGINT AS nd, sum(len(w))::BIGINT AS nt FROM doc WHERE len(w) > 0),
+    item AS (SELECT item_id, t, count(*) AS reps FROM (SELECT item_id, unnest({_sql_words('text')}) AS t FROM benchmark) GROUP BY ALL),
+    tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM doc) WHERE t IN (SELECT t FROM item) GROUP BY ALL),
+    weight AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+        FROM (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t), total),
+    m AS (SELECT r, doc_id, 25 + (75 * len(w)::BIGINT * nd) // nt AS m FROM doc, total WHERE len(w) > 0),
+    scored AS (SELECT item_id, r, doc_id, sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM item JOIN tf USING (t) JOIN weight USING (t) JOIN m USING (r) GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
 #: Every document, order and step told by the letters that the document fails.
 OP12_SQL = """
     WITH letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
@@ -186,4 +212,4 @@ OP12_SQL = """
 def llm_statements() -> dict[str, str]:
     """Statements of the queries that SQL can express; models, permutations and tokenizers are tested otherwise."""
     return {"op3_ngram_jaccard_join": OP3_SQL, "op8_benchmark_decontamination": OP8_SQL,
-            "op12_filter_interaction_audit": OP12_SQL}
+            "op11_ranked_lexical_search": OP11_SQL, "op12_filter_interaction_audit": OP12_SQL}
