@@ -30,7 +30,7 @@ def main() -> None:
     cycle_len = run.cycle.count()
     rows = {
         "reads": run.reads.count(), "overlaps": run.overlaps.count(),
-        "reduced": run.reduced.edges.count(), "collapsed": run.collapsed.edges.count(),
+        "reduced": run.reduced_rope.edges.count(), "collapsed": run.collapsed_rope.edges.count(),
         "cycle": cycle_len,
     }
     spark.stop()

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.sequence import reverse_complement
 from strandweave.operators.ranking import dense_order, running_total
-from strandweave.operators.string_graph import StringGraph
+from strandweave.operators.string_graph import StringGraph, as_rope
 from strandweave.session import cut_lineage
+from strandweave.sources.reads import FASTA_WIDTH
 
 
 def contig_walks(graph: StringGraph, cycle: DataFrame) -> DataFrame:
@@ -44,22 +45,25 @@ def contig_walks(graph: StringGraph, cycle: DataFrame) -> DataFrame:
 
 
 def contig_pieces(graph: StringGraph, cycle: DataFrame, reads: DataFrame) -> DataFrame:
-    """``(contig, piece, seq)``: piece 0 is the first read, piece k the label of the k-th edge.
+    """``(contig, piece, seq)``: piece 0 is the first read, the others the labels of its edges in order.
 
-    ``reads`` are the uncontained reads the vertices are numbered by.
+    A label that is a rope stays in its own pieces. ``reads`` are the uncontained reads the vertices are numbered by.
     """
+    graph = as_rope(graph)
     walks = cut_lineage(contig_walks(graph, cycle))
-    ends = walks.join(graph.edges.select("edge_id", "v1", "v2", "v1_outward", "v2_inward", "seq12", "seq21"), "edge_id")
     forward = F.col("forward")
-    labels = ends.select("contig", "piece", F.when(forward, F.col("seq12")).otherwise(F.col("seq21")).alias("seq"))
+    labels = walks.select("contig", "piece", "edge_id", F.when(forward, 0).otherwise(1).alias("part")).join(
+        graph.pieces, ["edge_id", "part"]).select("contig", "piece", "offset", "seq")
     # A walk that leaves its first read through the end reads it as it is, else reversed.
-    first = ends.where("piece = 1").select(
+    first = walks.where("piece = 1").join(graph.edges.select("edge_id", "v1", "v2", "v1_outward", "v2_inward"), "edge_id").select(
         "contig", F.when(forward, F.col("v1")).otherwise(F.col("v2")).alias("read_id"),
         F.when(forward, F.col("v1_outward")).otherwise(~F.col("v2_inward")).alias("as_is"))
     opening = first.join(reads, "read_id").select(
-        "contig", F.lit(0).cast("long").alias("piece"),
+        "contig", F.lit(0).cast("long").alias("piece"), F.lit(0).cast("long").alias("offset"),
         F.when(F.col("as_is"), F.col("seq")).otherwise(reverse_complement("seq")).alias("seq"))
-    return opening.unionByName(labels)
+    placed = dense_order(opening.unionByName(labels), ["contig", "piece", "offset"], "place")
+    base = placed.where("piece = 0").select("contig", F.col("place").alias("base"))
+    return placed.join(base, "contig").select("contig", (F.col("place") - F.col("base")).alias("piece"), "seq")
 
 
 def contig_lengths(pieces: DataFrame) -> DataFrame:
@@ -68,7 +72,26 @@ def contig_lengths(pieces: DataFrame) -> DataFrame:
 
 
 def contig_fasta(pieces: DataFrame) -> DataFrame:
-    """``(contig, piece, line)``: FASTA lines in order of contig and piece, a line per piece."""
+    """``(contig, piece, line)``: FASTA lines in order of contig and piece, wrapped like other output.
+
+    ``piece`` counts the lines of a contig from 0; its header has -1. Running totals place every piece in its
+    contig, pieces are cut where lines end, and a line is joined from its cuts: no task holds a contig.
+    """
+    sized = pieces.withColumn("n", F.length("seq").cast("long"))
+    ordered = dense_order(sized, ["contig", "piece"], "place")
+    placed = cut_lineage(running_total(ordered, "place", "n", "before"))
+    base = placed.groupBy("contig").agg(F.min("before").alias("base"))
+    begin = F.col("before") - F.col("base")
+    cuts = placed.join(base, "contig").where("n > 0").select(
+        "contig", "seq", begin.alias("begin"), (begin + F.col("n")).alias("end"),
+        F.explode(F.sequence(F.floor(begin / FASTA_WIDTH), F.floor((begin + F.col("n") - 1) / FASTA_WIDTH))).alias("row"))
+    low = F.greatest("begin", F.col("row") * FASTA_WIDTH)
+    size = F.least("end", (F.col("row") + 1) * FASTA_WIDTH) - low
+    parts = cuts.select("contig", "row", low.alias("low"), F.substring(
+        F.col("seq"), (low - F.col("begin") + 1).cast("int"), size.cast("int")).alias("text"))
+    # At most FASTA_WIDTH cuts make up a line.
+    lines = parts.groupBy("contig", "row").agg(F.array_sort(F.collect_list(F.struct("low", "text"))).alias("p")).select(
+        "contig", F.col("row").alias("piece"), F.array_join(F.col("p.text"), "").alias("line"))
     headers = pieces.where("piece = 0").select(
         "contig", F.lit(-1).cast("long").alias("piece"), F.concat(F.lit(">contig_"), (F.col("contig") + 1).cast("string")).alias("line"))
-    return headers.unionByName(pieces.select("contig", "piece", F.col("seq").alias("line")))
+    return headers.unionByName(lines)

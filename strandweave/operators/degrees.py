@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.operators.pointers import LOCAL_ROWS, in_one_task, join_by_key
 from strandweave.operators.string_graph import StringGraph
 from strandweave.session import cut_lineage
 
+# Links that one task holds at a time while it thins out its partition.
+FOREST_ROWS = 2_000_000
+
 
 def vertex_degrees(graph: StringGraph) -> DataFrame:
     """``(v, in_degree, out_degree)`` of every vertex, isolated ones included.
@@ -95,43 +103,77 @@ def mean_degree(graph: StringGraph) -> DataFrame:
     )
 
 
-def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame, local_rows: int | None = None) -> DataFrame:
     """``(v, component)``: weakly connected components named by their least vertex.
 
-    Alternates two local rewirings until nothing moves: every vertex links its larger
-    neighbours to its least neighbour, then its smaller ones. This takes a logarithmic number of
-    rounds even on long paths, and each round is a grouped minimum with map-side
-    combine and one join.
+    Every partition first keeps only a spanning forest of its own links. What is left goes to one task
+    if it is few, else two local rewirings alternate until nothing moves: every vertex links
+    its larger neighbours to its least neighbour, then its smaller ones. This takes a logarithmic number of
+    rounds even on long paths, each a grouped minimum with map-side combine and one join
+    in which crowded vertices are looked up by broadcast.
     """
-    links = cut_lineage(
-        edges.where(F.col("v1") != F.col("v2"))
-        .select(F.greatest("v1", "v2").alias("hi"), F.least("v1", "v2").alias("lo"))
-        .distinct()
-    )
-    state = None
-    while True:
-        links = cut_lineage(_small_star(_large_star(links)))
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+    local_rows = LOCAL_ROWS if local_rows is None else local_rows
+    ends = edges.where(F.col("v1") != F.col("v2")).select(
+        F.greatest("v1", "v2").cast("long").alias("hi"), F.least("v1", "v2").cast("long").alias("lo"))
+    links = cut_lineage(ends.mapInPandas(_forest_of_partition, "hi long, lo long").distinct())
+    total = links.count()
+    if total <= local_rows:
+        links = in_one_task(links, _forest, "hi long, lo long")
+    else:
+        state = None
+        while True:
+            links = cut_lineage(_small_star(_large_star(links, 2 * total), total))
+            total, mark = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+            if (total, mark) == state:
+                break
+            state = (total, mark)
     return vertices.select("v").join(
         links.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("lo")), "v", "left"
     ).select("v", F.coalesce("lo", "v").alias("component"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _forest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of every vertex to the least one that these links connect it with."""
+    hi, lo = rows["hi"].to_numpy(np.int64), rows["lo"].to_numpy(np.int64)
+    names, place = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    a, b = place[:len(hi)], place[len(hi):]
+    root = np.arange(len(names))
+    while len(a):
+        # The larger root of every link hooks to the smaller, then all hooks are followed to their end.
+        np.minimum.at(root, a, b)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        a, b = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        open_links = a != b
+        a, b = a[open_links], b[open_links]
+    led = np.flatnonzero(root != np.arange(len(names)))
+    return pd.DataFrame({"hi": names[led], "lo": names[root[led]]})
+
+
+def _forest_of_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One forest of a partition's links, batch after batch; at most a row per vertex is held."""
+    held = None
+    for batch in batches:
+        held = _forest(batch if held is None else pd.concat([held, batch], ignore_index=True))
+        if len(held) > FOREST_ROWS:
+            yield held
+            held = None
+    if held is not None:
+        yield held
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.select("hi", "lo").union(links.select(F.col("lo"), F.col("hi"))).toDF("u", "x")
-    least = both.groupBy("u").agg(F.min("x").alias("m")).select("u", F.least("m", "u").alias("m"))
+    least = both.groupBy("u").agg(F.min("x").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
     return (
-        both.where(F.col("x") > F.col("u")).join(least, "u")
+        join_by_key(both.where(F.col("x") > F.col("u")), least, "u", "n", total)
         .select(F.col("x").alias("hi"), F.col("m").alias("lo")).distinct()
     )
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = links.join(least, "hi").where(F.col("lo") != F.col("m")).select(
+def _small_star(links: DataFrame, total: int) -> DataFrame:
+    least = links.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+    moved = join_by_key(links, least, "hi", "n", total).where(F.col("lo") != F.col("m")).select(
         F.col("lo").alias("hi"), F.col("m").alias("lo")
     )
     return moved.union(least.select("hi", "m")).distinct()

@@ -12,13 +12,15 @@ finally pointer doubling numbers the steps.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.operators.degrees import components
+from strandweave.operators.pointers import LOCAL_ROWS, follow, in_one_task, join_by_key
 from strandweave.operators.ranking import dense_order, group_ranks
 from strandweave.operators.string_graph import StringGraph
-from strandweave.session import cut_lineage, stacked
+from strandweave.session import cut_lineage
 
 # A dart id packs the number of the edge among the used ones, the use and the end.
 USE_BITS = 22
@@ -97,43 +99,55 @@ def _circuits(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("use", _use(F.col("din"))).join(label, "use").drop("use")
 
 
-def _merge_round(pairs: DataFrame, salt: int) -> DataFrame | None:
+def _meetings(pairs: DataFrame) -> DataFrame:
+    """``(v, circuit, din, dout)``: one pair per vertex and circuit; map-side combine keeps a crowded vertex cheap."""
+    return cut_lineage(pairs.groupBy("v", "circuit").agg(F.min(F.struct("din", "dout")).alias("rep")).select(
+        "v", "circuit", "rep.din", "rep.dout"))
+
+
+def _merge_round(pairs: DataFrame, rep: DataFrame, salt: int) -> DataFrame | None:
     """Merge circuits that share vertices; None if every circuit already stands alone.
 
     Circuits get random priorities. Each hooks to the busiest vertex where it meets one of
     lesser priority. The hooks form a forest, so rotating the partners of all circuits
     hooked at a vertex, together with its least circuit, joins each tree into one circuit.
     """
-    # One pair per (vertex, circuit): partial aggregation keeps a crowded vertex cheap.
-    rep = cut_lineage(
-        pairs.groupBy("v", "circuit").agg(F.min(F.struct("din", "dout")).alias("rep"))
-        .withColumn("prio", F.xxhash64(F.col("circuit"), F.lit(salt)))
-    )
+    rep = rep.withColumn("prio", F.xxhash64(F.col("circuit"), F.lit(salt)))
+    total = rep.count()
     least = rep.groupBy("v").agg(
         F.min(F.struct("prio", "circuit")).alias("low"), F.count("*").alias("meeting")
     ).where(F.col("meeting") > 1)
     if least.isEmpty():
         return None
     hooks = cut_lineage(
-        rep.join(least, "v").where(F.struct("prio", "circuit") > F.col("low"))
+        join_by_key(rep, least, "v", "meeting", total).where(F.struct("prio", "circuit") > F.col("low"))
         .groupBy("circuit")
         .agg(F.min(F.struct((-F.col("meeting")).alias("fewer"), F.col("low.prio"),
                             F.col("low.circuit").alias("to"), "v")).alias("h"))
         .select("circuit", F.col("h.to").alias("to"), F.col("h.v").alias("v"))
     )
     members = hooks.select("v", "circuit").union(hooks.select("v", "to")).distinct()
-    seats = group_ranks(members.join(rep, ["v", "circuit"]).select(
-        "v", F.col("rep.din").alias("din"), F.col("rep.dout").alias("dout")
-    ), ["v"], "din", "seat")
+    seats = cut_lineage(group_ranks(members.join(rep, ["v", "circuit"]).select("v", "din", "dout"), ["v"], "din", "seat"))
     size = seats.groupBy("v").agg(F.count("*").alias("size"))
     next_out = seats.select("v", F.col("seat").alias("next_seat"), F.col("dout").alias("new_out"))
     turned = (
-        seats.join(size, "v")
+        join_by_key(seats, size, "v", "size", total)
         .withColumn("next_seat", (F.col("seat") + 1) % F.col("size"))
         .join(next_out, ["v", "next_seat"])
         .select("din", "new_out")
     )
-    roots = _roots(hooks.select("circuit", "to"))
+    # A hook leads on where its target has one too; the others are the roots.
+    ends = hooks.select(F.col("to").alias("circuit")).distinct().join(hooks.select("circuit"), "circuit", "left_anti")
+    none = F.lit(0).cast("long")
+    roots = follow(
+        hooks.select(F.col("circuit").alias("id"), F.col("to").alias("ptr"), none.alias("dist"), none.alias("weight"), F.lit(False).alias("done"))
+        .unionByName(ends.select(F.col("circuit").alias("id"), F.col("circuit").alias("ptr"), none.alias("dist"), none.alias("weight"),
+                                 F.lit(True).alias("done")))
+    ).select(F.col("id").alias("circuit"), F.col("ptr").alias("to"))
+    return _rotated(pairs, turned, roots)
+
+
+def _rotated(pairs: DataFrame, turned: DataFrame, roots: DataFrame) -> DataFrame:
     return cut_lineage(
         pairs.join(turned, "din", "left").join(roots, "circuit", "left")
         .select("v", "din", F.coalesce("new_out", "dout").alias("dout"),
@@ -141,27 +155,50 @@ def _merge_round(pairs: DataFrame, salt: int) -> DataFrame | None:
     )
 
 
-def _roots(hooks: DataFrame) -> DataFrame:
-    """``(circuit, to)`` with every hook followed to the root of its tree, by pointer jumping."""
-    while True:
-        above = hooks.select(F.col("circuit").alias("to"), F.col("to").alias("above"))
-        jumped = hooks.join(above, "to", "left").select(
-            "circuit", F.coalesce("above", "to").alias("to"), F.col("above").isNotNull().alias("moved"))
-        jumped = cut_lineage(jumped)
-        if jumped.where("moved").isEmpty():
-            return jumped.drop("moved")
-        hooks = jumped.drop("moved")
-
-
-def closed_walks(graph: StringGraph, used: DataFrame) -> DataFrame:
-    """``(v, din, dout, circuit)``: final partners, one circuit per component of used edges."""
+def _merge_meetings(rows: pd.DataFrame) -> pd.DataFrame:
+    """All merges at once: at every vertex in turn, one pair of each circuit not yet joined rotates."""
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    turned: list[tuple[int, int]] = []
+    for _, at in rows.sort_values(["v", "din"]).groupby("v", sort=True):
+        if len(at) < 2:
+            continue
+        apart: dict[int, tuple[int, int]] = {}
+        for circuit, din, dout in zip(at["circuit"], at["din"], at["dout"], strict=True):
+            apart.setdefault(top(circuit), (din, dout))
+        seats = list(apart.values())
+        least = min(apart)
+        for k, (din, _) in enumerate(seats if len(seats) > 1 else ()):
+            turned.append((din, seats[(k + 1) % len(seats)][1]))
+        for c in apart:
+            root[c] = least
+    named = [(c, top(c)) for c in rows["circuit"].unique()]
+    return pd.DataFrame([(0, *t) for t in turned] + [(1, *c) for c in named], columns=["row", "a", "b"])
+
+
+def closed_walks(graph: StringGraph, used: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """``(v, din, dout, circuit)``: final partners, one circuit per component of used edges.
+
+    Merge rounds shrink the meetings of circuits at vertices; once one task can hold them, it does the rest.
+    """
     if not balance_violations(graph).isEmpty():
         raise ValueError("inward and outward traversals differ at some vertex")
     pairs = cut_lineage(_match(cut_lineage(_darts(used))))
     pairs = cut_lineage(_circuits(pairs))
     salt = 0
     while True:
-        merged = _merge_round(pairs, salt)
+        rep = _meetings(pairs)
+        if rep.count() <= local_rows:
+            merges = cut_lineage(in_one_task(rep, _merge_meetings, "row int, a long, b long"))
+            return _rotated(pairs, merges.where("row = 0").selectExpr("a AS din", "b AS new_out"),
+                            merges.where("row = 1").selectExpr("a AS circuit", "b AS to"))
+        merged = _merge_round(pairs, rep, salt)
         if merged is None:
             return pairs
         pairs, salt = merged, salt + 1
@@ -187,22 +224,13 @@ def eulerian_cycle(graph: StringGraph) -> DataFrame:
     # The dart before d is the far end of d's partner. The walk is cut open at its start in both
     # directions, which turns each direction into a list.
     cuts = heads.select(F.explode(F.array("head", "head_mate")).alias("dart"), F.lit(True).alias("cut"))
-    state = cut_lineage(
-        mate.join(cuts, "dart", "left").select(
-            "circuit", "dart",
-            F.when(F.col("cut"), F.col("dart")).otherwise(_opposite(F.col("mate"))).alias("ptr"),
-            F.when(F.col("cut"), 0).otherwise(1).cast("long").alias("dist"),
-            F.coalesce("cut", F.lit(False)).alias("done"),
-        )
-    )
-    while not state.where(~F.col("done")).isEmpty():
-        jump = state.select(F.col("dart").alias("ptr"), F.col("ptr").alias("ptr2"),
-                            F.col("dist").alias("dist2"), F.col("done").alias("done2"))
-        moved = state.where(~F.col("done")).join(jump, "ptr").select(
-            "circuit", "dart", F.col("ptr2").alias("ptr"),
-            (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"),
-        )
-        state = cut_lineage(stacked(state.where(F.col("done")), moved))
+    none = F.lit(0).cast("long")
+    state = follow(mate.join(cuts, "dart", "left").select(
+        F.col("dart").alias("id"),
+        F.when(F.col("cut"), F.col("dart")).otherwise(_opposite(F.col("mate"))).alias("ptr"),
+        F.when(F.col("cut"), 0).otherwise(1).cast("long").alias("dist"), none.alias("weight"),
+        F.coalesce("cut", F.lit(False)).alias("done"),
+    )).join(mate.select(F.col("dart").alias("id"), "circuit"), "id").withColumnRenamed("id", "dart")
     steps = state.join(heads.select(F.col("head").alias("ptr")), "ptr", "left_semi").select(
         F.shiftright("circuit", USE_BITS).alias("circuit_no"),
         F.col("dist").alias("step"),

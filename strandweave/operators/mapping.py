@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.operators.collapse import path_positions
 from strandweave.operators.containment import f_inside, g_inside
 from strandweave.operators.string_graph import StringGraph, edge_len
 from strandweave.session import cut_lineage
@@ -85,32 +88,45 @@ def walk_starts(overhangs: DataFrame) -> DataFrame:
     )
 
 
-def walk_back(starts: DataFrame, edges: DataFrame, cap: int | None = None) -> DataFrame:
+def walk_back(starts: DataFrame, edges: DataFrame, cap: int | None = None, positions: DataFrame | None = None) -> DataFrame:
     """``(v, residual, edge_id, hits)``: edges a walk against the edges ends in.
 
     From a vertex, every incoming edge longer than the residual is a hit; a shorter one is walked
     and its length taken off. An edge reached along several paths counts once per path.
     Every walk is kept; only if a caller gives ``cap``, those with as many hits or more are left out.
 
-    Equal states of a walk are merged with their path count each round. Labels are never
-    empty, so residuals fall and the number of rounds is bounded by read length.
+    A round takes a walk over a whole unbranched path: from the end of an edge it knows, by the offsets
+    of ``path_positions``, whether it ends on that path and at which base. Only at a path's first vertex
+    does it go on, so rounds count branchings and not edges. Equal states of a walk are merged with
+    their path count each round. At last one join by (path, stretch of bases) finds the edge of every hit.
     """
-    into = edges.select(F.col("v2").alias("at"), F.col("v1").alias("from"), "edge_id",
-                        edge_len(edges).alias("len"))
+    if positions is None:
+        positions = cut_lineage(path_positions(edges, cut_rings=True))
+    lengths = edges.select("edge_id", "v1", "v2", edge_len(edges).cast("long").alias("len"))
+    placed = lengths.join(positions.where(F.col("head").isNotNull()).select("edge_id", "head", "offset"), "edge_id", "left").select(
+        "edge_id", "v1", "v2", "len", F.coalesce("head", "edge_id").alias("head"), F.coalesce("offset", F.lit(0)).alias("start"))
+    placed = cut_lineage(placed)
+    begins = placed.where(F.col("edge_id") == F.col("head")).select("head", F.col("v1").alias("from"))
+    into = placed.select(F.col("v2").alias("at"), "head", (F.col("start") + F.col("len")).alias("end"))
     front = starts.select("v", "residual", F.col("v").alias("at"),
-                          F.col("residual").alias("left"), F.lit(1).cast(PATHS).alias("paths"))
-    hits = None
+                          F.col("residual").cast("long").alias("left"), F.lit(1).cast(PATHS).alias("paths"))
+    rounds = []
     while True:
         step = cut_lineage(front.join(into, "at").select(
-            "v", "residual", "edge_id", "from", (F.col("left") - F.col("len")).alias("left"), "paths"
-        ))
-        found = step.where(F.col("left") < 0).select("v", "residual", "edge_id", "paths")
-        hits = found if hits is None else hits.unionByName(found)
-        walking = step.where(F.col("left") >= 0)
+            "v", "residual", "head", (F.col("end") - F.col("left")).alias("base"), "paths"))
+        rounds.append(step.where(F.col("base") > 0).select("v", "residual", "head", "base", "paths"))
+        walking = step.where(F.col("base") <= 0)
         if walking.isEmpty():
             break
-        front = walking.groupBy("v", "residual", F.col("from").alias("at"), "left").agg(
+        front = walking.join(begins, "head").groupBy("v", "residual", F.col("from").alias("at"), (-F.col("base")).alias("left")).agg(
             F.sum("paths").cast(PATHS).alias("paths"))
+    # Bases of a path are counted from 1, so an edge holds those from start + 1 to its end.
+    mean = placed.agg(F.avg("len")).first()[0] or 1.0
+    width = 1 << max(4, int(mean - 1).bit_length())
+    stretch = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("len") - 1) / width))
+    spans = placed.select("edge_id", "head", "start", "len", F.explode(stretch).alias("stretch"))
+    hits = reduce(DataFrame.unionByName, rounds).withColumn("stretch", F.floor((F.col("base") - 1) / width)).join(
+        spans, ["head", "stretch"]).where((F.col("base") > F.col("start")) & (F.col("base") <= F.col("start") + F.col("len")))
     per_edge = hits.groupBy("v", "residual", "edge_id").agg(F.sum("paths").cast(PATHS).alias("hits"))
     if cap is None:
         return per_edge
@@ -137,12 +153,12 @@ def map_contained(graph: StringGraph, overlaps: DataFrame, index_map: DataFrame)
     return map_placements(graph, containers(overlaps, index_map))
 
 
-def map_placements(graph: StringGraph, placements: DataFrame) -> StringGraph:
-    """``map_contained`` for placements from any source."""
+def map_placements(graph: StringGraph, placements: DataFrame, positions: DataFrame | None = None) -> StringGraph:
+    """``map_contained`` for placements from any source; ``positions`` as of ``walk_back``."""
     if graph.kind != "digraph":
         raise ValueError("contained reads map onto a directed graph")
     starts = cut_lineage(walk_starts(nearest_containers(placements)))
-    added = mapped_read_counts(starts, walk_back(starts, graph.edges))
+    added = mapped_read_counts(starts, walk_back(starts, graph.edges, positions=positions))
     columns = graph.edges.columns
     edges = (
         graph.edges.join(added, "edge_id", "left")

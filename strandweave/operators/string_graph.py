@@ -5,6 +5,10 @@ read. Every edge has a twin running the other way on the opposite strand; the pa
 shares an overlap and carries each other's id, so twins are found by id and stay
 right where parallel edges exist.
 
+A graph's labels are either text columns of its edges or *ropes*: a side table of pieces of bounded
+size, and lengths on the edges. Stages work on ropes, so no row ever holds the text of a
+path; ``with_text`` joins the pieces where text is what is asked for.
+
 The label of an edge is a slice of the read it leads to. Edges therefore start as a
 *skeleton* of ids, lengths and slice bounds. Text joins in only where it is needed, after the
 reduction has removed most edges.
@@ -33,17 +37,64 @@ SLICE = ("beg", "end", "flip")
 
 @dataclass(frozen=True)
 class StringGraph:
-    """``kind`` is "digraph" or "bidigraph"; ``vertices`` is ``(v, is_special)``."""
+    """``kind`` is "digraph" or "bidigraph"; ``vertices`` is ``(v, is_special)``.
+
+    With ``pieces``, ``(edge_id, part, offset, seq)``, edges carry ``len`` (``len12``, ``len21``) in place of text;
+    ``part`` is 1 for the second label of a bidirected edge.
+    """
 
     kind: str
     vertices: DataFrame
     edges: DataFrame
     orig_num_reads: int
+    pieces: DataFrame | None = None
 
     def with_edges(self, edges: DataFrame, vertices: DataFrame | None = None) -> StringGraph:
         return replace(self, edges=edges, vertices=self.vertices if vertices is None else vertices)
 
 
+# Bases of a label that one task joins at first, about.
+TEXT_CHUNK = 1 << 20
+
+
+def as_rope(graph: StringGraph) -> StringGraph:
+    """The graph with one piece per label."""
+    if graph.pieces is not None:
+        return graph
+    names = ["seq"] if graph.kind == "digraph" else ["seq12", "seq21"]
+    pieces = graph.edges.select("edge_id", F.posexplode(F.array(*names)).alias("part", "seq")).select(
+        "edge_id", "part", F.lit(0).cast("long").alias("offset"), "seq")
+    edges = graph.edges.select(*[
+        F.length(c).cast("long").alias(c.replace("seq", "len")) if c in names else F.col(c) for c in graph.edges.columns])
+    return replace(graph, edges=edges, pieces=pieces)
+
+
+def label_texts(pieces: DataFrame) -> DataFrame:
+    """``(edge_id, part, seq)``: whole labels, for readers that want them as one value each.
+
+    Pieces of a long label are first joined by many tasks, chunk by chunk.
+    """
+    def joined(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+        parts = F.array_sort(F.collect_list(F.struct(order, "seq")))
+        return rows.groupBy(*keys).agg(parts.alias("p")).select(*keys, F.array_join(F.col("p.seq"), "").alias("seq"))
+
+    chunks = joined(pieces.withColumn("chunk", F.floor(F.col("offset") / TEXT_CHUNK)), ["edge_id", "part", "chunk"], "offset")
+    return joined(chunks, ["edge_id", "part"], "chunk")
+
+
+def with_text(graph: StringGraph) -> StringGraph:
+    """The graph with its labels as text columns; a label without pieces is empty."""
+    if graph.pieces is None:
+        return graph
+    names = {"len": "seq"} if graph.kind == "digraph" else {"len12": "seq12", "len21": "seq21"}
+    texts = label_texts(graph.pieces)
+    wide = texts.groupBy("edge_id").agg(*[
+        F.max(F.when(F.col("part") == k, F.col("seq"))).alias(c) for k, c in enumerate(names.values())])
+    edges = graph.edges.join(wide, "edge_id", "left").select(*[
+        F.coalesce(names[c], F.lit("")).alias(names[c]) if c in names else F.col(c) for c in graph.edges.columns])
+    return replace(graph, edges=edges, pieces=None)
+
+
 def edge_len(edges: DataFrame) -> Column:
     return F.col("len") if "len" in edges.columns else F.length("seq")
 
@@ -167,9 +218,10 @@ def to_bidigraph(graph: StringGraph) -> StringGraph:
         .when(F.col("v1") == F.col("v2"), F.col("v1") % 2 == 1)
         .otherwise(F.col("edge_id") <= F.col("twin_id"))
     )
+    label = "seq" if graph.pieces is None else "len"
     first = graph.edges.where(leads).alias("a")
     twin = graph.edges.select(
-        F.col("edge_id").alias("twin_id"), F.col("seq").alias("t_seq"),
+        F.col("edge_id").alias("twin_id"), F.col(label).alias("t_label"),
         *[F.col(c).alias(f"t_{c}") for c in ATTRIBUTES[:4]],
     )
     alone = F.col("edge_id") == F.col("twin_id")
@@ -183,8 +235,8 @@ def to_bidigraph(graph: StringGraph) -> StringGraph:
         r2.alias("v2"),
         (F.col("v1") % 2 == 1).alias("v1_outward"),
         (F.col("v2") % 2 == 1).alias("v2_inward"),
-        F.col("seq").alias("seq12"),
-        F.col("t_seq").alias("seq21"),
+        F.col(label).alias(f"{label}12"),
+        F.col("t_label").alias(f"{label}21"),
         (both("mapped_read_count") / 2).alias("mapped_read_count"),
         F.floor(both("num_inner_vertices") / 2).cast("int").alias("num_inner_vertices"),
         (both("a_statistic") / 2).alias("a_statistic"),
@@ -194,7 +246,14 @@ def to_bidigraph(graph: StringGraph) -> StringGraph:
     vertices = graph.vertices.where(F.col("v") % 2 == 0).select(
         F.shiftright("v", 1).alias("v"), "is_special"
     )
-    return StringGraph("bidigraph", vertices, edges, graph.orig_num_reads)
+    pieces = None
+    if graph.pieces is not None:
+        sides = F.array(F.struct(F.col("edge_id").alias("directed"), F.lit(0).alias("part")),
+                        F.struct(F.col("twin_id").alias("directed"), F.lit(1).alias("part")))
+        owners = graph.edges.where(leads).select("edge_id", F.explode(sides).alias("s")).select("edge_id", "s.*")
+        pieces = graph.pieces.select(F.col("edge_id").alias("directed"), "offset", "seq").join(owners, "directed").select(
+            "edge_id", "part", "offset", "seq")
+    return StringGraph("bidigraph", vertices, edges, graph.orig_num_reads, pieces)
 
 
 def to_digraph(graph: StringGraph, keep_attributes: bool = False) -> StringGraph:
@@ -206,11 +265,12 @@ def to_digraph(graph: StringGraph, keep_attributes: bool = False) -> StringGraph
     v1, v2 = F.col("v1") * 2, F.col("v2") * 2
     out1, in2 = F.col("v1_outward").cast("int"), F.col("v2_inward").cast("int")
     even, odd = F.col("edge_id") * 2, F.col("edge_id") * 2 + 1
+    label = "seq" if graph.pieces is None else "len"
     pair = F.array(
         F.struct(even.alias("edge_id"), odd.alias("twin_id"), (v1 + out1).alias("v1"),
-                 (v2 + in2).alias("v2"), F.col("seq12").alias("seq")),
+                 (v2 + in2).alias("v2"), F.col(f"{label}12").alias(label)),
         F.struct(odd.alias("edge_id"), even.alias("twin_id"), (v2 + 1 - in2).alias("v1"),
-                 (v1 + 1 - out1).alias("v2"), F.col("seq21").alias("seq")),
+                 (v1 + 1 - out1).alias("v2"), F.col(f"{label}21").alias(label)),
     )
     edges = graph.edges.select(F.explode(pair).alias("e"), *(ATTRIBUTES if keep_attributes else ()))
     if keep_attributes:
@@ -222,11 +282,14 @@ def to_digraph(graph: StringGraph, keep_attributes: bool = False) -> StringGraph
     vertices = graph.vertices.select(
         F.explode(F.array(F.col("v") * 2, F.col("v") * 2 + 1)).alias("v"), "is_special"
     )
-    return StringGraph("digraph", vertices, edges, graph.orig_num_reads)
+    pieces = None if graph.pieces is None else graph.pieces.select(
+        (F.col("edge_id") * 2 + F.col("part")).alias("edge_id"), F.lit(0).alias("part"), "offset", "seq")
+    return StringGraph("digraph", vertices, edges, graph.orig_num_reads, pieces)
 
 
 def extract_edge_seqs(graph: StringGraph) -> DataFrame:
     """``(edge_id, part, seq)``: one label per directed edge, two per bidirected edge."""
+    graph = with_text(graph)
     if graph.kind == "digraph":
         return graph.edges.select("edge_id", F.lit(0).alias("part"), "seq")
     return graph.edges.select("edge_id", F.posexplode(F.array("seq12", "seq21")).alias("part", "seq"))
@@ -250,7 +313,10 @@ def renumber(graph: StringGraph) -> StringGraph:
         .select(F.col("ne").alias("edge_id"), F.col("nt").alias("twin_id"),
                 F.col("n1").alias("v1"), F.col("n2").alias("v2"), *rest)
     )
-    return graph.with_edges(edges, v.select(F.col("new_v").alias("v"), "is_special"))
+    done = graph.with_edges(edges, v.select(F.col("new_v").alias("v"), "is_special"))
+    if graph.pieces is None:
+        return done
+    return replace(done, pieces=graph.pieces.join(e, "edge_id").select(F.col("new_edge").alias("edge_id"), "part", "offset", "seq"))
 
 
 def digraph_violations(graph: StringGraph) -> DataFrame:

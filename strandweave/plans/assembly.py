@@ -113,24 +113,36 @@ class Assembly:
         began = time.monotonic()
         return self._stage("skeleton", string_graph.edge_skeleton(source), began)
 
-    def _labelled(self, skeleton: DataFrame) -> StringGraph:
-        edges = string_graph.attach_labels(skeleton, self.kept_reads).select(
-            "edge_id", "twin_id", "v1", "v2", "seq", *string_graph.default_attributes())
-        vertices = string_graph.read_vertices(self.kept_reads)
-        return StringGraph("digraph", vertices, edges, self.num_kept_reads)
-
-    @cached_property
+    @property
     def digraph(self) -> StringGraph:
         """The unreduced graph with labels; the assembly itself goes on from the skeleton."""
-        return self._labelled(self.skeleton)
+        return string_graph.with_text(self._graph(self.skeleton, self._labels(self.skeleton)))
+
+    def _labels(self, skeleton: DataFrame) -> DataFrame:
+        """One piece per edge, cut from its read."""
+        return string_graph.attach_labels(skeleton, self.kept_reads).select(
+            "edge_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("offset"), "seq")
+
+    def _graph(self, skeleton: DataFrame, pieces: DataFrame) -> StringGraph:
+        edges = skeleton.select("edge_id", "twin_id", "v1", "v2", F.col("len").cast("long").alias("len"),
+                                *string_graph.default_attributes())
+        return StringGraph("digraph", string_graph.read_vertices(self.kept_reads), edges, self.num_kept_reads, pieces)
 
     @cached_property
-    def reduced(self) -> StringGraph:
+    def reduced_rope(self) -> StringGraph:
+        """The reduced graph: edges with lengths, and the text of their labels as a table of its own."""
         skeleton = self.skeleton
         began = time.monotonic()
         gone = reduction.transitive_edges(skeleton, labels_follow_lengths=True)
-        kept = skeleton.join(gone, "edge_id", "left_anti")
-        return self._graph_stage("reduced", self._labelled(kept), began)
+        kept = self._stage("reduced", skeleton.join(gone, "edge_id", "left_anti"), began)
+        return self._graph(kept, self._stage("labels", self._labels(kept)))
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        """Where edges lie on the unbranched paths of the reduced graph; for the walks and the collapse."""
+        source = self.reduced_rope
+        began = time.monotonic()
+        return self._stage("positions", collapse.path_positions(source.edges), began)
 
     @cached_property
     def placements(self) -> DataFrame:
@@ -140,39 +152,59 @@ class Assembly:
         return self._stage("placements", single.unionByName(repeated))
 
     @cached_property
-    def mapped(self) -> StringGraph:
-        source, _ = self.reduced, self.placements
+    def mapped_rope(self) -> StringGraph:
+        source, positions, placements = self.reduced_rope, self.positions, self.placements
         began = time.monotonic()
-        graph = mapping.map_placements(source, self.placements)
+        # Walks need rings opened; without any, the positions of the collapse serve them too.
+        rings = not positions.where(F.col("head").isNull()).isEmpty()
+        graph = mapping.map_placements(source, placements, None if rings else positions)
         return self._graph_stage("mapped", graph, began)
 
     @cached_property
-    def collapsed(self) -> StringGraph:
-        source = self.mapped
+    def collapsed_rope(self) -> StringGraph:
+        source, positions = self.mapped_rope, self.positions
         began = time.monotonic()
-        return self._graph_stage("collapsed", collapse.collapse_unbranched(source), began, True)
+        return self._graph_stage("collapsed", collapse.collapse_unbranched(source, positions), began, True)
 
     @cached_property
-    def measured(self) -> StringGraph:
-        source = self.collapsed
+    def measured_rope(self) -> StringGraph:
+        source = self.collapsed_rope
         began = time.monotonic()
         return self._graph_stage("measured", copy_number.a_statistics(source), began)
 
     @cached_property
-    def circulated(self) -> StringGraph:
-        source = self.measured
+    def _circulation(self) -> tuple[StringGraph, DataFrame, DataFrame]:
+        source = self.measured_rope
         began = time.monotonic()
-        return self._graph_stage("circulated", circulation.min_cost_circulation(source), began, True)
+        graph, flows, hub = circulation.circulate(source)
+        return self._graph_stage("circulated", graph, began, True), flows, hub
+
+    @property
+    def circulated_rope(self) -> StringGraph:
+        return self._circulation[0]
+
+    @property
+    def flows(self) -> tuple[DataFrame, DataFrame]:
+        """Flow of every edge, and hub flow and price of every vertex; see ``solve_circulation``."""
+        return self._circulation[1:]
 
     @cached_property
-    def bidigraph(self) -> StringGraph:
-        source = self.circulated
+    def bidigraph_rope(self) -> StringGraph:
+        source = self.circulated_rope
         began = time.monotonic()
         return self._graph_stage("bidigraph", string_graph.to_bidigraph(source), began, True)
 
+    # The same graphs with their labels joined to text, for listings and files.
+    reduced = property(lambda self: string_graph.with_text(self.reduced_rope))
+    mapped = property(lambda self: string_graph.with_text(self.mapped_rope))
+    collapsed = property(lambda self: string_graph.with_text(self.collapsed_rope))
+    measured = property(lambda self: string_graph.with_text(self.measured_rope))
+    circulated = property(lambda self: string_graph.with_text(self.circulated_rope))
+    bidigraph = property(lambda self: string_graph.with_text(self.bidigraph_rope))
+
     @cached_property
     def cycle(self) -> DataFrame:
-        source = self.bidigraph
+        source = self.bidigraph_rope
         began = time.monotonic()
         return self._stage("cycle", euler.eulerian_cycle(source), began)
 
@@ -181,7 +213,7 @@ class Assembly:
         """Contig texts in pieces; see ``contigs.contig_pieces``."""
         source, _ = self.cycle, self.kept_reads
         began = time.monotonic()
-        return self._stage("contigs", contigs.contig_pieces(self.bidigraph, source, self.kept_reads), began)
+        return self._stage("contigs", contigs.contig_pieces(self.bidigraph_rope, source, self.kept_reads), began)
 
     def containment_summary(self) -> DataFrame:
         return containment.containment_summary(
