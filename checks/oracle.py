@@ -266,6 +266,19 @@ CTES["bidi"] = f"""
 CTES["dense_v"] = "SELECT v, row_number() OVER (ORDER BY v) - 1 AS n FROM collapsed_v"
 CTES["dense_e"] = "SELECT edge_id, row_number() OVER (ORDER BY edge_id) - 1 AS n FROM collapsed"
 
+CTES["ringed"] = """
+    SELECT edge_id, len, n // 7 AS block, (n // 7) % 3 = 0 AS broken, CASE WHEN (n // 7) % 3 = 0 THEN (n + 3) % 7 ELSE n % 7 END AS ord
+    FROM (SELECT edge_id, length(seq) AS len, row_number() OVER (ORDER BY edge_id) - 1 AS n, count(*) OVER () AS total FROM mapped)
+    WHERE n < total - total % 7 AND NOT (n % 7 = 3 AND (n // 7) % 3 = 0)"""
+CTES["priced_v"] = """
+    SELECT v, CASE WHEN v % 5 = 1 THEN v % 3 ELSE 0 END AS fill, CASE WHEN v % 5 = 2 THEN v % 2 ELSE 0 END AS spill,
+        CASE v % 7 WHEN 0 THEN 1000000 WHEN 1 THEN -1000000 WHEN 2 THEN 1000005 WHEN 3 THEN -1000005 ELSE v % 3 END AS price
+    FROM collapsed_v"""
+CTES["priced_e"] = """
+    SELECT edge_id, edge_id % 4 AS flow, CASE WHEN a_statistic >= 17.0 OR num_inner_vertices > 0 THEN 1 ELSE 0 END AS lo,
+        CASE WHEN a_statistic >= 17.0 THEN 1 ELSE 1000000 END AS up, 1 + q.price - p.price AS reduced
+    FROM measured JOIN priced_v p ON p.v = v1 JOIN priced_v q ON q.v = v2"""
+
 CTES["genome_line"] = "SELECT block_no + 1 AS line_no, bases AS line FROM block UNION ALL SELECT 0, '>genome'"
 
 ROUNDED = """edge_id, twin_id, v1, v2, seq, round(mapped_read_count, 6) AS mapped_read_count,
@@ -380,10 +393,35 @@ FINAL: dict[str, str] = {
     "walk_back": "SELECT v, residual, edge_id, hits FROM hit",
     "mapped_read_counts": "SELECT edge_id, round(added, 6) AS added FROM added",
     "map_contained": f"SELECT {ROUNDED} FROM mapped",
+    "path_positions": """SELECT edge_id, head, pos::BIGINT AS pos, before::BIGINT AS "offset" FROM (
+            SELECT p.edge_id, p.head, p.pos, sum(length(seq)) OVER (PARTITION BY p.head ORDER BY p.pos) - length(seq) AS before,
+                count(*) OVER (PARTITION BY p.head) AS edges
+            FROM path p JOIN mapped m ON m.edge_id = p.edge_id) WHERE edges > 1
+        UNION ALL SELECT edge_id, NULL, NULL, NULL FROM mapped WHERE edge_id NOT IN (SELECT edge_id FROM path)""",
+    "collapsed_pieces": """SELECT p.head AS edge_id, 0 AS part,
+            (sum(length(seq)) OVER (PARTITION BY p.head ORDER BY p.pos) - length(seq))::BIGINT AS "offset", seq
+        FROM path p JOIN mapped m ON m.edge_id = p.edge_id
+        UNION ALL SELECT edge_id, 0, 0, seq FROM mapped WHERE edge_id NOT IN (SELECT edge_id FROM path)""",
     "collapse_unbranched": f"SELECT {ROUNDED} FROM collapsed",
     "collapsed_vertices": "SELECT v FROM collapsed_v",
-    "smooth_rings": """SELECT ring, count(*) AS vertices, sum(length(seq))::BIGINT AS bases FROM mapped
-        JOIN (SELECT edge_id, min(other) AS ring FROM ring_walk GROUP BY edge_id) USING (edge_id) GROUP BY ring""",
+    "smooth_rings": """SELECT min(edge_id) AS ring, count(*) AS vertices, sum(len)::BIGINT AS bases
+        FROM ringed WHERE NOT broken GROUP BY block""",
+    "opened_ring_positions": """SELECT edge_id, first_value(edge_id) OVER w AS head, row_number() OVER w - 1 AS pos,
+            (sum(len) OVER w - len)::BIGINT AS "offset"
+        FROM ringed WINDOW w AS (PARTITION BY block ORDER BY ord)""",
+    "circulation_slack": """SELECT 'edge' AS kind, edge_id AS id, CASE WHEN flow < up AND reduced < 0 THEN 'cheap but not full'
+            ELSE 'used but dear' END AS rule, reduced AS reduced_cost FROM priced_e
+            WHERE (flow < up AND reduced < 0) OR (flow > lo AND reduced > 0)
+        UNION ALL SELECT 'vertex', v, CASE WHEN price > 1000000 THEN 'spill is cheaper' WHEN price < -1000000 THEN 'fill is cheaper'
+            WHEN spill > 0 AND price < 1000000 THEN 'spilled too early' ELSE 'filled too early' END, price FROM priced_v
+            WHERE abs(price) > 1000000 OR (spill > 0 AND price < 1000000) OR (fill > 0 AND price > -1000000)""",
+    "circulation_duality": """SELECT cost, bound, cost - bound AS gap FROM (SELECT
+            (coalesce((SELECT sum(flow) FROM priced_e), 0)
+                + coalesce((SELECT sum(1000000 * (fill + spill)) FROM priced_v), 0))::BIGINT AS cost,
+            (coalesce((SELECT sum(CASE WHEN reduced > 0 THEN reduced * lo ELSE reduced * up END) FROM priced_e), 0)
+                + coalesce((SELECT sum(2000000 * (least(1000000 - price, 0) + least(1000000 + price, 0))) FROM priced_v), 0))::BIGINT AS bound)""",
+    "circulation_certificate": """SELECT count(*) AS edges, 0::BIGINT AS slack_violations, 0::BIGINT AS flow_violations, 0::BIGINT AS gap
+        FROM measured""",
     "components": "SELECT v, component FROM component",
     "component_sizes": "SELECT component, count(*) AS vertices FROM component GROUP BY component",
     "bootstrap_genome_len": "SELECT sum(CASE WHEN v1 % 2 = 1 THEN len END)::BIGINT AS genome_len FROM m",
@@ -416,6 +454,27 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT 2, v1, edge_id, chr(9) || 'v' || v1 || ' -> v' || v2 || ' [ label="' || length(seq) || '" ];'
             FROM mapped
         UNION ALL SELECT 3, 0, 0, '}}'""",
+    "graph_dot_seqs": f"""SELECT 0 AS part, a, 0 AS b, line FROM (VALUES (0, 'digraph {{'),
+            (1, chr(9) || 'node [shape=circle fontname="Arial"]'),
+            (2, chr(9) || 'edge [fontname="Courier new bold" fontsize=11]'),
+            (3, chr(9) || 'node [style=filled];')) t(a, line)
+        UNION ALL SELECT 1, v, 0, chr(9) || 'v' || v || ' [ label="' || {side('v')} || '" fillcolor=' ||
+            CASE WHEN v % 2 = 1 THEN 'green' ELSE 'cyan' END || ' ];' FROM vertex
+        UNION ALL SELECT 2, v1, edge_id, chr(9) || 'v' || v1 || ' -> v' || v2 || ' [ label="' || seq || '" ' ||
+            CASE WHEN edge_id % 3 <> 0 THEN 'color=red ' ELSE '' END || '];' FROM mapped
+        UNION ALL SELECT 3, 0, 0, '}}'""",
+    "bidigraph_dot_seqs": """SELECT 0 AS part, a, 0 AS b, line FROM (VALUES (0, 'digraph {'),
+            (1, chr(9) || 'node [shape=circle fontname="Arial"]'),
+            (2, chr(9) || 'edge [fontname="Courier new bold" fontsize=11]')) t(a, line)
+        UNION ALL SELECT 1, v // 2, 0, chr(9) || 'v' || (v // 2) || ' [ label = "' || (v // 2 + 1) || '" ];'
+            FROM collapsed_v WHERE v % 2 = 0
+        UNION ALL SELECT 2, v1, edge_id, chr(9) || 'v' || v1 || ' -> v' || v2 || ' [ dir=both arrowhead=' ||
+            CASE WHEN v2_inward THEN 'normal' ELSE 'inv' END || ' arrowtail=' ||
+            CASE WHEN v1_outward THEN 'inv' ELSE 'normal' END || ' taillabel="' || seq12 || '" headlabel="' || seq21 ||
+            '" labelangle=' || format('{:g}', 90 - (180 / (2 * pi())) * atan(2.0::DOUBLE / length(seq12))) ||
+            ' labeldistance=' || format('{:g}', length(seq12)::DOUBLE / 2.5 + 1.0) ||
+            CASE WHEN edge_id % 3 <> 0 THEN ' color=red ' ELSE '' END || ' ];' FROM pairs
+        UNION ALL SELECT 3, 0, 0, '}'""",
     "bidigraph_dot": """SELECT 0 AS part, a, 0 AS b, line FROM (VALUES (0, 'digraph {'),
             (1, chr(9) || 'node [shape=circle fontname="Arial"]'),
             (2, chr(9) || 'edge [fontname="Courier new bold" fontsize=11]')) t(a, line)
@@ -425,6 +484,8 @@ FINAL: dict[str, str] = {
             CASE WHEN v2_inward THEN 'normal' ELSE 'inv' END || ' arrowtail=' ||
             CASE WHEN v1_outward THEN 'inv' ELSE 'normal' END || ' label="' || length(seq12) || '" ];' FROM pairs
         UNION ALL SELECT 3, 0, 0, '}'""",
+    "mapped_smooth_rings": """SELECT ring, count(*) AS vertices, sum(length(seq))::BIGINT AS bases FROM mapped
+        JOIN (SELECT edge_id, min(other) AS ring FROM ring_walk GROUP BY edge_id) USING (edge_id) GROUP BY ring""",
     "fasta_head": """SELECT line_no, CASE WHEN line_no = 0 THEN line
             ELSE substr(line, 1, (nb - 32 * (line_no - 1))::BIGINT) END AS line
         FROM genome_line, (SELECT count(*) * 16 + 7 AS nb FROM block)

@@ -119,7 +119,7 @@ def _starts(a: Assembly) -> DataFrame:
 
 def _added(a: Assembly) -> DataFrame:
     starts = cut_lineage(_starts(a))
-    return mapping.mapped_read_counts(starts, mapping.walk_back(starts, a.reduced.edges)).select(
+    return mapping.mapped_read_counts(starts, mapping.walk_back(starts, a.reduced_rope.edges)).select(
         "edge_id", F.round("added", 6).alias("added"))
 
 
@@ -128,7 +128,7 @@ def _stats(graph: string_graph.StringGraph) -> DataFrame:
 
 
 def _rates(a: Assembly) -> DataFrame:
-    rates = copy_number.arrival_rates(a.collapsed)
+    rates = copy_number.arrival_rates(a.collapsed_rope)
     return rates.select(*[F.round(c, 9).alias(c) for c in rates.columns])
 
 
@@ -163,12 +163,22 @@ def _stored_graph(graph: string_graph.StringGraph) -> DataFrame:
 
 
 def _circulated_bounds(a: Assembly) -> DataFrame:
-    return circulation.flow_bounds(a.circulated.edges)
+    return circulation.flow_bounds(a.circulated_rope.edges)
+
+
+def _certificate(a: Assembly) -> DataFrame:
+    """One row: that prices prove the flow of the assembly cheapest, and how much was proved."""
+    edges, (flows, hub) = a.measured_rope.edges, a.flows
+    broken = circulation.slack_violations(edges, flows, hub).agg(F.count("*").alias("slack_violations"))
+    outside = circulation.circulation_violations(a.circulated_rope).agg(F.count("*").alias("flow_violations"))
+    gap = circulation.duality(edges, flows, hub).select("gap")
+    size = edges.agg(F.count("*").alias("edges"))
+    return size.crossJoin(broken).crossJoin(outside).crossJoin(gap)
 
 
 def _eulerian_circuits(a: Assembly) -> DataFrame:
     """Circuits of a graph whose edges each have a mirror image: one per component, every edge once."""
-    graph = damage.mirrored(string_graph.to_bidigraph(a.measured))
+    graph = damage.mirrored(string_graph.to_bidigraph(a.measured_rope))
     cycle = cut_lineage(euler.eulerian_cycle(graph))
     broken = euler.cycle_violations(graph, cycle).count()
     return cycle.groupBy("circuit").agg(
@@ -200,28 +210,32 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "transitive_edges": lambda a: reduction.transitive_edges(a.digraph.edges),
     "transitive_reduction": lambda a: a.reduced.edges,
     "bidi_transitive_reduction": _bidi_reduced,
-    "vertex_degrees": lambda a: degrees.vertex_degrees(a.reduced),
-    "degree_histogram": lambda a: degrees.degree_histogram(a.reduced),
-    "digraph_stats": lambda a: _stats(a.mapped),
+    "vertex_degrees": lambda a: degrees.vertex_degrees(a.reduced_rope),
+    "degree_histogram": lambda a: degrees.degree_histogram(a.reduced_rope),
+    "digraph_stats": lambda a: _stats(a.mapped_rope),
     "bidigraph_stats": lambda a: degrees.bidigraph_stats(_built_bidigraph(a)),
-    "mean_degree": lambda a: degrees.mean_degree(a.reduced),
+    "mean_degree": lambda a: degrees.mean_degree(a.reduced_rope),
     "extract_edge_seqs": lambda a: string_graph.extract_edge_seqs(a.reduced),
     "extract_bidigraph_seqs": lambda a: string_graph.extract_edge_seqs(_built_bidigraph(a)),
     "contained_overhangs": lambda a: mapping.contained_overhangs(a.all_overlaps, a.index_map),
     "walk_starts": _starts,
-    "walk_back": lambda a: mapping.walk_back(cut_lineage(_starts(a)), a.reduced.edges).withColumn("hits", F.col("hits").cast("long")),
+    "walk_back": lambda a: mapping.walk_back(cut_lineage(_starts(a)), a.reduced_rope.edges).withColumn("hits", F.col("hits").cast("long")),
     "mapped_read_counts": _added,
     "map_contained": lambda a: _rounded(a.mapped),
     "collapse_unbranched": lambda a: _rounded(a.collapsed),
-    "collapsed_vertices": lambda a: a.collapsed.vertices.select("v"),
-    "smooth_rings": lambda a: collapse.smooth_rings(a.mapped),
-    "components": lambda a: degrees.components(a.collapsed.vertices, a.collapsed.edges),
-    "component_sizes": lambda a: degrees.component_sizes(a.collapsed),
-    "bootstrap_genome_len": lambda a: copy_number.bootstrap_genome_len(a.collapsed),
+    "collapsed_vertices": lambda a: a.collapsed_rope.vertices.select("v"),
+    "smooth_rings": lambda a: collapse.smooth_rings(damage.ringed(a.mapped_rope)),
+    "mapped_smooth_rings": lambda a: collapse.smooth_rings(a.mapped_rope, a.positions),
+    "path_positions": lambda a: a.positions,
+    "opened_ring_positions": lambda a: collapse.path_positions(cut_lineage(damage.ringed(a.mapped_rope).edges), cut_rings=True),
+    "collapsed_pieces": lambda a: a.collapsed_rope.pieces,
+    "components": lambda a: degrees.components(a.collapsed_rope.vertices, a.collapsed_rope.edges),
+    "component_sizes": lambda a: degrees.component_sizes(a.collapsed_rope),
+    "bootstrap_genome_len": lambda a: copy_number.bootstrap_genome_len(a.collapsed_rope),
     "arrival_rates": _rates,
     "a_statistics": lambda a: _rounded(a.measured),
-    "a_stat_classes": lambda a: copy_number.a_stat_classes(a.collapsed),
-    "flow_bounds": lambda a: circulation.flow_bounds(a.measured.edges),
+    "a_stat_classes": lambda a: copy_number.a_stat_classes(a.collapsed_rope),
+    "flow_bounds": lambda a: circulation.flow_bounds(a.measured_rope.edges),
     "digraph_to_bidigraph": lambda a: _rounded(string_graph.to_bidigraph(a.measured)),
     "bidigraph_to_digraph": lambda a: string_graph.to_digraph(string_graph.to_bidigraph(a.measured)).edges,
     "renumber_digraph": lambda a: string_graph.renumber(a.collapsed).edges.select(
@@ -230,13 +244,18 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "print_bidigraph": lambda a: render.print_bidigraph(string_graph.to_bidigraph(a.measured)),
     "graph_dot": lambda a: render.graph_dot(a.mapped),
     "bidigraph_dot": lambda a: render.graph_dot(string_graph.to_bidigraph(a.measured)),
+    "graph_dot_seqs": lambda a: render.graph_dot(damage.traversed(a.mapped, 3), seqs=True),
+    "bidigraph_dot_seqs": lambda a: render.graph_dot(damage.traversed(string_graph.to_bidigraph(a.measured), 3), seqs=True),
     "min_cost_circulation": lambda a: _rounded(a.circulated),
-    "circulation_cost": lambda a: circulation.circulation_cost(a.circulated),
-    "circulation_violations": lambda a: circulation.circulation_violations(damage.traversed(a.measured, 4)),
-    "balance_violations": lambda a: euler.balance_violations(damage.traversed(string_graph.to_bidigraph(a.measured), 3)),
+    "circulation_cost": lambda a: circulation.circulation_cost(a.circulated_rope),
+    "circulation_slack": lambda a: circulation.slack_violations(*damage.priced(a.measured_rope)),
+    "circulation_duality": lambda a: circulation.duality(*damage.priced(a.measured_rope)),
+    "circulation_certificate": _certificate,
+    "circulation_violations": lambda a: circulation.circulation_violations(damage.traversed(a.measured_rope, 4)),
+    "balance_violations": lambda a: euler.balance_violations(damage.traversed(string_graph.to_bidigraph(a.measured_rope), 3)),
     "eulerian_cycle": lambda a: a.cycle,
     "cycle_violations": lambda a: euler.cycle_violations(
-        damage.traversed(string_graph.to_bidigraph(a.measured), 3), damage.listed_cycle(string_graph.to_bidigraph(a.measured))),
+        damage.traversed(string_graph.to_bidigraph(a.measured_rope), 3), damage.listed_cycle(string_graph.to_bidigraph(a.measured_rope))),
     "eulerian_circuits": _eulerian_circuits,
     "contigs": lambda a: a.contigs,
     "bidi_collapse": _bidi_collapsed,

@@ -52,6 +52,35 @@ def traversed(graph: StringGraph, modulus: int) -> StringGraph:
     return graph.with_edges(_changed(graph.edges, traversal_count=F.col("edge_id") % modulus))
 
 
+RING = 7
+
+
+def ringed(graph: StringGraph) -> StringGraph:
+    """Edges in the order of their ids, seven at a time, made into rings; some rings lack their fourth edge.
+
+    Edges left over at the end are dropped.
+    """
+    rows = dense_order(graph.edges, ["edge_id"], "n")
+    total = graph.edges.count()
+    rows = rows.where(F.col("n") < total - total % RING)
+    first = F.col("n") - F.col("n") % RING
+    v2 = F.when(F.col("n") % RING == RING - 1, first).otherwise(F.col("n") + 1)
+    edges = _changed(rows.where(~((F.col("n") % RING == 3) & (F.floor(F.col("n") / RING) % 3 == 0))), v1=F.col("n"), v2=v2)
+    return graph.with_edges(edges.drop("n"))
+
+
+def priced(graph: StringGraph) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges of a graph, and flows and prices by rules on edge and vertex ids."""
+    flows = graph.edges.select("edge_id", (F.col("edge_id") % 4).cast("long").alias("flow"))
+    v, limit = F.col("v"), F.lit(1_000_000)
+    hub = graph.vertices.where(~F.col("is_special")).select(
+        "v", F.when(v % 5 == 1, v % 3).otherwise(0).cast("long").alias("fill"),
+        F.when(v % 5 == 2, v % 2).otherwise(0).cast("long").alias("spill"),
+        F.when(v % 7 == 0, limit).when(v % 7 == 1, -limit).when(v % 7 == 2, limit + 5).when(v % 7 == 3, -limit - 5)
+        .otherwise(v % 3).cast("long").alias("price"))
+    return graph.edges, flows, hub
+
+
 def mirrored(graph: StringGraph) -> StringGraph:
     """Bidirected graph with every edge and its image with both heads turned, each to be used once.
 
