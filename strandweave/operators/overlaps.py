@@ -14,7 +14,8 @@ text carried along with the join.
 
 Anchors shared by very many read starts (adapters, low complexity) would make the
 number of candidates quadratic although few of them match. They take another route:
-the whole window, not its anchor, becomes the join key, so every joined row is a result.
+a digest of the whole window, not its anchor, becomes the join key, so every joined row is a
+result, confirmed on the text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.anchors import window_anchors
+from strandweave.functions.digests import prefix_digests, span_digests, suffix_digests
 from strandweave.functions.sequence import (
     canonical_kmer,
     kmer_is_rc,
@@ -147,48 +149,53 @@ def _anchored(reads: DataFrame, starts: DataFrame, min_len: int, hot: DataFrame
 def _whole_window(reads: DataFrame, starts: DataFrame, hot: DataFrame, min_len: int) -> DataFrame:
     """Overlaps at hot anchors, keyed by a digest of the entire common window.
 
-    Rows grow with read length, never with the number of reads that share an anchor,
-    and each joined row is an overlap.
+    Rows and work grow with read length, never with the number of reads that share an anchor:
+    every digest comes from prefix hashes of its read, and windows travel without
+    text. What joins is confirmed on the text, once per result.
     """
-    hot_starts = starts.join(hot, "anchor").select(
-        "anchor", "b", "b_flip", "b_seq", F.length("b_seq").alias("b_len")
-    )
-    hot_lens = hot_starts.select("anchor", "b_len").distinct()
-    windows = (
+    geometry = anchor_geometry(min_len)
+    hot_starts = cut_lineage(starts.join(hot, "anchor").select(
+        "anchor", "b", "b_flip", F.length("b_seq").alias("b_len"), F.posexplode(prefix_digests()("b_seq")).alias("n", "digest")
+    ).where(F.col("n") >= min_len - 1).withColumn("n", F.col("n") + 1))
+    windows = cut_lineage(
         _oriented(reads, min_len)
-        .select("read_id", "flip", "seq",
-                F.posexplode(window_anchors(*anchor_geometry(min_len), distinct=False)("seq"))
-                .alias("p", "m"))
-        .select(F.col("read_id").alias("a"), F.col("flip").alias("a_flip"),
-                F.col("seq").alias("a_seq"), "p", F.col("m.hash").alias("anchor"))
+        .select(F.col("read_id").alias("a"), F.col("flip").alias("a_flip"), F.length("seq").alias("a_len"),
+                F.posexplode(suffix_digests(*geometry)("seq")).alias("p", "m"))
+        .select("a", "a_flip", "a_len", "p", F.col("m.anchor").alias("anchor"), F.col("m.digest").alias("digest"))
         .join(hot, "anchor")
     )
-    a_len = F.length("a_seq")
-    rest = a_len - F.col("p")
-
-    suffixes = windows.where(F.col("p") > 0).select(
-        "a", "a_flip", "p", a_len.alias("a_len"), rest.alias("n"),
-        F.sha2(F.substring(F.col("a_seq"), F.col("p") + 1, rest), 256).alias("digest"))
-    prefixes = hot_starts.where(F.col("b_len") > min_len).select(
-        "b", "b_flip", "b_seq", "b_len",
-        F.explode(F.sequence(F.lit(min_len), F.col("b_len") - 1)).alias("n"),
-    ).select("b", "b_flip", "b_len", "n",
-             F.sha2(F.substring(F.col("b_seq"), F.lit(1), F.col("n")), 256).alias("digest"))
-    dovetails = suffixes.join(prefixes, ["n", "digest"])
-
-    inner = windows.where(~F.col("a_flip")).join(hot_lens, "anchor").where(
-        F.col("b_len") <= rest
-    ).select("a", "a_flip", "p", a_len.alias("a_len"), F.col("b_len").alias("n"),
-             F.sha2(F.substring(F.col("a_seq"), F.col("p") + 1, F.col("b_len")), 256).alias("digest"))
-    wholes = hot_starts.select("b", "b_flip", "b_len", F.col("b_len").alias("n"),
-                               F.sha2(F.col("b_seq"), 256).alias("digest"))
-    contained = inner.join(wholes, ["n", "digest"])
-
+    rest = F.col("a_len") - F.col("p")
     cols = ["a", "a_flip", "p", "a_len", "n", "b", "b_flip", "b_len"]
-    found = dovetails.select(*cols).unionByName(contained.select(*cols))
-    return found.where(
-        _each_once(F.col("p"), F.col("a_len") - F.col("p"), F.col("b_len"))
-    ).select(*_to_overlap(F.col("a_len"), F.col("p"), F.col("n"), F.col("b_len")))
+    suffixes = windows.where(F.col("p") > 0).select("a", "a_flip", "p", "a_len", rest.alias("n"), "digest")
+    dovetails = suffixes.join(hot_starts.where(F.col("n") < F.col("b_len")), ["n", "digest"]).select(*cols)
+
+    # Which lengths of contained reads each forward window has to be compared with; then one pass per read.
+    wholes = hot_starts.where(F.col("n") == F.col("b_len"))
+    hot_lens = wholes.select("anchor", F.col("b_len").alias("n")).distinct()
+    asked = windows.where(~F.col("a_flip")).join(hot_lens, "anchor").where(F.col("n") <= rest)
+    spans = asked.groupBy("a").agg(F.collect_list(F.struct("p", "n")).alias("s"))
+    inner = (
+        spans.join(reads.select(F.col("read_id").alias("a"), "seq"), "a")
+        .select("a", F.length("seq").alias("a_len"), "s", span_digests()("seq", F.col("s.p"), F.col("s.n")).alias("d"))
+        .select("a", "a_len", F.explode(F.arrays_zip("s", "d")).alias("x"))
+        .select("a", F.lit(False).alias("a_flip"), F.col("x.s.p").alias("p"), "a_len", F.col("x.s.n").alias("n"), F.col("x.d").alias("digest"))
+    )
+    contained = inner.join(wholes, ["n", "digest"]).select(*cols)
+    found = dovetails.unionByName(contained).where(
+        _each_once(F.col("p"), F.col("a_len") - F.col("p"), F.col("b_len")))
+    return _confirmed(found, reads).select(*_to_overlap(F.col("a_len"), F.col("p"), F.col("n"), F.col("b_len")))
+
+
+def _confirmed(found: DataFrame, reads: DataFrame) -> DataFrame:
+    """Windows whose letters are indeed the same."""
+    def side(name: str) -> DataFrame:
+        return reads.select(F.col("read_id").alias(name), F.col("seq").alias(f"{name}_seq"))
+
+    def oriented(name: str) -> Column:
+        return F.when(F.col(f"{name}_flip"), reverse_complement(f"{name}_seq")).otherwise(F.col(f"{name}_seq"))
+
+    same = F.substring(oriented("a"), F.col("p") + 1, F.col("n")) == F.substring(oriented("b"), F.lit(1), F.col("n"))
+    return found.join(side("a"), "a").join(side("b"), "b").where(same)
 
 
 def hot_anchors(starts: DataFrame, threshold: int) -> DataFrame:
