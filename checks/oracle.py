@@ -393,6 +393,13 @@ FINAL: dict[str, str] = {
     "walk_back": "SELECT v, residual, edge_id, hits FROM hit",
     "mapped_read_counts": "SELECT edge_id, round(added, 6) AS added FROM added",
     "map_contained": f"SELECT {ROUNDED} FROM mapped",
+    "recipe_stages": """SELECT 'reads' AS stage, (SELECT count(*) FROM reads) AS rows
+        UNION ALL SELECT 'index_map', (SELECT count(*) FROM reads) UNION ALL SELECT 'kept_reads', (SELECT count(*) FROM kept)
+        UNION ALL SELECT 'kept_overlaps', (SELECT count(*) FROM kept_overlap)
+        UNION ALL SELECT 'reduced', (SELECT count(*) FROM reduced) UNION ALL SELECT 'mapped', (SELECT count(*) FROM mapped)
+        UNION ALL SELECT 'collapsed', (SELECT count(*) FROM collapsed) UNION ALL SELECT 'measured', (SELECT count(*) FROM measured)
+        UNION ALL SELECT 'circulated', (SELECT count(*) FROM measured) + 4 * (SELECT count(*) FROM collapsed_v)
+        UNION ALL SELECT 'bidigraph', (SELECT count(*) FROM pairs) + 2 * (SELECT count(*) FROM collapsed_v)""",
     "path_positions": """SELECT edge_id, head, pos::BIGINT AS pos, before::BIGINT AS "offset" FROM (
             SELECT p.edge_id, p.head, p.pos, sum(length(seq)) OVER (PARTITION BY p.head ORDER BY p.pos) - length(seq) AS before,
                 count(*) OVER (PARTITION BY p.head) AS edges
@@ -406,7 +413,7 @@ FINAL: dict[str, str] = {
     "collapsed_vertices": "SELECT v FROM collapsed_v",
     "smooth_rings": """SELECT min(edge_id) AS ring, count(*) AS vertices, sum(len)::BIGINT AS bases
         FROM ringed WHERE NOT broken GROUP BY block""",
-    "opened_ring_positions": """SELECT edge_id, first_value(edge_id) OVER w AS head, row_number() OVER w - 1 AS pos,
+    "cut_ring_positions": """SELECT edge_id, first_value(edge_id) OVER w AS head, row_number() OVER w - 1 AS pos,
             (sum(len) OVER w - len)::BIGINT AS "offset"
         FROM ringed WINDOW w AS (PARTITION BY block ORDER BY ord)""",
     "circulation_slack": """SELECT 'edge' AS kind, edge_id AS id, CASE WHEN flow < up AND reduced < 0 THEN 'cheap but not full'

@@ -25,7 +25,7 @@ from strandweave.operators import (
     string_graph,
 )
 from strandweave.operators.string_graph import StringGraph
-from strandweave.plans.assembly import assemble
+from strandweave.plans.assembly import assemble_files
 from strandweave.session import spread, write_stage
 from strandweave.sources import reads as read_io
 from strandweave.sources import storage
@@ -106,7 +106,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         edits = parse_bounded_int(args.max_edits, "--max-edits", 0)
         source = read_io.read_reads(spark, args.reads)
         if name == "assemble":
-            done = assemble(source, min_len)
+            if edits:
+                raise NotImplementedError("inexact overlaps are not supported")
+            done = assemble_files(spark, [args.reads], min_len)
             storage.write_graph(done.bidigraph, f"{args.output}/graph")
             storage.write_table(done.cycle, f"{args.output}/cycle", storage.CYCLE_SCHEMA)
             lines = contigs.contig_fasta(done.contigs).orderBy("contig", "piece")

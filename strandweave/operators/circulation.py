@@ -332,20 +332,20 @@ def over_two_hubs(hub: DataFrame) -> DataFrame:
 
 
 def min_cost_circulation(graph: StringGraph) -> StringGraph:
-    """Graph with the hubs and optimal traversal counts; see ``circulate``."""
-    return circulate(graph)[0]
+    """Graph with the hubs and optimal traversal counts; see ``with_flows``."""
+    if graph.kind != "digraph":
+        raise ValueError("the circulation is computed on a directed graph")
+    return with_flows(graph, *(cut_lineage(x) for x in solve_circulation(graph)))
 
 
-def circulate(graph: StringGraph) -> tuple[StringGraph, DataFrame, DataFrame]:
-    """Graph with hub vertices n and n + 1, special edges, and optimal traversal counts.
+def with_flows(graph: StringGraph, flows: DataFrame, solved: DataFrame) -> StringGraph:
+    """Graph with hub vertices n and n + 1, special edges, and the traversal counts of a solution.
 
     n is twice the number of reads the graph was built from. Every vertex has special
-    edges to and from both hub vertices; see ``over_two_hubs`` for how they share the hub flow. With
-    the graph come the flow of every edge, and hub flow and price of every vertex.
+    edges to and from both hub vertices; see ``over_two_hubs`` for how they share the hub flow.
     """
     if graph.kind != "digraph":
         raise ValueError("the circulation is computed on a directed graph")
-    flows, solved = (cut_lineage(x) for x in solve_circulation(graph))
     hub = over_two_hubs(solved)
     label = F.lit("").alias("seq") if graph.pieces is None else F.lit(0).cast("long").alias("len")
     n = graph.orig_num_reads * 2
@@ -376,8 +376,7 @@ def circulate(graph: StringGraph) -> tuple[StringGraph, DataFrame, DataFrame]:
     ).select(*hub_edges.columns)
     spark = graph.edges.sparkSession
     hubs = spark.range(n, n + 2).select(F.col("id").alias("v"), F.lit(True).alias("is_special"))
-    done = graph.with_edges(regular.unionByName(hub_edges), graph.vertices.unionByName(hubs))
-    return done, flows.select("edge_id", "flow"), solved
+    return graph.with_edges(regular.unionByName(hub_edges), graph.vertices.unionByName(hubs))
 
 
 def circulation_cost(graph: StringGraph) -> DataFrame:

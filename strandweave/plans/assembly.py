@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.operators import (
@@ -28,75 +29,80 @@ from strandweave.operators import (
     string_graph,
 )
 from strandweave.operators.string_graph import StringGraph
-from strandweave.session import spread, write_stage
+from strandweave.plans.recipe import Store, listing_key
+from strandweave.session import dropped_rounds, spread, write_stage
+from strandweave.sources.reads import read_reads
 
 log = logging.getLogger("strandweave")
 
 
+# Stages that do not depend on the overlap length.
+_OF_READS_ALONE = ("reads", "copies", "distinct_reads")
+
+
 class Assembly:
-    """All stages for one read set ``(read_id, seq)`` and minimum overlap length."""
+    """All stages for one read set ``(read_id, seq)`` and minimum overlap length.
+
+    With a ``store`` finished stages are found again by later applications; see ``recipe``.
+    """
 
-    def __init__(self, reads: DataFrame, min_len: int = 25):
+    def __init__(self, reads: DataFrame, min_len: int = 25, store: Store | None = None):
         self._source = reads
         self.min_len = min_len
+        self.store = store
         self.seconds: dict[str, float] = {}
 
-    def _stage(self, name: str, df: DataFrame, began: float | None = None) -> DataFrame:
-        began = time.monotonic() if began is None else began
-        table = write_stage(df, name)
+    def _stage(self, name: str, build: Callable[[], DataFrame], *inputs: str) -> DataFrame:
+        """A written stage; the stages it needs run first, each on its own clock."""
+        params = {} if name in _OF_READS_ALONE else {"min_len": self.min_len}
+        found = self.store.find(name, params) if self.store else None
+        if found is not None:
+            return found
+        for needed in inputs:
+            getattr(self, needed)
+        spark = self._source.sparkSession
+        began = time.monotonic()
+        with dropped_rounds(spark):
+            df = build()
+            table = self.store.keep(name, params, df) if self.store else write_stage(df, name)
         self.seconds[name] = round(time.monotonic() - began, 3)
         log.info("stage %s: %.1f s", name, self.seconds[name])
         return table
 
-    def _graph_stage(self, name: str, graph: StringGraph, began: float, new_vertices: bool = False) -> StringGraph:
-        edges = self._stage(name, graph.edges, began)
-        vertices = self._stage(f"{name}_vertices", graph.vertices) if new_vertices else None
-        return graph.with_edges(edges, vertices)
-
     @cached_property
     def reads(self) -> DataFrame:
-        return spread(self._stage("reads", self._source))
+        return spread(self._stage("reads", lambda: self._source))
 
     @cached_property
-    def _folded(self) -> tuple[DataFrame, DataFrame]:
-        source = self.reads
-        began = time.monotonic()
-        distinct, repeated = copies.fold_copies(source)
-        repeated = self._stage("copies", repeated, began)
-        return spread(self._stage("distinct_reads", distinct)), repeated
+    def copies(self) -> DataFrame:
+        return self._stage("copies", lambda: copies.fold_copies(self.reads)[1], "reads")
 
-    @property
+    @cached_property
     def distinct_reads(self) -> DataFrame:
-        return self._folded[0]
-
-    @property
-    def copies(self) -> DataFrame:
-        return self._folded[1]
+        return spread(self._stage("distinct_reads", lambda: copies.fold_copies(self.reads)[0], "reads"))
 
     @cached_property
     def overlaps(self) -> DataFrame:
         """Overlaps between distinct reads; all that the assembly needs."""
-        source = self.distinct_reads
-        began = time.monotonic()
-        return self._stage("overlaps", overlaps.compute_overlaps(source, self.min_len), began)
+        return self._stage("overlaps", lambda: overlaps.compute_overlaps(self.distinct_reads, self.min_len), "distinct_reads")
 
     @cached_property
     def all_overlaps(self) -> DataFrame:
         """The complete overlap relation, pairs of copies included."""
         if self.copies.isEmpty():
             return self.overlaps
-        source = self.reads
-        began = time.monotonic()
-        return self._stage("all_overlaps", overlaps.compute_overlaps(source, self.min_len), began)
+        return self._stage("all_overlaps", lambda: overlaps.compute_overlaps(self.reads, self.min_len), "reads")
 
     @cached_property
     def index_map(self) -> DataFrame:
-        contained = containment.contained_reads(self.overlaps).union(self.copies.select("read_id"))
-        return self._stage("index_map", containment.old_to_new_indices(self.reads, contained))
+        def build() -> DataFrame:
+            contained = containment.contained_reads(self.overlaps).union(self.copies.select("read_id"))
+            return containment.old_to_new_indices(self.reads, contained)
+        return self._stage("index_map", build, "copies", "overlaps")
 
     @cached_property
     def kept_reads(self) -> DataFrame:
-        return self._stage("kept_reads", containment.uncontained_reads(self.reads, self.index_map))
+        return self._stage("kept_reads", lambda: containment.uncontained_reads(self.reads, self.index_map), "index_map")
 
     @cached_property
     def num_kept_reads(self) -> int:
@@ -104,14 +110,11 @@ class Assembly:
 
     @cached_property
     def kept_overlaps(self) -> DataFrame:
-        return self._stage(
-            "kept_overlaps", containment.uncontained_overlaps(self.overlaps, self.index_map))
+        return self._stage("kept_overlaps", lambda: containment.uncontained_overlaps(self.overlaps, self.index_map), "index_map")
 
     @cached_property
     def skeleton(self) -> DataFrame:
-        source = self.kept_overlaps
-        began = time.monotonic()
-        return self._stage("skeleton", string_graph.edge_skeleton(source), began)
+        return self._stage("skeleton", lambda: string_graph.edge_skeleton(self.kept_overlaps), "kept_overlaps")
 
     @property
     def digraph(self) -> StringGraph:
@@ -131,68 +134,69 @@ class Assembly:
     @cached_property
     def reduced_rope(self) -> StringGraph:
         """The reduced graph: edges with lengths, and the text of their labels as a table of its own."""
-        skeleton = self.skeleton
-        began = time.monotonic()
-        gone = reduction.transitive_edges(skeleton, labels_follow_lengths=True)
-        kept = self._stage("reduced", skeleton.join(gone, "edge_id", "left_anti"), began)
-        return self._graph(kept, self._stage("labels", self._labels(kept)))
+        def build() -> DataFrame:
+            gone = reduction.transitive_edges(self.skeleton, labels_follow_lengths=True)
+            return self.skeleton.join(gone, "edge_id", "left_anti")
+        kept = self._stage("reduced", build, "skeleton")
+        return self._graph(kept, self._stage("labels", lambda: self._labels(kept), "kept_reads"))
 
     @cached_property
     def positions(self) -> DataFrame:
         """Where edges lie on the unbranched paths of the reduced graph; for the walks and the collapse."""
-        source = self.reduced_rope
-        began = time.monotonic()
-        return self._stage("positions", collapse.path_positions(source.edges), began)
+        return self._stage("positions", lambda: collapse.path_positions(self.reduced_rope.edges), "reduced_rope")
 
     @cached_property
     def placements(self) -> DataFrame:
         """Where contained reads lie in uncontained ones, copies included."""
-        single = mapping.containers(self.overlaps, self.index_map)
-        repeated = copies.copy_placements(self.copies, single, self.index_map)
-        return self._stage("placements", single.unionByName(repeated))
+        def build() -> DataFrame:
+            single = mapping.containers(self.overlaps, self.index_map)
+            return single.unionByName(copies.copy_placements(self.copies, single, self.index_map))
+        return self._stage("placements", build, "index_map")
 
     @cached_property
     def mapped_rope(self) -> StringGraph:
-        source, positions, placements = self.reduced_rope, self.positions, self.placements
-        began = time.monotonic()
-        # Walks need rings opened; without any, the positions of the collapse serve them too.
-        rings = not positions.where(F.col("head").isNull()).isEmpty()
-        graph = mapping.map_placements(source, placements, None if rings else positions)
-        return self._graph_stage("mapped", graph, began)
+        def build() -> DataFrame:
+            # Walks need rings opened; without any, the positions of the collapse serve them too.
+            rings = not self.positions.where(F.col("head").isNull()).isEmpty()
+            return mapping.map_placements(self.reduced_rope, self.placements, None if rings else self.positions).edges
+        edges = self._stage("mapped", build, "positions", "placements")
+        return self.reduced_rope.with_edges(edges)
 
     @cached_property
     def collapsed_rope(self) -> StringGraph:
-        source, positions = self.mapped_rope, self.positions
-        began = time.monotonic()
-        return self._graph_stage("collapsed", collapse.collapse_unbranched(source, positions), began, True)
+        source = self.mapped_rope
+        graph = collapse.collapse_unbranched(source, self.positions)
+        return graph.with_edges(self._stage("collapsed", lambda: graph.edges),
+                                self._stage("collapsed_vertices", lambda: graph.vertices))
 
     @cached_property
     def measured_rope(self) -> StringGraph:
-        source = self.collapsed_rope
-        began = time.monotonic()
-        return self._graph_stage("measured", copy_number.a_statistics(source), began)
+        edges = self._stage("measured", lambda: copy_number.a_statistics(self.collapsed_rope).edges, "collapsed_rope")
+        return self.collapsed_rope.with_edges(edges)
 
     @cached_property
-    def _circulation(self) -> tuple[StringGraph, DataFrame, DataFrame]:
-        source = self.measured_rope
-        began = time.monotonic()
-        graph, flows, hub = circulation.circulate(source)
-        return self._graph_stage("circulated", graph, began, True), flows, hub
-
-    @property
-    def circulated_rope(self) -> StringGraph:
-        return self._circulation[0]
-
-    @property
     def flows(self) -> tuple[DataFrame, DataFrame]:
         """Flow of every edge, and hub flow and price of every vertex; see ``solve_circulation``."""
-        return self._circulation[1:]
+        # Both tables come from one solution, so they are kept as one.
+        def build() -> DataFrame:
+            flows, hub = circulation.solve_circulation(self.measured_rope)
+            return flows.select("edge_id", "flow").unionByName(hub, allowMissingColumns=True)
+        solved = self._stage("solved", build, "measured_rope")
+        return (solved.where("edge_id IS NOT NULL").select("edge_id", "flow"),
+                solved.where("v IS NOT NULL").select("v", "fill", "spill", "price"))
+
+    @cached_property
+    def circulated_rope(self) -> StringGraph:
+        flows, hub = self.flows
+        graph = circulation.with_flows(self.measured_rope, flows, hub)
+        return graph.with_edges(self._stage("circulated", lambda: graph.edges),
+                                self._stage("circulated_vertices", lambda: graph.vertices))
 
     @cached_property
     def bidigraph_rope(self) -> StringGraph:
-        source = self.circulated_rope
-        began = time.monotonic()
-        return self._graph_stage("bidigraph", string_graph.to_bidigraph(source), began, True)
+        graph = string_graph.to_bidigraph(self.circulated_rope)
+        return graph.with_edges(self._stage("bidigraph", lambda: graph.edges),
+                                self._stage("bidigraph_vertices", lambda: graph.vertices))
 
     # The same graphs with their labels joined to text, for listings and files.
     reduced = property(lambda self: string_graph.with_text(self.reduced_rope))
@@ -204,24 +208,25 @@ class Assembly:
 
     @cached_property
     def cycle(self) -> DataFrame:
-        source = self.bidigraph_rope
-        began = time.monotonic()
-        return self._stage("cycle", euler.eulerian_cycle(source), began)
+        return self._stage("cycle", lambda: euler.eulerian_cycle(self.bidigraph_rope), "bidigraph_rope")
 
     @cached_property
     def contigs(self) -> DataFrame:
         """Contig texts in pieces; see ``contigs.contig_pieces``."""
-        source, _ = self.cycle, self.kept_reads
-        began = time.monotonic()
-        return self._stage("contigs", contigs.contig_pieces(self.bidigraph_rope, source, self.kept_reads), began)
+        return self._stage("contigs", lambda: contigs.contig_pieces(self.bidigraph_rope, self.cycle, self.kept_reads), "cycle", "kept_reads")
 
     def containment_summary(self) -> DataFrame:
         return containment.containment_summary(
             self.index_map, self.all_overlaps.select(F.lit(1)), self.kept_overlaps.select(F.lit(1)))
 
 
-def assemble(reads: DataFrame, min_len: int = 25) -> Assembly:
-    """Run every stage up to the cycle."""
-    run = Assembly(reads, min_len)
-    _ = run.cycle
+def assemble(reads: DataFrame, min_len: int = 25, store: Store | None = None) -> Assembly:
+    """Run every stage up to the contigs."""
+    run = Assembly(reads, min_len, store)
+    _ = run.contigs
     return run
+
+
+def assemble_files(spark: SparkSession, paths: Sequence[str], min_len: int = 25, root: str | None = None) -> Assembly:
+    """The whole recipe, read files to contigs; stages that an earlier run finished are read again."""
+    return assemble(read_reads(spark, list(paths)), min_len, Store(spark, listing_key(spark, paths), root))

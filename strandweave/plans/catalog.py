@@ -7,6 +7,7 @@ Queries of one session and data folder share the written stage tables of one
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ from strandweave.operators import (
     string_graph,
 )
 from strandweave.plans import damage
-from strandweave.plans.assembly import Assembly
+from strandweave.plans.assembly import Assembly, assemble_files
+from strandweave.plans.recipe import listing_key
 from strandweave.session import cut_lineage, stage_path
 from strandweave.sources import generators, reads, storage, tables
 
@@ -36,12 +38,27 @@ _runs: dict[tuple[str, str], Assembly] = {}
 
 
 def assembly_of(spark: SparkSession, sf_dir: str) -> Assembly:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The assembly of the reads derived from the tables as they are now; changed tables give another one."""
+    key = (spark.sparkContext.applicationId, listing_key(spark, [f"{sf_dir}/{t}.parquet" for t in tables.READ_TABLES]))
     if key not in _runs:
         _runs[key] = Assembly(tables.sampled_reads(spark, sf_dir), tables.MIN_OVERLAP_LEN)
     return _runs[key]
 
 
+def _recipe_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the stages of the whole recipe, from a read file on."""
+    path = f"{stage_path(spark, 'recipe')}.fasta"
+    reads.write_reads(assembly_of(spark, sf_dir).reads, path)
+    run = assemble_files(spark, [path], tables.MIN_OVERLAP_LEN, stage_path(spark, "recipe-store"))
+    stages = {
+        "reads": run.reads, "index_map": run.index_map, "kept_reads": run.kept_reads, "kept_overlaps": run.kept_overlaps,
+        "reduced": run.reduced_rope.edges, "mapped": run.mapped_rope.edges, "collapsed": run.collapsed_rope.edges,
+        "measured": run.measured_rope.edges, "circulated": run.circulated_rope.edges, "bidigraph": run.bidigraph_rope.edges,
+    }
+    counts = [t.agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), "rows") for name, t in stages.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def _rounded(graph: string_graph.StringGraph) -> DataFrame:
     return graph.edges.select(*[
         F.round(c, 6).alias(c) if c in ("mapped_read_count", "a_statistic") else F.col(c)
@@ -227,7 +244,7 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "smooth_rings": lambda a: collapse.smooth_rings(damage.ringed(a.mapped_rope)),
     "mapped_smooth_rings": lambda a: collapse.smooth_rings(a.mapped_rope, a.positions),
     "path_positions": lambda a: a.positions,
-    "opened_ring_positions": lambda a: collapse.path_positions(cut_lineage(damage.ringed(a.mapped_rope).edges), cut_rings=True),
+    "cut_ring_positions": lambda a: collapse.path_positions(cut_lineage(damage.ringed(a.mapped_rope).edges), cut_rings=True),
     "collapsed_pieces": lambda a: a.collapsed_rope.pieces,
     "components": lambda a: degrees.components(a.collapsed_rope.vertices, a.collapsed_rope.edges),
     "component_sizes": lambda a: degrees.component_sizes(a.collapsed_rope),
@@ -272,6 +289,7 @@ TABLE_QUERIES: dict[str, Query] = {
     "sequence_functions": _sequence_functions,
     "numeric_functions": _numeric_functions,
     "fasta_head": _fasta_head,
+    "recipe_stages": _recipe_stages,
 }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import logging
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,51 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, the same in every application."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return named or shared_dir(spark)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
+def write_small_file(spark: SparkSession, path: str, text: str) -> None:
+    system, place = _file_system(spark, path)
+    out = system.create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def dropped_rounds(spark: SparkSession) -> Iterator[None]:
+    """Delete the loop rounds written inside once they are left; what is read later must be written apart."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete_path(spark, path)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """Fresh path for one written table of this application below the shared folder."""
     app = spark.sparkContext.applicationId
@@ -69,7 +116,12 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Continue from a written copy of ``df``; for the rounds of a loop."""
-    return write_stage(df, "round")
+    spark = df.sparkSession
+    path = stage_path(spark, "round")
+    df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(table: DataFrame) -> DataFrame:

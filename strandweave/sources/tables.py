@@ -18,6 +18,7 @@ HEX_BASES = BASES * 4
 BLOCK_LEN = 32
 READ_LEN_MIN = 80
 READ_LEN_SPREAD = 41
+READ_TABLES = ("part", "events")
 MIN_OVERLAP_LEN = 40
 
 
