@@ -9,48 +9,74 @@ from strandweave.operators.string_graph import StringGraph, edge_len, to_digraph
 from strandweave.session import cut_lineage
 
 
+_ENDS = ("d", "out_low", "out_high", "in_low", "in_high")
+
+
 def _owned(e: DataFrame) -> DataFrame:
-    """``(p, leaves, other, len, edge_id)``: each edge listed at its endpoint of lesser degree.
+    """``(p, leaves, other, len, edge_id, out_low, out_high, in_low, in_high)``: each edge at its endpoint of lesser degree.
 
     Whatever the degrees, no vertex owns more than the order of sqrt(edges) of them. A loop is
-    listed both as leaving and as entering its vertex.
+    listed both as leaving and as entering its vertex. The last four are the shortest and longest edge that
+    leave and enter ``other``.
     """
-    degree = e.select(F.explode(F.array("v1", "v2")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
-    ranked = (
-        e.join(degree.select(F.col("v").alias("v1"), F.col("d").alias("d1")), "v1")
-        .join(degree.select(F.col("v").alias("v2"), F.col("d").alias("d2")), "v2")
-    )
-    at_tail = F.struct(F.col("v1").alias("p"), F.lit(True).alias("leaves"), F.col("v2").alias("other"))
-    at_head = F.struct(F.col("v2").alias("p"), F.lit(False).alias("leaves"), F.col("v1").alias("other"))
+    ends = e.select(F.explode(F.array(
+        F.struct(F.col("v1").alias("v"), F.col("len").alias("out"), F.lit(None).cast("long").alias("in")),
+        F.struct(F.col("v2").alias("v"), F.lit(None).cast("long").alias("out"), F.col("len").alias("in")),
+    )).alias("x")).select("x.*")
+    vertex = ends.groupBy("v").agg(
+        F.count("*").alias("d"), F.min("out").alias("out_low"), F.max("out").alias("out_high"),
+        F.min("in").alias("in_low"), F.max("in").alias("in_high"))
+    ranked = e
+    for k in (1, 2):
+        ranked = ranked.join(vertex.select(F.col("v").alias(f"v{k}"), F.struct(*_ENDS).alias(f"at{k}")), f"v{k}")
+    at_tail = F.struct(F.col("v1").alias("p"), F.lit(True).alias("leaves"), F.col("v2").alias("other"), F.col("at2").alias("x"))
+    at_head = F.struct(F.col("v2").alias("p"), F.lit(False).alias("leaves"), F.col("v1").alias("other"), F.col("at1").alias("x"))
     owner = (
         F.when(F.col("v1") == F.col("v2"), F.array(at_tail, at_head))
-        .when(F.struct("d1", "v1") < F.struct("d2", "v2"), F.array(at_tail))
+        .when(F.struct("at1.d", "v1") < F.struct("at2.d", "v2"), F.array(at_tail))
         .otherwise(F.array(at_head))
     )
-    return ranked.select("edge_id", "len", F.explode(owner).alias("o")).select("edge_id", "len", "o.*")
+    return ranked.select("edge_id", "len", F.explode(owner).alias("o")).select(
+        "edge_id", "len", "o.p", "o.leaves", "o.other", *[F.col(f"o.x.{c}").alias(c) for c in _ENDS[1:]])
 
 
-def _triangles(e: DataFrame) -> DataFrame:
-    """``(e1, e2, e3)``: edges v -> w, w -> x and v -> x whose lengths add up.
+def _corner_pairs(e: DataFrame) -> DataFrame:
+    """``(v1, v2, len, a, b, corner)``: two edges that meet where both are owned, and the third edge they call for.
 
-    Two edges meet at the corner that owns both; the third is looked up by its ends and
-    length. Joining at the corner of least degree keeps a vertex with a million edges on either
-    side from producing all pairs of them.
+    Joining at the corner of least degree keeps a vertex with a million edges on either side from
+    producing all pairs of them. A third edge can only be as long as some edge that leaves its tail
+    and some that enters its head, so pairs that no edge can complete go no further.
     """
     # Written once: both sides of the self-join then read the same narrow rows.
     owned = cut_lineage(_owned(e))
     one, two = owned.alias("a"), owned.alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     through = ~a("leaves") & b("leaves")
-    fork = a("leaves") & b("leaves") & (a("len") <= b("len")) & (a("edge_id") != b("edge_id"))
-    meet = ~a("leaves") & ~b("leaves") & (a("len") <= b("len")) & (a("edge_id") != b("edge_id"))
-    pairs = one.join(two, a("p") == b("p")).where(through | fork | meet).select(
+    fork = a("leaves") & b("leaves") & (a("len") < b("len"))
+    meet = ~a("leaves") & ~b("leaves") & (a("len") < b("len"))
+    size = F.when(through, a("len") + b("len")).otherwise(b("len") - a("len"))
+
+    def between(low: str, high: str, tail: bool):
+        # The third edge leaves a's other end, but b's where both edges enter the corner.
+        near, far = (a, b) if tail else (b, a)
+        return F.when(meet, size.between(far(low), far(high))).otherwise(size.between(near(low), near(high)))
+
+    return one.join(two, a("p") == b("p")).where(
+        (through | fork | meet) & between("out_low", "out_high", True) & between("in_low", "in_high", False)
+    ).select(
         F.when(meet, b("other")).otherwise(a("other")).alias("v1"),
         F.when(meet, a("other")).otherwise(b("other")).alias("v2"),
-        F.when(through, a("len") + b("len")).otherwise(b("len") - a("len")).alias("len"),
-        a("edge_id").alias("a"), b("edge_id").alias("b"),
+        size.alias("len"), a("edge_id").alias("a"), b("edge_id").alias("b"),
         F.when(through, 0).when(fork, 1).otherwise(2).alias("corner"),
     )
+
+
+def _triangles(e: DataFrame) -> DataFrame:
+    """``(e1, e2, e3)``: edges v -> w, w -> x and v -> x whose lengths add up.
+
+    The third edge of a corner pair is looked up by its ends and length.
+    """
+    pairs = _corner_pairs(e)
     third = e.select("v1", "v2", "len", F.col("edge_id").alias("c"))
     corner = F.col("corner")
     return pairs.join(third, ["v1", "v2", "len"]).select(
@@ -70,7 +96,7 @@ def transitive_edges(edges: DataFrame, labels_follow_lengths: bool = False) -> D
     same offset from v, and as v overlaps both w and x, the overlap of w and x covers
     all of w beyond v. The bases then agree because the overlap is exact.
     """
-    found = _triangles(edges.select("edge_id", "v1", "v2", edge_len(edges).alias("len")))
+    found = _triangles(edges.select("edge_id", "v1", "v2", edge_len(edges).cast("long").alias("len")))
     if not labels_follow_lengths:
         for name in ("e1", "e2", "e3"):
             text = edges.select(F.col("edge_id").alias(name), F.col("seq").alias(f"{name}_seq"))
