@@ -515,6 +515,10 @@ FINAL: dict[str, str] = {
         FROM pairs JOIN (SELECT r, min(w) AS part FROM read_reach GROUP BY r) ON r = v1 GROUP BY part""",
     "bidi_collapse": f"""SELECT {BIDI_ROUNDED.replace('edge_id, ', '', 1)} FROM collapsed_pairs""",
     "stored_overlaps": "SELECT f, f_beg, f_end, g, g_beg, g_end, rc, f_len, g_len FROM overlap",
+    "stored_graph_kinds": """SELECT 'digraph' AS kind, (SELECT count(*) FROM mapped) AS edges, (SELECT count(*) FROM vertex) AS vertices,
+            (SELECT count(*) FROM mapped) AS lines, (SELECT count(*) FROM kept) AS reads
+        UNION ALL SELECT 'bidigraph', (SELECT count(*) FROM pairs), (SELECT count(*) FROM collapsed_v) // 2,
+            2 * (SELECT count(*) FROM pairs), (SELECT count(*) FROM kept)""",
     "stored_digraph": f"SELECT {ROUNDED} FROM mapped",
     "stored_bidigraph": f"SELECT {BIDI_ROUNDED} FROM pairs",
     "circulated_flow_bounds": """SELECT edge_id,

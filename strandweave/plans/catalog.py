@@ -179,6 +179,21 @@ def _stored_graph(graph: string_graph.StringGraph) -> DataFrame:
     return _rounded(storage.read_graph(graph.edges.sparkSession, path, graph.kind))
 
 
+def _stored_kinds(a: Assembly) -> DataFrame:
+    """Graphs of both kinds, read back without saying which is where, and the lines that print them."""
+    rows = []
+    for graph in (a.mapped, string_graph.to_bidigraph(a.measured)):
+        path = stage_path(graph.edges.sparkSession, "stored")
+        storage.write_graph(graph, path)
+        found = storage.read_graph(graph.edges.sparkSession, path)
+        counts = [t.agg(F.count("*").alias(n)) for n, t in (
+            ("edges", found.edges), ("vertices", found.vertices), ("lines", render.print_graph(found)))]
+        report = reduce(DataFrame.crossJoin, counts)  # three tables of one row
+        rows.append(report.select(F.lit(found.kind).alias("kind"), "edges", "vertices", "lines",
+                                  F.lit(found.orig_num_reads).cast("long").alias("reads")))
+    return rows[0].unionByName(rows[1])
+
+
 def _circulated_bounds(a: Assembly) -> DataFrame:
     return circulation.flow_bounds(a.circulated_rope.edges)
 
@@ -280,6 +295,7 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "stored_digraph": lambda a: _stored_graph(a.mapped),
     "stored_bidigraph": lambda a: _stored_graph(string_graph.to_bidigraph(a.measured)),
     "circulated_flow_bounds": _circulated_bounds,
+    "stored_graph_kinds": _stored_kinds,
 }
 
 TABLE_QUERIES: dict[str, Query] = {
