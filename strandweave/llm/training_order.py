@@ -29,6 +29,7 @@ import base64
 import json
 import os
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import lru_cache
@@ -49,7 +50,7 @@ from strandweave.session import stage_path, write_stage
 ROUNDS = 6
 HEADER = 16
 PIECE = np.dtype([("doc_id", "<i8"), ("offset", "<i4"), ("length", "<i4")])
-LEVEL = 6  # of zstd, for token tables and shuffled sequences
+LEVEL, SHUFFLE_LEVEL = 6, 3  # of zstd: for token tables, whose pages gain by it, and for single sequences, which hardly do
 
 
 @dataclass
@@ -117,7 +118,7 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 def tokenised(docs: DataFrame, path: str, seq_len: int, end: int, id_type: np.dtype) -> DataFrame:
     """Written table of ``(task, place, start, doc_ids, ids)``: ``place`` numbers the task's sequences."""
-    tail = np.array([end], dtype=id_type)
+    code = id_type.char
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(path)
@@ -150,7 +151,9 @@ def tokenised(docs: DataFrame, path: str, seq_len: int, end: int, id_type: np.dt
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    held.append(np.concatenate([made.encode_to_numpy(text or "", disallowed_special=()).astype(id_type), tail]))
+                    ids = made.encode_ordinary(text or "")
+                    ids.append(end)
+                    held.append(np.frombuffer(array(code, ids), dtype=id_type))
                     docs_held.append(doc)
                 yield cut(False)
         yield cut(True)
@@ -165,7 +168,7 @@ def tokenised(docs: DataFrame, path: str, seq_len: int, end: int, id_type: np.dt
 def _placed(layout: Layout, bases: dict[int, int]):
     """Sequences with their shard and slot; token ids, and before them doc_ids as differences, travel compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=LEVEL)
+        packer = zstandard.ZstdCompressor(level=SHUFFLE_LEVEL)
         for batch in batches:
             base = np.array([bases[t] for t in batch.column(0).to_pylist()], dtype=np.int64)
             slot = permute(base + batch.column(1).to_numpy(), layout.sequences, layout.key)
@@ -271,7 +274,7 @@ def materialise(docs: DataFrame, path: str, *, seq_len: int = 2048, per_shard: i
     with store.open_output_stream(f"{folder}/layout.json") as f:
         f.write(json.dumps(asdict(layout)).encode())
     records = tokens.mapInArrow(_placed(layout, bases), "shard int, slot long, start int, docs int, packed binary")
-    dealt = records.repartition(max(1, layout.shards), "shard").sortWithinPartitions("slot")
+    dealt = records.repartitionById(max(1, layout.shards), F.col("shard")).sortWithinPartitions("slot")  # a shard is a range of slots and a task
     return write_stage(dealt.mapInArrow(_writer(layout, out), INDEX), "index"), out, layout
 
 
