@@ -3,10 +3,10 @@
 Terms of a text are its distinct lower-cased words and their first four and five bytes,
 hashed to ``DIMS`` indices. The score is the logistic of a bias, a weight per present term
 and a product of ``RANK`` factors for every pair of present terms, so a pair can count for
-more than the sum of its terms. Training is stochastic with per-coordinate steps; an
-``l1`` band keeps terms without evidence at zero, so long clean texts gather no
-score from many harmless words. Labels are fitted on a bounded sample, ``sample_rows`` per
-label.
+more than the sum of its terms. Training is stochastic with per-coordinate steps. Terms without
+evidence, alone or in pairs, stay at zero, so long clean texts gather no score from many harmless
+words: a first machine with factors for every supported term finds those that count with others, also where each of
+them is as common in clean texts. Labels are fitted on a bounded sample, ``sample_rows`` per label.
 
 Defined results: null and empty texts get the score of the bias. Without training rows
 every score is 0.5 or below (label 0). Repeated rows score alike.
@@ -73,19 +73,37 @@ def telling_terms(rows: list[np.ndarray], labels: np.ndarray, least: float = 3.0
     return np.abs(toxic / n1 - clean / n0) / spread >= least
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12, alpha: float = 0.3, l1: float = 0.3,
-          l2: float = 1e-3, rate: float = 0.03, factor_l2: float = 1e-3) -> ToxicityModel:
-    """Linear part by follow-the-regularised-leader, factors by adaptive gradient steps.
+def interacting_terms(rows: list[np.ndarray], labels: np.ndarray, telling: np.ndarray, *, support: int = 20,
+                      least: float = 6.0, epochs: int = 6) -> np.ndarray:
+    """Which terms count together with others, whether or not they tell anything alone.
 
-    Only terms with evidence take part (``telling_terms``). A term's factors start to move
-    once its weight has left zero, from small fixed values.
+    A first machine gives factors to every term of ``support`` rows or more, from small values and without decay. Factors of
+    terms without interactions wander about a common length; those at least ``least`` times the median stand out.
+    """
+    seen = np.bincount(np.concatenate(rows), minlength=DIMS) if rows else np.zeros(DIMS)
+    paired = telling | (seen >= support)
+    trial = _descend(rows, labels, telling, paired, epochs=epochs, factor_l2=0.0)
+    length = np.sqrt((trial.factors ** 2).sum(axis=1))
+    return paired & (length >= least * np.median(length[paired])) if paired.any() else paired
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12) -> ToxicityModel:
+    """Train on the terms with evidence, alone (``telling_terms``) or with others (``interacting_terms``).
+
+    All of these have a weight and factors; a term's factors move whatever its weight.
     """
     telling = telling_terms(rows, labels)
-    rows = [r[telling[r]] for r in rows]
+    chosen = telling | interacting_terms(rows, labels, telling)
+    return _descend(rows, labels, chosen, chosen, epochs=epochs)
+
+
+def _descend(rows: list[np.ndarray], labels: np.ndarray, weighted: np.ndarray, paired: np.ndarray, *, epochs: int, alpha: float = 0.3,
+             l1: float = 0.3, l2: float = 1e-3, rate: float = 0.03, factor_l2: float = 1e-3) -> ToxicityModel:
+    """Weights of ``weighted`` terms by follow-the-regularised-leader, factors of ``paired`` ones by adaptive gradient steps."""
+    terms = [(r[weighted[r]], r[paired[r]]) for r in rows]
     z, n = np.zeros(DIMS), np.zeros(DIMS)
-    start = np.random.default_rng(11).normal(0, 0.02, (DIMS, RANK))
-    factors, seen = np.zeros((DIMS, RANK)), np.full((DIMS, RANK), 1e-2)
-    started = np.zeros(DIMS, dtype=bool)
+    factors, seen = np.random.default_rng(11).normal(0, 0.02, (DIMS, RANK)), np.full((DIMS, RANK), 1e-2)
+    factors[~paired] = 0
     share = min(max(labels.mean() if len(labels) else 0.0, 1e-3), 0.999)
     bias, bias_seen = float(np.log(share / (1 - share))) if len(labels) else -1.0, 1.0
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
@@ -95,12 +113,9 @@ def train(rows: list[np.ndarray], labels: np.ndarray, *, epochs: int = 12, alpha
         return -np.sign(z[idx]) * np.maximum(np.abs(z[idx]) - l1, 0.0) / ((1.0 + np.sqrt(n[idx])) / alpha + l2)
 
     for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            idx = rows[i]
+        for i in order.permutation(len(terms)):
+            idx, live = terms[i]
             w = linear_at(idx)
-            live = idx[(w != 0) | started[idx]]
-            fresh = live[~started[live]]
-            factors[fresh], started[fresh] = start[fresh], True
             v = factors[live]
             total = v.sum(axis=0)
             score = bias + w.sum() + 0.5 * float((total * total - (v * v).sum(axis=0)).sum())

@@ -87,6 +87,33 @@ def test_pairs_of_terms_are_learned():
     assert both > 0 > max(one, two)
 
 
+@pytest.mark.parametrize("fillers", [5, 40])
+def test_pairs_of_terms_that_tell_nothing_alone(fillers):
+    """Either term is in half of the toxic and half of the clean rows: only their product tells."""
+    rng = np.random.default_rng(6)
+    both, labels = [[1, 2], [], [1], [2]], []
+    rows = []
+    for k in range(4000):
+        rows.append(np.unique(np.array([*both[k % 4], *(100 + rng.integers(0, 500, fillers))], dtype=np.int64)))
+        labels.append(float(k % 4 < 2))
+    labels = np.array(labels)
+    telling = toxicity.telling_terms(rows, labels)
+    assert not telling[1] and not telling[2]
+    model = toxicity.train(rows[:3200], labels[:3200])
+    held = rows[3200:]
+    found = toxicity.decision(model, np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])])) > 0
+    assert (found == labels[3200:]).mean() > 0.95
+
+
+def test_decision_is_the_sum_over_pairs():
+    rng = np.random.default_rng(7)
+    model = toxicity.ToxicityModel(0.3, rng.normal(0, 1, toxicity.DIMS) * (rng.random(toxicity.DIMS) < 0.5), rng.normal(0, 1, (toxicity.DIMS, toxicity.RANK)))
+    rows = [np.unique(rng.integers(0, toxicity.DIMS, k)) for k in (0, 1, 2, 17, 60)]
+    got = toxicity.decision(model, np.concatenate(rows).astype(np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    want = [model.bias + sum(model.linear[i] for i in r) + sum(float(model.factors[i] @ model.factors[j]) for x, i in enumerate(r) for j in r[:x]) for r in rows]
+    assert got == pytest.approx(want)
+
+
 def test_toxicity_of_odd_rows(odd, clashing, nothing, labels, docs):
     model = toxicity.fit(docs, labels)
     got = toxicity.score(odd, model).collect()
