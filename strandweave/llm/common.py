@@ -33,3 +33,10 @@ def bounded_sample(df: DataFrame, by: str, rows: int) -> DataFrame:
         return df.where("false")
     share = F.coalesce(*[F.when(F.col(by) == value, F.lit(part)) for value, part in shares])
     return thinned(df, share)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

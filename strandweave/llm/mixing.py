@@ -4,9 +4,10 @@ A naive Bayes classifier over hashed words, counted on a bounded sample of the l
 table, gives each document a posterior over domains. Nonnegative rates per document are
 then fitted by projected gradient least squares so that the expected
 tokens of each domain, rate times tokens times posterior summed over all documents, match the
-targets; the token total is kept. Documents with equal (rounded) posteriors have equal
-gradients, hence equal rates, so the gradient sums run over distinct posteriors; every
-document counts. A step sends the K domain residuals to the driver, nothing else.
+targets; the token total is kept. Documents whose posteriors agree to ``DIGITS`` significant digits form a cell with one
+rate, so a step reads a row per cell; the sums it fits are those of the unrounded posteriors of every
+document, however thinly a domain is spread. A step sends the K domain residuals to the driver, nothing else;
+``reached`` reports the shares before and after.
 
 Defined results: null and empty texts have no tokens, the prior as posterior and a rate like any
 other; they never change a total. A domain without any mass cannot be raised: least
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import bounded_sample
+from strandweave.llm.common import bounded_sample, unused_name
 from strandweave.session import write_stage
 
 BUCKETS = 1 << 14
@@ -71,7 +72,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 3000,
 
 
 def posteriors(docs: DataFrame, model: DomainModel, keys: dict[str, Column]) -> DataFrame:
-    """A row per document: ``keys``, ``_tokens`` and ``_posterior``, an array rounded to ``DIGITS`` decimals.
+    """A row per document: ``keys``, ``_tokens`` and ``_posterior``, an array.
 
     Words meet their weights in a broadcast join (``BUCKETS`` rows at most) and are summed per
     row before any shuffle. Evidence grows with the square root of the length, as words of one
@@ -91,17 +92,29 @@ def posteriors(docs: DataFrame, model: DomainModel, keys: dict[str, Column]) ->
     scored = scored.withColumn("_logs", F.array(*logs) if k else F.array().cast("array<double>"))
     scored = scored.withColumn("_odds", F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs"))))
     total = F.aggregate("_odds", F.lit(0.0), lambda acc, x: acc + x)
-    return scored.select(*keys, "_tokens", F.transform("_odds", lambda x: F.round(x / total, DIGITS)).alias("_posterior"))
+    return scored.select(*keys, "_tokens", F.transform("_odds", lambda x: x / total).alias("_posterior"))
+
+
+def cell_of(posterior: Column) -> Column:
+    """The posterior to ``DIGITS`` significant digits; only a grouping key and the direction of a step."""
+    def short(x: Column) -> Column:
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(x)))
+        return F.when(x > 1e-300, F.round(x / unit, DIGITS - 1) * unit).otherwise(F.lit(0.0))
+    return F.transform(posterior, short)
 
 
 def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
-    """Rate after the given gradient steps, each the K residuals as scaled for the step."""
+    """Rate of a posterior's cell after the given gradient steps, each the K residuals as scaled for the step."""
+    return _rate_in(cell_of(posterior), steps)
+
+
+def _rate_in(cell: Column, steps: list[list[float]]) -> Column:
     rate = F.lit(1.0)
     if not steps:
         return rate
     history = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
     return F.aggregate(history, rate, lambda r, h: F.greatest(
-        F.lit(0.0), r - sum((posterior[i] * h[i] for i in range(len(steps[0]))), F.lit(0.0))))
+        F.lit(0.0), r - sum((cell[i] * h[i] for i in range(len(steps[0]))), F.lit(0.0))))
 
 
 def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float], relative: bool = False,
@@ -119,25 +132,26 @@ def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float],
     k = len(model.domains)
     if k == 0:
         return []
-    cells = scored.groupBy("_posterior").agg(F.sum("_tokens").alias("_tokens")).where("_tokens > 0").cache()
-    p, t = F.col("_posterior"), F.col("_tokens")
+    cells = scored.groupBy(cell_of(F.col("_posterior")).alias("_cell")).agg(
+        F.sum("_tokens").alias("_tokens"), *[F.sum(F.col("_tokens") * F.col("_posterior")[i]).alias(f"_m{i}") for i in range(k)]).where("_tokens > 0").cache()
+    p, t, m = F.col("_cell"), F.col("_tokens"), [F.col(f"_m{i}") for i in range(k)]
     wanted = np.array([targets.get(d, 0.0) for d in model.domains], dtype=float)
     goal = np.zeros(k)
     corners = [(i, j) for i in range(k) for j in range(i, k)]
 
     def sums(steps: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
         """Tokens, residual of each domain's share, inverse Gram matrix of the rows in play."""
-        free = F.when(F.col("_r") > 0, t).otherwise(0.0)
-        row = cells.select(t, p, rate_of(p, steps).alias("_r")).agg(
-            F.sum(t).alias("total"), *[F.sum(t * p[i] * F.col("_r")).alias(f"r{i}") for i in range(k)],
-            *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in corners]).first()
+        free = F.when(F.col("_r") > 0, 1.0).otherwise(0.0)
+        row = cells.select(t, p, *m, _rate_in(p, steps).alias("_r")).agg(
+            F.sum(t).alias("total"), *[F.sum(m[i] * F.col("_r")).alias(f"r{i}") for i in range(k)],
+            *[F.sum(free * m[i] * m[j] / t).alias(f"g{i}_{j}") for i, j in corners]).first()
         total = row["total"] or 0.0
         if not total:
             return 0.0, goal, goal
         gram = np.zeros((k, k))
         for i, j in corners:
             gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] / total
-        return total, np.array([row[f"r{i}"] for i in range(k)]) / total - goal, np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
+        return total, np.array([row[f"r{i}"] for i in range(k)]) / total - goal, _inverse(gram)
 
     steps: list[list[float]] = []
     total, natural, weight = sums(steps)
@@ -146,7 +160,7 @@ def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float],
     residual = natural - goal
     every, certain = weight, False
     for _ in range(STEPS if total else 0):
-        if np.abs(residual).max() < tolerance:
+        if (np.abs(residual) <= np.where(goal > 0, np.minimum(tolerance, goal / 100), tolerance)).all():
             break
         steps.append([float(x) for x in (every if certain else weight) @ residual])
         size = residual @ every @ residual
@@ -162,6 +176,13 @@ def fit_rates(scored: DataFrame, model: DomainModel, targets: dict[str, float],
     return steps
 
 
+def _inverse(gram: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse at unit diagonal, so that a thinly spread domain is not taken for a dependent one."""
+    size = np.sqrt(np.diag(gram))
+    scale = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+    return np.outer(scale, scale) * np.linalg.pinv(gram * np.outer(scale, scale), rcond=1e-6, hermitian=True)
+
+
 def _copies(rate: Column, draw: Column) -> Column:
     whole = F.floor(rate)
     return (whole + (draw < rate - whole).cast("long")).cast("long")
@@ -187,15 +208,24 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: i
                         "rate", _copies(F.col("rate"), F.col("_draw")).alias("copies")), model, steps
 
 
+def reached(rated: DataFrame, model: DomainModel) -> DataFrame:
+    """``(domain, natural, share)``: token shares of the domains by themselves and at the fitted rates, of ``rates``' rows."""
+    each = rated.select("tokens", "rate", F.explode(F.arrays_zip(F.lit(model.domains).cast("array<string>").alias("domain"), F.col("posterior").alias("p"))).alias("x"))
+    sums = each.groupBy("x.domain").agg(F.sum(F.col("tokens") * F.col("x.p")).alias("before"), F.sum(F.col("tokens") * F.col("x.p") * F.col("rate")).alias("after"))
+    total = rated.agg(F.sum("tokens")).first()[0] or 0
+    return sums.select("domain", F.try_divide("before", F.lit(total)).alias("natural"), F.try_divide("after", F.lit(total)).alias("share"))
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], seed: int = 1, relative: bool = False) -> DataFrame:
     """Every row of ``docs`` as often as its rate says; columns unchanged."""
     rated, _, _ = rates(docs, labels, targets, seed, relative)
+    times = unused_name(docs, "_copies")
     # Rows of equal id and text have equal rates and draws.
     copies = rated.where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").alias("_copies")).distinct()
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("copies").alias(times)).distinct()
     found = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]) & (F.xxhash64(docs["text"]) == copies["_hash"]))
-    return found.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    count = unused_name(docs, "_copy")
+    return found.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies[times])).alias(count)).drop(count)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -149,6 +149,42 @@ def test_relative_targets_are_factors_on_the_natural_shares(docs, labels):
     assert rated.where(F.col("posterior")[good] > 0.95).agg(F.min("copies")).first()[0] >= 1
 
 
+def test_posteriors_against_a_plain_sum(spark):
+    rows = [(0, "good", "alpha beta beta"), (1, "good", "alpha gamma"), (2, "low", "delta delta beta"), (3, "toxic", "epsilon alpha")]
+    asked = ["alpha", "delta Beta unseen", "", None, "epsilon " * 50]
+    docs = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, text string")
+    model = mixing.fit_domains(docs, spark.createDataFrame([(i, d) for i, d, _ in rows], "doc_id long, domain string"))
+    size, prior = mixing.BUCKETS, {"good": 0.5, "low": 0.25, "toxic": 0.25}
+    words = {d: " ".join(x for _, e, x in rows if e == d).split() for d in prior}
+    ask = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in mixing.posteriors(ask, model, {"doc_id": F.col("doc_id")}).collect()}
+    for i, text in enumerate(asked):
+        tokens = (text or "").lower().split()
+        logs = np.array([np.log(prior[d]) + sum(np.log((words[d].count(w) + 0.5) / (len(words[d]) + 0.5 * size)) for w in tokens) / max(len(tokens), 1) ** 0.5 for d in sorted(prior)])
+        odds = np.exp(logs - logs.max())
+        assert got[i]["_tokens"] == len(tokens) and got[i]["_posterior"] == pytest.approx((odds / odds.sum()).tolist(), rel=1e-9)
+
+
+def test_thinly_spread_domain_reaches_its_target(spark):
+    """A domain with at most 4 parts in 10,000 of every document: rounding to decimals would lose it all."""
+    rng = np.random.default_rng(12)
+    thin = rng.uniform(1e-5, 4e-4, 800)
+    b = rng.uniform(0, 1, 800) * (1 - thin)
+    p, t = np.stack([1 - thin - b, b, thin], axis=1), rng.integers(1, 300, 800).astype(float)
+    natural = (p * t[:, None]).sum(axis=0) / t.sum()
+    goal = natural * [1, 1, 1.5]
+    goal /= goal.sum()
+    steps, rate = fitted(spark, p, t, goal)
+    assert (rate >= 0).all() and (p * (t * rate)[:, None]).sum(axis=0) / t.sum() == pytest.approx(goal, rel=0.05, abs=1e-6)
+
+
+def test_reached_shares(docs, labels):
+    rated, model, _ = mixing.rates(docs, mixing.label_domains(labels), TARGETS)
+    got = {r["domain"]: r for r in mixing.reached(rated, model).collect()}
+    assert {d: r["share"] for d, r in got.items()} == pytest.approx(TARGETS, abs=2e-3)
+    assert sum(r["natural"] for r in got.values()) == pytest.approx(1)
+
+
 def fitted(spark, p, t, goal):
     scored = spark.createDataFrame([(p[i].tolist(), float(t[i])) for i in range(len(t))], "_posterior array<double>, _tokens double")
     model = mixing.DomainModel(["a", "b", "c"], np.ones(3) / 3, None, [])
