@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import arrays
+from strandweave.llm.common import unused_name
 from strandweave.llm.components import connected_components
 from strandweave.session import write_stage
 
@@ -381,9 +382,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = signed.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_rows"))
     kept = keepers.withColumn("_once", F.lit(True)).unionByName(
         wordless.distinct().withColumn("_once", F.lit(False)))
+    flag = unused_name(docs, "_again")
     kept = kept.join(rows.where("_rows > 1"), (kept["doc_id"].eqNullSafe(rows["doc_id"])) & (kept["text_hash"] == rows["text_hash"]), "left").select(
-        kept["doc_id"].alias("_id"), kept["text_hash"].alias("_hash"), (F.col("_once") & (F.coalesce("_rows", F.lit(1)) > 1)).alias("_again"))
+        kept["doc_id"].alias("_id"), kept["text_hash"].alias("_hash"), (F.col("_once") & (F.coalesce("_rows", F.lit(1)) > 1)).alias(flag))
     found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_hash"]))
-    single = found.where("not _again").select(*[docs[c] for c in docs.columns])
-    again = found.where("_again").dropDuplicates(["_id", "_hash"]).select(*[docs[c] for c in docs.columns])
+    single = found.where(~kept[flag]).select(*[docs[c] for c in docs.columns])
+    mine, number = unused_name(docs, "_id_again"), unused_name(docs, "_hash_again")
+    again = found.where(kept[flag]).select(*[docs[c] for c in docs.columns], kept["_id"].alias(mine), kept["_hash"].alias(number)).dropDuplicates(
+        [mine, number]).drop(mine, number)
     return single.unionByName(again)

@@ -44,7 +44,8 @@ def clashing(odd):
 
     out = odd
     for name in ("row", "key", "score", "cid", "label", "sign", "text_hash", "_rows", "_id", "task", "first", "ids",
-                 "bucket", "_bucket", "_order", "_tokens", "_rate", "n_rows", "block", "words", "domain"):
+                 "bucket", "_bucket", "_order", "_tokens", "_rate", "n_rows", "block", "words", "domain",
+                 "_dropped", "_again", "_copy", "_copies", "_hash", "_id_again", "_cell"):
         out = out.withColumn(name, F.lit("x"))
     return out
 
