@@ -7,7 +7,8 @@ shingle of the window, is necessary; documents are joined on it. Candidates must
 or after the first word of the document (positional bound) and end within it (length bound),
 and are then verified shingle by shingle over the whole window.
 
-Windows are joined in blocks of at most ``BLOCK`` windows, so what a task holds is bounded;
+Windows are joined in blocks of at most ``BLOCK`` windows, and a block's findings are written before the next but
+one is fetched, so what a task or the driver holds is bounded;
 the blocks are a stated query set run against all documents.
 
 Defined results: null or empty texts have no words and are clean; items without words have no
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import arrays
+from strandweave.session import write_stage
 
 WINDOW = 10
 SHINGLE = 3
@@ -223,14 +226,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     empty = WindowBlock(*[np.zeros(0, dtype=np.uint64)] * 2, *[np.zeros(0, dtype=np.int64)] * 2,
                         np.zeros((0, 1), dtype=np.uint64), np.zeros(0, dtype=object))
-    blocks = list(window_blocks(docs, benchmark_windows(benchmark, window), block)) or [empty]
-    found = [rows.mapInArrow(_matcher(b), _HIT) for b in blocks]
-    if len(found) == 1:
-        whole = found[0].select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
-    else:  # a row per block and document; few parts of one row meet, whatever the data
-        union = found[0]
-        for more in found[1:]:
-            union = union.unionByName(more)
+    blocks = window_blocks(docs, benchmark_windows(benchmark, window), block)
+    first, second = next(blocks, empty), next(blocks, None)
+    found = rows.mapInArrow(_matcher(first), _HIT)
+    if second is None:
+        whole = found.select("doc_id", "n_words", F.array("spans").alias("spans"), F.array("items").alias("items"))
+    else:  # a block's findings are written before the next block is fetched; few parts of one row meet, whatever the data
+        union = write_stage(found, "found")
+        for more in chain([second], blocks):
+            union = union.unionByName(write_stage(rows.mapInArrow(_matcher(more), _HIT).where("size(spans) > 0"), "found"))
         whole = union.groupBy("row").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items")).drop("row")
@@ -240,15 +244,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """Rows of ``docs`` without any benchmark window; columns and other rows unchanged."""
     blocks = window_blocks(docs, benchmark_windows(benchmark, window), block)
-    text_at = docs.columns.index("text")
-    for found in blocks:
-        def run(batches: Iterator[pa.RecordBatch], own: WindowBlock = found) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, dtype=bool)
-                for texts in arrays.chunks(batch.column(text_at)):
-                    words, bounds = word_hashes(texts)
-                    start, _ = find_windows(words, bounds, own)
-                    clean[texts.first + np.searchsorted(bounds, start, side="right") - 1] = False
-                yield batch.filter(pa.array(clean))
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return docs.mapInArrow(_sieve(first, docs.columns.index("text"), True), docs.schema)
+    keys = docs.select("doc_id", "text")
+    hit = None  # ids and digests of the texts that a block is found in, written before the next block is fetched
+    for found in chain([first, second], blocks):
+        part = keys.mapInArrow(_sieve(found, 1, False), keys.schema).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash")).distinct()
+        part = write_stage(part, "hit")
+        hit = part if hit is None else hit.unionByName(part)
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_hash"]), "left_anti")
+
+
+def _sieve(block: WindowBlock, text_at: int, clean: bool):
+    """Rows without (``clean``) or with a window of the block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.full(batch.num_rows, clean)
+            for texts in arrays.chunks(batch.column(text_at)):
+                words, bounds = word_hashes(texts)
+                start, _ = find_windows(words, bounds, block)
+                keep[texts.first + np.searchsorted(bounds, start, side="right") - 1] = not clean
+            yield batch.filter(pa.array(keep))
+    return run

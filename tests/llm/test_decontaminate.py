@@ -68,3 +68,11 @@ def test_empty_tables(odd, nothing, items):
     assert {r["contaminated"] for r in dc.contamination(odd, items.limit(0)).collect()} == {False}
     assert dc.contamination(nothing, items).count() == 0
     assert dc.drop_contaminated(odd, items.limit(0)).count() == odd.count()
+
+
+def test_dropping_in_one_and_many_blocks(odd, clashing, items, documents):
+    for docs in (clashing, documents.where("doc_id < 200")):
+        one = sorted(map(str, dc.drop_contaminated(docs, items).collect()))
+        assert sorted(map(str, dc.drop_contaminated(docs, items, block=2).collect())) == one
+        clean = dc.contamination(docs, items, block=2).where("not contaminated").count()
+        assert len(one) == clean
