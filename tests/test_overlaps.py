@@ -8,6 +8,7 @@ import pytest
 from fixtures import rc, reads_df
 
 from strandweave.functions.anchors import batch_anchors
+from strandweave.operators import overlaps
 from strandweave.operators.overlaps import compute_overlaps, kmer_counts, overlap_violations
 
 
@@ -94,6 +95,28 @@ def test_matches_brute_force(spark, case):
     assert overlap_violations(reads, cold, min_len).isEmpty()
 
 
+@pytest.mark.parametrize("case", [case_tandem, case_copies], ids=lambda c: c.__name__)
+def test_overlaps_of_some_reads(spark, case):
+    seqs, min_len = case(random.Random(11))
+    some = set(range(0, len(seqs), 3))
+    touching = spark.createDataFrame([(i,) for i in some] * 2, "read_id long")
+    want = [o for o in brute(seqs, min_len) if o[0] in some or o[3] in some]
+    for threshold in (512, 2):
+        got = compute_overlaps(reads_df(spark, seqs), min_len, hot_threshold=threshold, touching=touching)
+        assert sorted(tuple(r)[:7] for r in got.collect()) == want
+
+
+def test_rows_of_one_strand_travel(spark):
+    """Windows of forward strands are all that is shuffled, and few per read; windows are merged without a sort."""
+    rng = random.Random(5)
+    reads = reads_df(spark, sample(rng, dna(rng, 3000), 200, 80, 120))
+    windows = overlaps._windows(reads, 40)
+    assert windows.where("a_flip").isEmpty()
+    assert windows.count() < 200 * 9
+    plan = compute_overlaps(reads, 40)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_lengths_around_the_minimum(spark):
     rng = random.Random(3)
     mid = dna(rng, 20)
