@@ -88,10 +88,12 @@ class Assembly:
 
     @cached_property
     def all_overlaps(self) -> DataFrame:
-        """The complete overlap relation, pairs of copies included."""
+        """The complete overlap relation, pairs of copies included: only those with a copy are searched for again."""
         if self.copies.isEmpty():
             return self.overlaps
-        return self._stage("all_overlaps", lambda: overlaps.compute_overlaps(self.reads, self.min_len), "reads")
+        of_copies = self._stage("copy_overlaps", lambda: overlaps.compute_overlaps(
+            self.reads, self.min_len, touching=self.copies), "copies", "overlaps")
+        return self.overlaps.unionByName(of_copies)
 
     @cached_property
     def index_map(self) -> DataFrame:
@@ -153,12 +155,16 @@ class Assembly:
             return single.unionByName(copies.copy_placements(self.copies, single, self.index_map))
         return self._stage("placements", build, "index_map")
 
+    @cached_property
+    def walk_positions(self) -> DataFrame | None:
+        """Positions for backward walks, which need rings opened; without any, those of the collapse serve them too."""
+        rings = not self.positions.where(F.col("head").isNull()).isEmpty()
+        return None if rings else self.positions
+
     @cached_property
     def mapped_rope(self) -> StringGraph:
         def build() -> DataFrame:
-            # Walks need rings opened; without any, the positions of the collapse serve them too.
-            rings = not self.positions.where(F.col("head").isNull()).isEmpty()
-            return mapping.map_placements(self.reduced_rope, self.placements, None if rings else self.positions).edges
+            return mapping.map_placements(self.reduced_rope, self.placements, self.walk_positions).edges
         edges = self._stage("mapped", build, "positions", "placements")
         return self.reduced_rope.with_edges(edges)
 

@@ -136,7 +136,7 @@ def _starts(a: Assembly) -> DataFrame:
 
 def _added(a: Assembly) -> DataFrame:
     starts = cut_lineage(_starts(a))
-    return mapping.mapped_read_counts(starts, mapping.walk_back(starts, a.reduced_rope.edges)).select(
+    return mapping.mapped_read_counts(starts, mapping.walk_back(starts, a.reduced_rope.edges, positions=a.walk_positions)).select(
         "edge_id", F.round("added", 6).alias("added"))
 
 
@@ -251,7 +251,7 @@ STAGE_QUERIES: dict[str, Callable[[Assembly], DataFrame]] = {
     "extract_bidigraph_seqs": lambda a: string_graph.extract_edge_seqs(_built_bidigraph(a)),
     "contained_overhangs": lambda a: mapping.contained_overhangs(a.all_overlaps, a.index_map),
     "walk_starts": _starts,
-    "walk_back": lambda a: mapping.walk_back(cut_lineage(_starts(a)), a.reduced_rope.edges).withColumn("hits", F.col("hits").cast("long")),
+    "walk_back": lambda a: mapping.walk_back(cut_lineage(_starts(a)), a.reduced_rope.edges, positions=a.walk_positions).withColumn("hits", F.col("hits").cast("long")),
     "mapped_read_counts": _added,
     "map_contained": lambda a: _rounded(a.mapped),
     "collapse_unbranched": lambda a: _rounded(a.collapsed),

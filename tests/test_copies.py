@@ -6,7 +6,7 @@ import pytest
 from fixtures import rc, reads_df
 from test_overlaps import dna, sample
 
-from strandweave.operators import containment, mapping
+from strandweave.operators import containment, mapping, overlaps
 from strandweave.plans.assembly import Assembly
 
 
@@ -35,3 +35,11 @@ def test_folded_equals_unfolded(spark, seed):
     want = mapping.contained_overhangs(full, plain)
     got = mapping.nearest_containers(run.placements)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_only_overlaps_of_copies_are_searched_again(spark):
+    run = Assembly(reads_df(spark, heavy_copies(3)), 15)
+    full = run.all_overlaps
+    again = overlaps.compute_overlaps(run.reads, 15)
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, again.select(*full.columns).collect()))
+    assert "copy_overlaps" in run.seconds and "all_overlaps" not in run.seconds
