@@ -37,3 +37,16 @@ def test_few_pairs_go_without_a_third_edge(spark):
     edges = run.skeleton.selectExpr("edge_id", "v1", "v2", "CAST(len AS LONG) AS len")
     pairs, triangles = reduction._corner_pairs(edges).count(), reduction._triangles(edges).count()
     assert 0 < triangles <= pairs <= 2 * triangles
+
+
+def test_edges_at_corners_are_shuffled_once(spark):
+    edges = spark.range(400).selectExpr("id edge_id", "id % 60 v1", "id % 60 + 1 + id div 60 % 2 v2", "1 + id div 60 % 2 len")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        gone = reduction.transitive_edges(edges, labels_follow_lengths=True)
+        assert gone.count() > 0
+        gone.collect()
+        assert "ReusedExchange" in gone._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
