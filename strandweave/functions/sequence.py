@@ -69,13 +69,14 @@ def kmers(seq: Column | str, k: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def canonical_kmer(kmer: Column | str) -> Column:
-    return F.least(_c(kmer), reverse_complement(kmer))
+def canonical_kmer(kmer: Column | str, rc: Column | str | None = None) -> Column:
+    """The lesser of a k-mer and its reverse complement, which ``rc`` may give where it is at hand."""
+    return F.least(_c(kmer), reverse_complement(kmer) if rc is None else _c(rc))
 
 
-def kmer_is_rc(kmer: Column | str) -> Column:
+def kmer_is_rc(kmer: Column | str, rc: Column | str | None = None) -> Column:
     """True where the canonical form is the reverse complement; palindromes count as such."""
-    return ~(_c(kmer) < reverse_complement(kmer))
+    return ~(_c(kmer) < (reverse_complement(kmer) if rc is None else _c(rc)))
 
 
 def kmer_hash(kmer: Column | str) -> Column:

@@ -85,17 +85,19 @@ def _convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sequence_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Slices from a quarter to three quarters of each read; codes and k-mers over all of it.
     beg, end = F.expr("length(seq) div 4").cast("int"), (F.expr("3 * length(seq) div 4").cast("int") - 1)
-    letters = F.split("seq", "(?<=.)(?=.)")
-    canonical = F.transform(fn.kmers("seq", 25), fn.canonical_kmer)
-    total = F.aggregate(F.transform(letters, fn.base_code), F.lit(0), lambda a, x: a + x)
-    return assembly_of(spark, sf_dir).reads.select(
-        "read_id", F.length("seq").alias("len"), fn.reverse_complement("seq").alias("rc"),
+    # Each made once a read. The reverse complements of k-mers are the k-mers of the other strand, from its end.
+    made = assembly_of(spark, sf_dir).reads.select(
+        "read_id", "seq", fn.reverse_complement("seq").alias("rc"), F.transform(F.split("seq", ""), fn.base_code).alias("codes")
+    ).select("*", fn.kmers("seq", 25).alias("words"), F.reverse(fn.kmers("rc", 25)).alias("rc_words"))
+    return made.select(
+        "read_id", F.length("seq").alias("len"), "rc",
         fn.slice_seq("seq", beg, end).alias("part"), fn.slice_seq("seq", beg, end, True).alias("rc_part"),
         fn.set_base("seq", end, F.lit("A")).alias("edited"),
-        total.alias("code_sum"),
-        F.array_join(F.transform(letters, lambda x: fn.base_letter(F.lit(3) - fn.base_code(x))), "").alias("complement"),
-        F.array_join(canonical, ",").alias("canonical"),
-        F.size(F.filter(fn.kmers("seq", 25), fn.kmer_is_rc)).alias("reversed_kmers"), fn.is_dna("seq").alias("valid"),
+        F.aggregate("codes", F.lit(0), lambda a, x: a + x).alias("code_sum"),
+        F.array_join(F.transform("codes", lambda x: fn.base_letter(F.lit(3) - x)), "").alias("complement"),
+        F.array_join(F.zip_with("words", "rc_words", fn.canonical_kmer), ",").alias("canonical"),
+        F.size(F.filter(F.zip_with("words", "rc_words", fn.kmer_is_rc), lambda x: x)).alias("reversed_kmers"),
+        fn.is_dna("seq").alias("valid"),
     )
 
 
