@@ -25,11 +25,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.functions import kmer_runs
 from strandweave.functions.anchors import window_anchors
 from strandweave.functions.digests import prefix_digests, span_digests, suffix_digests
 from strandweave.functions.packing import packed, same_bases
 from strandweave.functions.sequence import (
     canonical_kmer,
+    is_dna,
     kmer_is_rc,
     kmers,
     reverse_complement,
@@ -45,6 +47,8 @@ HOT_STARTS = 512
 MAX_BROADCAST_ANCHORS = 100_000
 # Anchors of the reads asked for that are sent to every executor, eight bytes each.
 MAX_SOUGHT_ANCHORS = 1_000_000
+# Runs of k-mers that may meet in one task for their key.
+CROWDED_RUNS = 100_000
 
 
 def kmer_occurrences(reads: DataFrame, k: int) -> DataFrame:
@@ -54,19 +58,40 @@ def kmer_occurrences(reads: DataFrame, k: int) -> DataFrame:
     )
 
 
-def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
+def _read_kmers(reads: DataFrame, k: int) -> DataFrame:
+    """``(seq, n)``: texts whose k-mers each occur ``n`` times in one more read.
+
+    A read itself, or, where several rows are one read or letters differ from ACGT, each k-mer of it once.
+    """
+    repeated = cut_lineage(reads.groupBy("read_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("read_id").alias("again")))
+    whole, loose = reads.where(is_dna("seq")), reads.where(~is_dna("seq"))
+    if not repeated.isEmpty():
+        same = F.col("read_id").eqNullSafe(F.col("again"))
+        whole, loose = whole.join(repeated, same, "left_anti"), loose.join(repeated, same, "left_anti").unionByName(
+            reads.join(repeated, same, "left_semi"))
+    counted = kmer_occurrences(loose, k).groupBy("kmer", "read_id").agg(F.count("*").alias("n"))
+    return whole.select("seq", F.lit(1).cast("long").alias("n")).unionByName(counted.select(F.col("kmer").alias("seq"), "n"))
+
+
+def kmer_counts(reads: DataFrame, k: int, crowded: int = CROWDED_RUNS) -> DataFrame:
     """``(kmer, occurrences, reads)`` per canonical k-mer.
 
-    Two-step distinct: rows are first reduced per (kmer, read), so a k-mer present in a
-    third of all reads is combined before the exchange on the k-mer alone.
+    K-mers travel in runs that share their least m-mer and are counted where all runs of one meet; see
+    ``functions.kmer_runs``. K-mers under an m-mer of more than ``crowded`` runs are counted in their batch of reads and dealt one by one.
     """
-    return (
-        kmer_occurrences(reads, k)
-        .groupBy("kmer", "read_id")
-        .agg(F.count("*").alias("n"))
-        .groupBy("kmer")
-        .agg(F.sum("n").alias("occurrences"), F.count("*").alias("reads"))
-    )
+    texts = _read_kmers(reads, k)
+    known, other = texts.where(is_dna("seq")), texts.where(~is_dna("seq"))
+    buckets = known.mapInArrow(kmer_runs.crowd(k), "bucket bigint, runs bigint").groupBy("bucket").agg(
+        F.sum("runs").alias("runs")).where(F.col("runs") > crowded)
+    buckets = [r["bucket"] for r in buckets.collect()]  # as many as have that many runs
+    hot = []
+    if buckets:
+        keys = known.mapInArrow(kmer_runs.crowded_keys(k, buckets), "key bigint, runs bigint").groupBy("key").agg(F.sum("runs").alias("runs"))
+        hot = [r["key"] for r in keys.where(F.col("runs") > crowded).select("key").collect()]
+    rows = known.mapInArrow(kmer_runs.runs(k, hot), kmer_runs.RUN_TYPE)
+    counted = rows.repartition("key").sortWithinPartitions("key").mapInArrow(kmer_runs.counts(k), kmer_runs.COUNT_TYPE)
+    rest = other.groupBy(F.col("seq").alias("kmer")).agg(F.sum("n").alias("occurrences"), F.count("*").alias("reads"))
+    return counted.unionByName(rest)
 
 
 def anchor_geometry(min_len: int) -> tuple[int, int]:
