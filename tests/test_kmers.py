@@ -84,3 +84,12 @@ def test_kmer_counts_shuffle_runs(spark):
     reads = spark.createDataFrame([(i, dna(rng, 100)) for i in range(50)], "read_id long, seq string")
     plan = overlaps.kmer_counts(reads, 40)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(key" in plan
+
+
+def test_seed_pairs_are_counted_from_runs(spark):
+    rng = random.Random(6)
+    genome = dna(rng, 300) + "C" * 60
+    rows = [(i, genome[p:p + 90]) for i, p in enumerate(rng.choices(range(270), k=80))] + [(3, genome[:90]), (None, rc(genome[5:99]))]
+    found = overlaps.seed_pair_counts(spark.createDataFrame(rows, "read_id long, seq string"), 40)
+    assert "hashpartitioning(key" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.kmer: r.pairs for r in found.collect()} == {kmer: n * (n - 1) // 2 for kmer, (n, _) in brute_counts(rows, 40).items()}
