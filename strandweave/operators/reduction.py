@@ -100,13 +100,25 @@ def transitive_edges(edges: DataFrame, labels_follow_lengths: bool = False) -> D
     same offset from v, and as v overlaps both w and x, the overlap of w and x covers
     all of w beyond v. The bases then agree because the overlap is exact.
     """
-    found = _triangles(edges.select("edge_id", "v1", "v2", edge_len(edges).cast("long").alias("len")))
-    if not labels_follow_lengths:
-        for name in ("e1", "e2", "e3"):
-            text = edges.select(F.col("edge_id").alias(name), F.col("seq").alias(f"{name}_seq"))
-            found = found.join(text, name)
-        found = found.where(F.concat("e1_seq", "e2_seq") == F.col("e3_seq"))
-    return found.select(F.col("e3").alias("edge_id")).distinct()
+    columns = ["edge_id", "v1", "v2", edge_len(edges).cast("long").alias("len")]
+    if labels_follow_lengths:
+        return _triangles(edges.select(*columns)).select(F.col("e3").alias("edge_id")).distinct()
+    # Written once, read by columns: the search for paths moves no text.
+    texts = cut_lineage(edges.select(*columns, "seq"))
+    found = cut_lineage(_triangles(texts.select("edge_id", "v1", "v2", "len")))
+    # One path is enough, so all others are compared only for edges that the first does not explain.
+    first = cut_lineage(found.groupBy("e3").agg(F.min(F.struct("e1", "e2")).alias("x")).select("x.e1", "x.e2", "e3"))
+    gone = cut_lineage(_spelled(first, texts))
+    if gone.count() < first.count():
+        gone = gone.unionByName(_spelled(found.join(gone, "e3", "left_anti"), texts))
+    return gone.select(F.col("e3").alias("edge_id"))
+
+
+def _spelled(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(e3)``: edges of which some triangle spells the label."""
+    for name in ("e1", "e2", "e3"):
+        found = found.join(texts.select(F.col("edge_id").alias(name), F.col("seq").alias(f"{name}_seq")), name)
+    return found.where(F.concat("e1_seq", "e2_seq") == F.col("e3_seq")).select("e3").distinct()
 
 
 def reduced_skeleton(skeleton: DataFrame) -> DataFrame:

@@ -171,7 +171,11 @@ def attach_labels(skeleton: DataFrame, reads: DataFrame) -> DataFrame:
 
 def build_digraph(reads: DataFrame, overlaps: DataFrame, num_reads: int | None = None) -> StringGraph:
     """Directed string graph of densely numbered uncontained reads."""
-    skeleton = edge_skeleton(with_lengths(overlaps, reads))
+    return labelled_digraph(edge_skeleton(with_lengths(overlaps, reads)), reads, num_reads)
+
+
+def labelled_digraph(skeleton: DataFrame, reads: DataFrame, num_reads: int | None = None) -> StringGraph:
+    """The graph of a skeleton, with text."""
     edges = attach_labels(skeleton, reads).select(
         "edge_id", "twin_id", "v1", "v2", "seq", *default_attributes()
     )

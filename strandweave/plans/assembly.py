@@ -139,7 +139,8 @@ class Assembly:
     @property
     def digraph(self) -> StringGraph:
         """The unreduced graph with labels; the assembly itself goes on from the skeleton."""
-        return string_graph.with_text(self._graph(self.skeleton, self._labels(self.skeleton)))
+        # A label here is one slice of one read: it needs no pieces.
+        return string_graph.labelled_digraph(self.skeleton, self.kept_reads, self.num_kept_reads)
 
     def _labels(self, skeleton: DataFrame) -> DataFrame:
         """One piece per edge, cut from its read."""
