@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_overlaps import dna
 
 from strandweave.operators import string_graph
-from strandweave.operators.reduction import transitive_edges
+from strandweave.operators.reduction import transitive_edges, transitive_reduction
 from strandweave.plans.assembly import Assembly
 from strandweave.session import write_stage
 
@@ -50,3 +50,15 @@ def test_any_path_that_spells_the_label_explains_an_edge(spark):
     assert sorted(r.edge_id for r in transitive_edges(edges).collect()) == [7, 30]
     alone = edges.where("edge_id < 6")
     assert transitive_edges(alone).collect() == []
+
+
+def test_bidigraph_reduction_writes_its_labels_once(spark):
+    rng = random.Random(12)
+    genome = dna(rng, 300)
+    run = Assembly(reads_df(spark, [genome[p:p + 60] for p in range(0, 240, 11)]), 20)
+    graph = string_graph.build_bidigraph(run.kept_reads, run.kept_overlaps)
+    plain = string_graph.build_digraph(run.kept_reads, run.kept_overlaps)
+    kept = transitive_reduction(graph).edges
+    assert "concat(" not in kept._jdf.queryExecution().optimizedPlan().toString()  # compared before, not once more a reader
+    want = {r.edge_id >> 1 for r in transitive_reduction(plain).edges.collect()}
+    assert {r.edge_id for r in kept.collect()} == want and len(want) < graph.edges.count()
