@@ -37,3 +37,13 @@ def test_walk_back_needs_no_search_for_all_overlaps(spark, monkeypatch):
     assert rounded(got.collect()) == rounded(want.collect()) and got.count() > 40
     starts = catalog.STAGE_QUERIES["walk_starts"](again)
     assert rounded(starts.collect()) == rounded(want_starts.collect())
+
+
+def test_mapped_read_counts_need_no_search_for_all_overlaps(spark, monkeypatch):
+    reads = reads_df(spark, crowded_reads(32)).localCheckpoint()
+    run = Assembly(reads, 25)
+    starts = mapping.walk_starts(mapping.contained_overhangs(run.all_overlaps, run.index_map))
+    want = mapping.mapped_read_counts(starts, mapping.walk_back(starts, run.reduced_rope.edges))
+    monkeypatch.setattr(Assembly, "all_overlaps", property(no_search))
+    got = catalog.STAGE_QUERIES["mapped_read_counts"](Assembly(reads, 25))
+    assert rounded(got.collect()) == rounded(want.collect()) and got.count() > 20
