@@ -5,7 +5,7 @@ import random
 from fixtures import rc, reads_df
 from test_overlaps import dna
 
-from strandweave.operators import mapping
+from strandweave.operators import mapping, string_graph
 from strandweave.plans import catalog
 from strandweave.plans.assembly import Assembly
 
@@ -47,3 +47,14 @@ def test_mapped_read_counts_need_no_search_for_all_overlaps(spark, monkeypatch):
     monkeypatch.setattr(Assembly, "all_overlaps", property(no_search))
     got = catalog.STAGE_QUERIES["mapped_read_counts"](Assembly(reads, 25))
     assert rounded(got.collect()) == rounded(want.collect()) and got.count() > 20
+
+
+def test_repeated_ids_keep_the_rows_of_each(spark):
+    seqs = crowded_reads(33)
+    rows = list(enumerate(seqs)) + [(5, seqs[5]), (6, seqs[6]), (7, seqs[40]), (90, seqs[90])]
+    run = Assembly(spark.createDataFrame(rows, "read_id long, seq string").localCheckpoint(), 25)
+    assert not run.ids_differ
+    want = mapping.walk_starts(mapping.contained_overhangs(run.all_overlaps, run.index_map))
+    assert rounded(catalog.STAGE_QUERIES["walk_starts"](run).collect()) == rounded(want.collect())
+    pieces = string_graph.with_text(run._graph(run.skeleton, run._labels(run.skeleton))).edges
+    assert sorted(run.digraph.edges.collect()) == sorted(pieces.collect()) and pieces.count() > 0
